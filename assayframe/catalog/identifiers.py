@@ -149,9 +149,9 @@ WITH blocks AS (
   FROM customer),
 found AS (
   SELECT c_custkey, block,
-         nullif({sql_sanitize("regexp_extract(block, '^>[ ]+<COMPOUND_ID>.*$' || chr(10) || '*([^' || chr(10) || ']*)', 1, 'm')")}, '') AS p1,
-         nullif({sql_sanitize("regexp_extract(block, '^>[ ]+<ID>.*$' || chr(10) || '*([^' || chr(10) || ']*)', 1, 'm')")}, '') AS p2,
-         nullif({sql_sanitize("regexp_extract(block, '^>[ ]+<Name>.*$' || chr(10) || '*([^' || chr(10) || ']*)', 1, 'm')")}, '') AS p3,
+         nullif({sql_sanitize("regexp_extract(block, '(?m)^>\\s+<COMPOUND_ID>.*$\\n*([^\\n]*)', 1)")}, '') AS p1,
+         nullif({sql_sanitize("regexp_extract(block, '(?m)^>\\s+<ID>.*$\\n*([^\\n]*)', 1)")}, '') AS p2,
+         nullif({sql_sanitize("regexp_extract(block, '(?m)^>\\s+<Name>.*$\\n*([^\\n]*)', 1)")}, '') AS p3,
          trim(string_split(block, chr(10))[1]) AS title
   FROM blocks)
 SELECT c_custkey, coalesce(p1, p2, p3,
@@ -191,9 +191,9 @@ WITH blocks AS (
          || '>  <HTML> (1)' || chr(10) || html || chr(10) || '> <EMPTY>' || chr(10) AS block
   FROM pages)
 SELECT page_id,
-       nullif({sql_strip("regexp_extract(block, '^>[ ]+<URL>.*$' || chr(10) || '*([^' || chr(10) || ']*)', 1, 'm')")}, '') AS url,
-       nullif({sql_strip("regexp_extract(block, '^>[ ]+<HTML>.*$' || chr(10) || '*([^' || chr(10) || ']*)', 1, 'm')")}, '') AS html,
-       nullif({sql_strip("regexp_extract(block, '^>[ ]+<EMPTY>.*$' || chr(10) || '*([^' || chr(10) || ']*)', 1, 'm')")}, '') AS empty
+       nullif({sql_strip("regexp_extract(block, '(?m)^>\\s+<URL>.*$\\n*([^\\n]*)', 1)")}, '') AS url,
+       nullif({sql_strip("regexp_extract(block, '(?m)^>\\s+<HTML>.*$\\n*([^\\n]*)', 1)")}, '') AS html,
+       nullif({sql_strip("regexp_extract(block, '(?m)^>\\s+<EMPTY>.*$\\n*([^\\n]*)', 1)")}, '') AS empty
 FROM blocks
 """)
 def tagged_property(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,9 +282,9 @@ def error_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH logs AS (SELECT conv_id, turn, replace(text, '. ', '.' || chr(10) || ' Removing Residue ') || chr(10) || role || ' DELETED' AS log FROM conversations),
-hits AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(log, '{LINE_END}'), s -> regexp_matches(lower(s), 'deleted|removing residue')) AS found FROM logs)
+hits AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(log, '{LINE_END}'), lambda s: regexp_matches(lower(s), 'deleted|removing residue')) AS found FROM logs)
 SELECT conv_id, turn, len(found) AS n_lines,
-       array_to_string(list_transform(found, s -> left({sql_strip('s')}, 120)), '|') AS lines
+       array_to_string(list_transform(found, lambda s: left({sql_strip('s')}, 120)), '|') AS lines
 FROM hits
 """)
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

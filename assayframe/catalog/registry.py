@@ -35,29 +35,17 @@ def sql_choose(values: tuple[str, ...], index: str) -> str:
 def sql_round(x: str, digits: int) -> str:
     """Exact half-even rounding of a double column, spelled out in SQL."""
     scale = float(10**digits)
-    factor = 2 * scale
-    split = 134217729.0
-    high = split * factor - (split * factor - factor)
-    low = factor - high
 
     def d(v: float) -> str:
         return f"CAST({v!r} AS DOUBLE)"
 
-    spread = f"(({x}) * {d(split)})"
-    x_high = f"({spread} - ({spread} - ({x})))"
-    x_low = f"(({x}) - {x_high})"
-    product = f"(({x}) * {d(factor)})"
-    error = (
-        f"(((({x_high} * {d(high)} - {product}) + {x_high} * {d(low)})"
-        f" + {x_low} * {d(high)}) + {x_low} * {d(low)})"
-    )
-    below = f"floor({product} / 2)"
-    past = f"(({product} - 2 * {below} - 1) + {error})"
-    units = (
-        f"CASE WHEN {past} > 0 THEN {below} + 1 WHEN {past} < 0 THEN {below} "
-        f"ELSE {below} + abs({below} % 2) END"
-    )
-    return f"(({units}) / {d(scale)})"
+    spread = f"(({x}) * {d(134217729.0)})"
+    high = f"({spread} - ({spread} - ({x})))"
+    low = f"(({x}) - {high})"
+    below = f"floor(({x}) * {d(scale)})"
+    past = f"(({high} * {d(2 * scale)} - (2 * {below} + 1)) + {low} * {d(2 * scale)})"
+    up = f"CASE WHEN {past} > 0 OR ({past} = 0 AND {below} % 2 <> 0) THEN 1 ELSE 0 END"
+    return f"(({below} + {up}) / {d(scale)})"
 
 
 WHITESPACE = (

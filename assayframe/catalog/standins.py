@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def epoch_seconds(ts: str) -> Column:
+    """Seconds since 1970 of a UTC wall-clock time, whatever the session zone."""
+    instant = F.concat(F.col(ts).cast("string"), F.lit("Z")).cast("timestamp")
+    return F.unix_micros(instant) / 1e6
+
+
 def choose(options: Sequence[str], index: Column) -> Column:
     """``options[index % len(options)]``."""
     values = F.array(*[F.lit(o) for o in options])
@@ -117,7 +123,7 @@ def event_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("ok")
         .alias("status"),
         F.when(failed & (k < 20), "setup").when(failed, "ligand").alias("error_kind"),
-        F.col("ts").cast("double").alias("timestamp"),
+        epoch_seconds("ts").alias("timestamp"),
         F.col("value").alias("elapsed_s"),
         F.col("event_id").alias("ordinal"),
     )
@@ -125,7 +131,7 @@ def event_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run record per user, expecting a tenth more rows than it has."""
-    stamp = F.col("ts").cast("double")
+    stamp = epoch_seconds("ts")
     return (
         table(spark, sf_dir, "events")
         .groupBy(F.col("user_id").cast("string").alias("run_id"))

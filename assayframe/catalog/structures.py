@@ -198,8 +198,8 @@ def site_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH first AS (SELECT CAST(ts AS DATE) AS day, event_type, min(event_id) AS at FROM events GROUP BY 1, 2)
-SELECT CAST(day AS VARCHAR) AS day, string_agg(event_type, ',' ORDER BY at) AS types FROM first GROUP BY day
+WITH first AS (SELECT CAST(ts AS DATE) AS day, event_type, min(event_id) AS first_at FROM events GROUP BY 1, 2)
+SELECT CAST(day AS VARCHAR) AS day, string_agg(event_type, ',' ORDER BY first_at) AS types FROM first GROUP BY day
 """)
 def first_seen_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct types of each group in order of first sight."""
@@ -382,13 +382,14 @@ def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {_POINTS},
-r AS (SELECT serial, x AS ax, y AS ay, z AS az, y + 1 AS bx, z + 2 AS by, x + 3 AS bz, z - 4 AS cx, x + 5 AS cy, y - 6 AS cz FROM points),
-d AS (SELECT *, sqrt((ax-bx)*(ax-bx)+(ay-by)*(ay-by)+(az-bz)*(az-bz)) AS ab, sqrt((ax-cx)*(ax-cx)+(ay-cy)*(ay-cy)+(az-cz)*(az-cz)) AS ac,
-             sqrt((bx-cx)*(bx-cx)+(by-cy)*(by-cy)+(bz-cz)*(bz-cz)) AS bc,
-             bx-ax AS ux, by-ay AS uy, bz-az AS uz, cx-bx AS vx, cy-by AS vy, cz-bz AS vz, -cx AS wx, -cy AS wy, -cz AS wz FROM r),
-n AS (SELECT *, uy*vz-uz*vy AS mx, uz*vx-ux*vz AS my, ux*vy-uy*vx AS mz, vy*wz-vz*wy AS nx, vz*wx-vx*wz AS ny, vx*wy-vy*wx AS nz FROM d)
+r AS (SELECT serial, x AS ax, y AS ay, z AS az, y + 1 AS bx, z + 2 AS bq, x + 3 AS bz, z - 4 AS cx, x + 5 AS cy, y - 6 AS cz FROM points),
+d AS (SELECT *, sqrt((ax-bx)*(ax-bx)+(ay-bq)*(ay-bq)+(az-bz)*(az-bz)) AS ab, sqrt((ax-cx)*(ax-cx)+(ay-cy)*(ay-cy)+(az-cz)*(az-cz)) AS ac,
+             sqrt((bx-cx)*(bx-cx)+(bq-cy)*(bq-cy)+(bz-cz)*(bz-cz)) AS bc,
+             bx-ax AS ux, bq-ay AS uy, bz-az AS uz, cx-bx AS vx, cy-bq AS vy, cz-bz AS vz, -cx AS wx, -cy AS wy, -cz AS wz FROM r),
+n AS (SELECT *, uy*vz-uz*vy AS mx, uz*vx-ux*vz AS my, ux*vy-uy*vx AS mz, vy*wz-vz*wy AS nx, vz*wx-vx*wz AS ny, vx*wy-vy*wx AS nz,
+             (ab*ab + ac*ac - bc*bc) / (2 * ab * ac) AS cosine FROM d)
 SELECT serial, ab AS distance,
-       round(degrees(acos((ab*ab + ac*ac - bc*bc) / (2 * ab * ac))), 3) AS angle,
+       round(degrees(acos({sql_round('cosine', 7)})), 6) AS angle,
        round(degrees(atan2(sqrt(vx*vx+vy*vy+vz*vz) * (ux*nx+uy*ny+uz*nz), mx*nx+my*ny+mz*nz)), 6) AS dihedral
 FROM n
 """)
@@ -400,7 +401,7 @@ def point_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.points(spark, sf_dir).select(
         "serial",
         G.distance(a, b).alias("distance"),
-        F.round(G.angle_degrees(a, b, c), 3).alias("angle"),
+        F.round(G.angle_degrees(a, b, c), 6).alias("angle"),
         F.round(G.dihedral_degrees(a, b, c, origin), 6).alias("dihedral"),
     )
 

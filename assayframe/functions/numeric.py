@@ -5,20 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from assayframe.functions.text import strip
+from assayframe.functions.text import WHITESPACE
 
-_FLOAT_TEXT = r"^[+-]?(?:(?:\d+(?:_\d+)*)\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+)?\z"
-_SPECIAL_FLOAT = r"(?i)^[+-]?(?:inf|infinity|nan)\z"
-_INT_TEXT = r"^[+-]?\d+(?:_\d+)*\z"
+_FLOAT_TEXT = (
+    rf"^{WHITESPACE}*([+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity|nan)))"
+    rf"{WHITESPACE}*\z"
+)
+_INT_TEXT = rf"^{WHITESPACE}*([+-]?\d+){WHITESPACE}*\z"
 
-# Veltkamp constant for splitting a 53-bit significand in two halves.
+# Veltkamp constant: splits a 53-bit significand into two halves.
 _SPLIT = 134217729.0
-
-
-def _halves(value: float) -> tuple[float, float]:
-    t = _SPLIT * value
-    high = t - (t - value)
-    return high, value - high
+_MAX_DIGITS = 7
 
 
 def round_half_even(x: Column, digits: int) -> Column:
@@ -26,33 +23,24 @@ def round_half_even(x: Column, digits: int) -> Column:
 
     Spark's ``round`` works on the shortest decimal text of a double and rounds
     halves up, so -2.9 / 16 becomes -0.1813 although the double lies nearer
-    -0.1812. Here the product ``2 * x * 10**digits`` is formed exactly as a
-    rounded product plus its error term, so the comparison with the midpoint is
-    exact. All of it is double arithmetic and stays in generated code.
+    -0.1812. Here both halves of the value are compared with the midpoint
+    separately, which is exact because twice the scale fits in 27 bits. All of
+    it is double arithmetic and stays in generated code.
     """
     if digits == 0:
         return F.rint(x)
+    if digits > _MAX_DIGITS:
+        raise ValueError(f"at most {_MAX_DIGITS} digits")
     scale = float(10**digits)
-    factor = 2.0 * scale
-    factor_high, factor_low = _halves(factor)
-    product = x * F.lit(factor)
+    factor = F.lit(2.0 * scale)
     spread = x * F.lit(_SPLIT)
-    x_high = spread - (spread - x)
-    x_low = x - x_high
-    error = (
-        (x_high * F.lit(factor_high) - product)
-        + x_high * F.lit(factor_low)
-        + x_low * F.lit(factor_high)
-    ) + x_low * F.lit(factor_low)
-    below = F.floor(product / F.lit(2.0)).cast("double")
-    past_midpoint = (product - F.lit(2.0) * below - F.lit(1.0)) + error
-    units = (
-        F.when(past_midpoint > 0, below + 1)
-        .when(past_midpoint < 0, below)
-        .otherwise(below + F.pmod(below, F.lit(2.0)))
-    )
-    limit = 2.0**51 / factor
-    return F.when(F.abs(x) < F.lit(limit), units / F.lit(scale)).otherwise(x)
+    high = spread - (spread - x)
+    low = x - high
+    below = F.floor(x * F.lit(scale)).cast("double")
+    past = (high * factor - (below * 2.0 + 1.0)) + low * factor
+    goes_up = (past > 0) | ((past == 0) & (below % 2.0 != 0))
+    rounded = (below + goes_up.cast("double")) / F.lit(scale)
+    return F.when(F.abs(x) < F.lit(2.0**50 / scale), rounded).otherwise(x)
 
 
 def parse_float(text: Column) -> Column:
@@ -60,14 +48,9 @@ def parse_float(text: Column) -> Column:
 
     ``cast`` alone is too lenient (it takes ``1.0f``), hence the pattern.
     """
-    clean = strip(text)
-    return F.when(
-        clean.rlike(_FLOAT_TEXT) | clean.rlike(_SPECIAL_FLOAT),
-        F.regexp_replace(clean, "_", "").try_cast("double"),
-    )
+    return F.regexp_extract(text, _FLOAT_TEXT, 1).try_cast("double")
 
 
 def parse_int(text: Column) -> Column:
     """32-bit integer from text, null where the text is not an integer."""
-    clean = strip(text)
-    return F.when(clean.rlike(_INT_TEXT), F.regexp_replace(clean, "_", "").try_cast("int"))
+    return F.regexp_extract(text, _INT_TEXT, 1).try_cast("int")

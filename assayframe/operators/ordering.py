@@ -126,6 +126,35 @@ def with_streak(
     )
 
 
+def with_previous(
+    df: DataFrame,
+    keys: Sequence[str],
+    ordinal: str,
+    value: str,
+    previous_col: str = "previous",
+    slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """Value of the row before each row, per key; null on a key's first row.
+
+    Values must not be null. The first row of a slice takes the last value of
+    the slice before it.
+    """
+    group = [*keys, "_slice"]
+    sliced = df.withColumn("_slice", F.floor(F.col(ordinal) / slice_rows))
+    local = sliced.withColumn(
+        "_before", F.lag(value).over(Window.partitionBy(*group).orderBy(ordinal))
+    )
+    lasts = sliced.groupBy(*group).agg(F.max_by(value, ordinal).alias("_last"))
+    carried = lasts.select(
+        *group, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_carried")
+    ).where("_carried is not null")
+    return (
+        local.join(carried, group, "left")
+        .withColumn(previous_col, F.coalesce("_before", "_carried"))
+        .drop("_slice", "_before", "_carried")
+    )
+
+
 def exact_median(
     df: DataFrame, keys: Sequence[str], value: str, salts: int = 32
 ) -> DataFrame:
