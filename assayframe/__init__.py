@@ -1,3 +1,11 @@
 """Screening-data engine on PySpark."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package that run in Python workers travel with the job, so
+# executors need no installed copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -46,9 +46,11 @@ def parse_records(lines: DataFrame, line: str = "line") -> DataFrame:
     record = F.from_json(
         F.col(line), WIRE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
     )
-    parsed = lines.where(text.strip(F.col(line)) != "").withColumn("_r", record)
+    parsed = lines.where(text.strip(F.col(line)) != "").select(
+        *others, text.explode_if(record, complete_record).alias("_r")
+    )
     r = F.col("_r")
-    return parsed.where(complete_record(r)).select(
+    return parsed.select(
         r["run_id"].alias("run_id"),
         r["ligand_id"].alias("ligand_id"),
         F.coalesce(r["status"], F.lit("ok")).alias("status"),

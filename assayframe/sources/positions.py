@@ -100,7 +100,7 @@ def _splits(pieces: DataFrame, keep: Column, keep_first: Column) -> DataFrame:
 
 
 def _input_bytes(df: DataFrame) -> int:
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def _broadcastable(pieces: DataFrame) -> bool:

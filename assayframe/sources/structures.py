@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +18,16 @@ from assayframe.sources.positions import scan_pieces, with_positions
 def parse_atoms(lines: DataFrame, line: str = "line", keep: Sequence[str] = ()) -> DataFrame:
     """Atom table from fixed-width lines; other and malformed lines are left out."""
     fields = A.atom_fields(F.col(line))
-    parsed = lines.where(A.is_atom_line(F.col(line))).select(
-        *keep, *[c.alias(name) for name, c in fields.items()]
+    whole = F.struct(*[c.alias(name) for name, c in fields.items()])
+
+    def complete(atom: Column) -> Column:
+        return reduce(operator.and_, [atom[f].isNotNull() for f in A.REQUIRED_FIELDS])
+
+    return (
+        lines.where(A.is_atom_line(F.col(line)))
+        .select(*keep, text.explode_if(whole, complete).alias("_atom"))
+        .select(*keep, "_atom.*")
     )
-    return parsed.dropna(subset=list(A.REQUIRED_FIELDS))
 
 
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from assayframe.functions.numeric import round_half_even
 from assayframe.functions.seeds import uniform
+from assayframe.functions.text import bind
 from assayframe.schemas import JOURNAL_SCHEMA
 
 # Shape of a plausible run.
@@ -28,24 +29,35 @@ def _normal(seed: int, key: Column, draw: str) -> Column:
 
 
 def _modes(seed: int, key: Column, n_modes: int) -> Column:
+    """Modes that worsen step by step, with deviations drifting up."""
     best = F.lit(AFFINITY_MEAN) + F.lit(AFFINITY_SD) * _normal(seed, key, "best")
-    affinity = best
-    out = []
-    for i in range(1, n_modes + 1):
-        lower = upper = F.lit(0.0)
-        if i > 1:
-            lower = round_half_even(F.abs(2.0 + _normal(seed, key, f"lb{i}")), 3)
-            upper = round_half_even(lower + F.abs(1.5 + _normal(seed, key, f"ub{i}")), 3)
-            affinity = affinity + F.abs(0.15 + 0.12 * _normal(seed, key, f"step{i}"))
-        out.append(
-            F.struct(
-                F.lit(i).alias("mode"),
-                F.round(affinity, 1).alias("affinity"),
-                lower.alias("rmsd_lb"),
-                upper.alias("rmsd_ub"),
-            )
+
+    def draws(i: Column) -> Column:
+        cell = F.struct(key, i)
+        later = (i > 1).cast("double")
+        lower = F.round(later * F.abs(2.0 + _normal(seed, cell, "lb")), 3)
+        return F.struct(
+            i.alias("mode"),
+            (later * F.abs(0.15 + 0.12 * _normal(seed, cell, "step"))).alias("step"),
+            lower.alias("lb"),
+            (later * F.abs(1.5 + _normal(seed, cell, "ub"))).alias("gap"),
+        )
+
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(n_modes)), draws)
+    rows = F.struct(best.alias("best"), drawn.alias("drawn"))
+
+    def mode(all_rows: Column, d: Column) -> Column:
+        walked = F.aggregate(
+            F.slice(all_rows["drawn"], F.lit(1), d["mode"]), F.lit(0.0), lambda acc, e: acc + e["step"]
+        )
+        return F.struct(
+            d["mode"].alias("mode"),
+            F.round(all_rows["best"] + walked, 1).alias("affinity"),
+            d["lb"].alias("rmsd_lb"),
+            F.round(d["lb"] + d["gap"], 3).alias("rmsd_ub"),
         )
-    return F.array(*out)
+
+    return bind(rows, lambda r: F.transform(r["drawn"], lambda d: mode(r, d)))
 
 
 def synthetic_journal(
