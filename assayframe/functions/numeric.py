@@ -5,14 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from assayframe.functions.text import WHITESPACE
-
-_FLOAT_TEXT = (
-    rf"^{WHITESPACE}*([+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity|nan)))"
-    rf"{WHITESPACE}*\z"
-)
-_INT_TEXT = rf"^{WHITESPACE}*([+-]?\d+){WHITESPACE}*\z"
+from assayframe.functions.text import strip
 
+_FLOAT_TEXT = r"^([+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity|nan)))\z"
 # Veltkamp constant: splits a 53-bit significand into two halves.
 _SPLIT = 134217729.0
 _MAX_DIGITS = 7
@@ -43,14 +38,20 @@ def round_half_even(x: Column, digits: int) -> Column:
     return F.when(F.abs(x) < F.lit(2.0**50 / scale), rounded).otherwise(x)
 
 
+def parse_word_float(word: Column) -> Column:
+    """Double from text without white space around it, else null."""
+    return F.when(word.rlike(_FLOAT_TEXT), word.try_cast("double"))
+
+
 def parse_float(text: Column) -> Column:
     """Double from text, null where the text is not a plain number.
 
-    ``cast`` alone is too lenient (it takes ``1.0f``), hence the pattern.
+    ``cast`` alone is too lenient (it takes ``1.0f``), and a failed one costs an
+    exception per row, so a pattern looks first.
     """
-    return F.regexp_extract(text, _FLOAT_TEXT, 1).try_cast("double")
+    return parse_word_float(strip(text))
 
 
 def parse_int(text: Column) -> Column:
     """32-bit integer from text, null where the text is not an integer."""
-    return F.regexp_extract(text, _INT_TEXT, 1).try_cast("int")
+    return strip(text).try_cast("int")

@@ -46,8 +46,10 @@ def parse_records(lines: DataFrame, line: str = "line") -> DataFrame:
     record = F.from_json(
         F.col(line), WIRE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
     )
-    parsed = lines.where(text.strip(F.col(line)) != "").select(
-        *others, text.explode_if(record, complete_record).alias("_r")
+    parsed = (
+        lines.where(text.strip(F.col(line)) != "")
+        .select(*others, record.alias("_json"))
+        .select(*others, text.explode_if(F.col("_json"), complete_record).alias("_r"))
     )
     r = F.col("_r")
     return parsed.select(

@@ -47,7 +47,7 @@ def _sdf_first_body(piece: Column) -> Column:
 
 
 def _smi_line(piece: Column) -> Column:
-    return X.strip(F.regexp_replace(X.strip(piece), r"^\x{feff}+", ""))
+    return X.strip(X.strip_mark(X.strip(piece)))
 
 
 def _format(fmt: str) -> _Format:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import operator
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -11,23 +12,23 @@ from pyspark.sql import functions as F
 
 from assayframe.functions import atoms as A
 from assayframe.functions import text
-from assayframe.functions.numeric import parse_float
+from assayframe.functions.numeric import parse_word_float
 from assayframe.sources.positions import scan_pieces, with_positions
 
 
 def parse_atoms(lines: DataFrame, line: str = "line", keep: Sequence[str] = ()) -> DataFrame:
     """Atom table from fixed-width lines; other and malformed lines are left out."""
     fields = A.atom_fields(F.col(line))
-    whole = F.struct(*[c.alias(name) for name, c in fields.items()])
-
-    def complete(atom: Column) -> Column:
-        return reduce(operator.and_, [atom[f].isNotNull() for f in A.REQUIRED_FIELDS])
-
-    return (
-        lines.where(A.is_atom_line(F.col(line)))
-        .select(*keep, text.explode_if(whole, complete).alias("_atom"))
-        .select(*keep, "_atom.*")
+    parsed = lines.where(A.is_atom_line(F.col(line))).select(
+        *keep, *[c.alias(name) for name, c in fields.items()]
+    )
+    # A generator tests the parsed fields; a filter would be pushed below the
+    # projection and parse them a second time.
+    atom = F.struct(*fields)
+    complete = text.explode_if(
+        atom, lambda a: reduce(operator.and_, [a[f].isNotNull() for f in A.REQUIRED_FIELDS])
     )
+    return parsed.select(*keep, complete.alias("_atom")).select(*keep, "_atom.*")
 
 
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -53,13 +54,12 @@ def repair_types(lines: DataFrame, line: str = "line") -> DataFrame:
 
 def scored_modes(pose_text: Column, tag: str = "VINA RESULT") -> Column:
     """Modes stated in pose text, numbered over the lines that parse."""
-    tagged = F.filter(text.lines(pose_text), lambda s: s.contains(tag))
+    pattern = rf"(?dm)^.*{re.escape(tag)}.*$"
+    tagged = F.regexp_extract_all(text.plain_line_ends(pose_text), F.lit(pattern), F.lit(0))
 
     def numbers(line: Column) -> Column:
-        after = F.when(
-            line.contains(":"), F.regexp_extract(line, r"(?ds)^[^:]*:(.*)$", 1)
-        ).otherwise(line)
-        return F.transform(F.slice(text.words(after), 1, 3), parse_float)
+        after = F.substring(line, F.locate(":", line) + 1, F.length(line))
+        return F.transform(F.slice(text.words(after), 1, 3), parse_word_float)
 
     usable = F.filter(
         F.transform(tagged, numbers),
