@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from assayframe.functions.text import strip
 
-_FLOAT_TEXT = r"^([+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity|nan)))\z"
+FLOAT_PATTERN = r"[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity|nan))"
+_WHOLE_FLOAT = rf"^{FLOAT_PATTERN}\z"
+
 # Veltkamp constant: splits a 53-bit significand into two halves.
 _SPLIT = 134217729.0
 _MAX_DIGITS = 7
@@ -38,18 +40,14 @@ def round_half_even(x: Column, digits: int) -> Column:
     return F.when(F.abs(x) < F.lit(2.0**50 / scale), rounded).otherwise(x)
 
 
-def parse_word_float(word: Column) -> Column:
-    """Double from text without white space around it, else null."""
-    return F.when(word.rlike(_FLOAT_TEXT), word.try_cast("double"))
-
-
 def parse_float(text: Column) -> Column:
     """Double from text, null where the text is not a plain number.
 
     ``cast`` alone is too lenient (it takes ``1.0f``), and a failed one costs an
     exception per row, so a pattern looks first.
     """
-    return parse_word_float(strip(text))
+    clean = strip(text)
+    return F.when(clean.rlike(_WHOLE_FLOAT), clean.try_cast("double"))
 
 
 def parse_int(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from assayframe.functions import atoms as A
 from assayframe.functions import text
-from assayframe.functions.numeric import parse_word_float
+from assayframe.functions.numeric import FLOAT_PATTERN
 from assayframe.sources.positions import scan_pieces, with_positions
 
 
@@ -53,25 +53,29 @@ def repair_types(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def scored_modes(pose_text: Column, tag: str = "VINA RESULT") -> Column:
-    """Modes stated in pose text, numbered over the lines that parse."""
-    pattern = rf"(?dm)^.*{re.escape(tag)}.*$"
-    tagged = F.regexp_extract_all(text.plain_line_ends(pose_text), F.lit(pattern), F.lit(0))
-
-    def numbers(line: Column) -> Column:
-        after = F.substring(line, F.locate(":", line) + 1, F.length(line))
-        return F.transform(F.slice(text.words(after), 1, 3), parse_word_float)
-
-    usable = F.filter(
-        F.transform(tagged, numbers),
-        lambda v: (F.size(v) == 3) & ~F.exists(v, lambda x: x.isNull()),
+    """Modes stated in pose text, numbered over the lines that parse.
+
+    A line counts if it holds the tag and the first three words after its first
+    colon (or of the whole line, without one) are numbers. One pattern per field
+    over the whole text; nothing is evaluated line by line.
+    """
+    gap = "[" + text.SPACES.replace("\n", "") + "]"
+    number = f"({FLOAT_PATTERN})"
+    pattern = (
+        rf"(?dm)^(?=.*{re.escape(tag)})(?:[^:\n]*:|(?!.*:)){gap}*{number}{gap}+{number}{gap}+{number}(?={gap}|$)"
+    )
+    plain = text.plain_line_ends(pose_text)
+    affinity, lower, upper = (
+        F.regexp_extract_all(plain, F.lit(pattern), F.lit(group)) for group in (1, 2, 3)
     )
+    lines = F.arrays_zip(affinity.alias("affinity"), lower.alias("lower"), upper.alias("upper"))
     return F.transform(
-        usable,
+        lines,
         lambda v, i: F.struct(
             (i + 1).cast("int").alias("mode"),
-            v[0].alias("affinity"),
-            v[1].alias("rmsd_lb"),
-            v[2].alias("rmsd_ub"),
+            v["affinity"].try_cast("double").alias("affinity"),
+            v["lower"].try_cast("double").alias("rmsd_lb"),
+            v["upper"].try_cast("double").alias("rmsd_ub"),
         ),
     )
 
