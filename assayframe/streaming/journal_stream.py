@@ -116,10 +116,10 @@ class StreakWatch(_Watch):
         )
         if state is not None:
             # A streak handed on is replayed as that many hits before the batch.
-            steps = F.sequence(F.lit(1).cast("bigint"), F.col("carry"))
+            places = F.explode(F.sequence(-F.col("carry"), F.lit(-1).cast("bigint")))
             rows = rows.unionByName(
                 state.where("carry > 0").select(
-                    key, (-F.explode(steps)).alias(ordinal), F.lit(True).alias("hit")
+                    key, places.alias(ordinal), F.lit(True).alias("hit")
                 )
             )
         streaks = with_streak(rows, [key], ordinal, F.col("hit"), "streak", self.slice_rows)
