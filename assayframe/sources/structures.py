@@ -64,20 +64,23 @@ def scored_modes(pose_text: Column, tag: str = "VINA RESULT") -> Column:
     pattern = (
         rf"(?dm)^(?=.*{re.escape(tag)})(?:[^:\n]*:|(?!.*:)){gap}*{number}{gap}+{number}{gap}+{number}(?={gap}|$)"
     )
-    plain = text.plain_line_ends(pose_text)
-    affinity, lower, upper = (
-        F.regexp_extract_all(plain, F.lit(pattern), F.lit(group)) for group in (1, 2, 3)
-    )
-    lines = F.arrays_zip(affinity.alias("affinity"), lower.alias("lower"), upper.alias("upper"))
-    return F.transform(
-        lines,
-        lambda v, i: F.struct(
-            (i + 1).cast("int").alias("mode"),
-            v["affinity"].try_cast("double").alias("affinity"),
-            v["lower"].try_cast("double").alias("rmsd_lb"),
-            v["upper"].try_cast("double").alias("rmsd_ub"),
-        ),
-    )
+
+    def modes(plain: Column) -> Column:
+        affinity, lower, upper = (
+            F.regexp_extract_all(plain, F.lit(pattern), F.lit(group)) for group in (1, 2, 3)
+        )
+        lines = F.arrays_zip(affinity.alias("affinity"), lower.alias("lower"), upper.alias("upper"))
+        return F.transform(
+            lines,
+            lambda v, i: F.struct(
+                (i + 1).cast("int").alias("mode"),
+                v["affinity"].try_cast("double").alias("affinity"),
+                v["lower"].try_cast("double").alias("rmsd_lb"),
+                v["upper"].try_cast("double").alias("rmsd_ub"),
+            ),
+        )
+
+    return text.bind(text.plain_line_ends(pose_text), modes)
 
 
 def read_prepared(spark: SparkSession, path: str, with_text: bool = True) -> DataFrame:
