@@ -9,6 +9,7 @@ from assayframe.functions.text import strip
 
 FLOAT_PATTERN = r"[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity|nan))"
 _WHOLE_FLOAT = rf"^{FLOAT_PATTERN}\z"
+_WHOLE_INT = r"^[+-]?\d+\z"
 
 # Veltkamp constant: splits a 53-bit significand into two halves.
 _SPLIT = 134217729.0
@@ -52,4 +53,5 @@ def parse_float(text: Column) -> Column:
 
 def parse_int(text: Column) -> Column:
     """32-bit integer from text, null where the text is not an integer."""
-    return strip(text).try_cast("int")
+    clean = strip(text)
+    return F.when(clean.rlike(_WHOLE_INT), clean.try_cast("int"))
