@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.llm import quality_rules
+from assayframe.llm import neardup, quality_rules
 from assayframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,3 +36,9 @@ _RULE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality_rules.judge(docs, keep=["doc_id"]).select("row.doc_id", *_RULE_COLUMNS)
+
+
+@query()
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", neardup.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
