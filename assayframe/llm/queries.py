@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.llm import neardup, quality_rules
+from assayframe.llm import bpe, neardup, quality_rules, token_counts
 from assayframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +43,27 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", neardup.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    digest = bpe.digester(path, public_tokenizers.PATTERN)
+    return docs.select("doc_id", digest("text").alias("d")).select("doc_id", "d.*")
+
+
+TOKEN_LIMIT = 4096
+
+
+@query()
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes")
+    )
+    counted = token_counts.with_token_counts(
+        docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id", "n_bytes"]
+    )
+    return counted.select(
+        "row.doc_id", "row.n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit")
+    )
