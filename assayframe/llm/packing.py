@@ -32,6 +32,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
@@ -42,14 +43,15 @@ from assayframe.llm.common import clean_text, materialize, once_per_worker, pack
 CAPACITY = 4096
 END_ID = 1
 # Planning parameters.
-UNITS = 512
+UNITS = 1024
 SMALL_SHARE = 16
-ITERATIONS = 60
-STEP = 0.15
+ITERATIONS = 120
+STEP = 0.1
 NEAR_BEST = 0.85
 ROUNDS = 5
 # Ids of short words are remembered, up to so many in a worker.
 REMEMBERED = 500_000
+TEXTS_AT_ONCE = 64
 LONGEST_REMEMBERED = 48
 
 Run = tuple[tuple[int, ...], int]
@@ -59,36 +61,78 @@ Run = tuple[tuple[int, ...], int]
 
 
 class WordCoder:
-    """Ids of texts under a tokenizer that drops white space and merges within words only."""
+    """Ids of texts under a tokenizer that drops white space and merges within words only.
+
+    Blanks never reach a token, so words between blanks are coded alone and
+    remembered, and so are the parts the tokenizer's own pattern makes of them. New
+    parts go to the tokenizer many at once; a token that ends a part says so in its
+    name. Words that are not plain Latin, and special strings, go to it as they are.
+    """
+
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    END = "</w>"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(self.END)]] = True
+        self.parts_of = regex.compile(self.SPLIT).findall
+        self.plain = regex.compile(r"(?!.*<\|)[\x00-\x1b\x20-\u024f]*", regex.DOTALL).fullmatch
         self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32).tobytes() for e in found]
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers.
-
-        Blanks never reach a token, so words between blanks can be coded alone.
-        """
+        self.parts: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        ids = self._ids(" ".join(parts))
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(parts):
+            data = ids.tobytes()
+            marks = (4 * cuts).tolist()
+            self.parts.update(
+                zip(parts, [data[x:y] for x, y in zip([0, *marks], marks, strict=False)], strict=True)
+            )
+        else:
+            self.parts.update((p, self._ids(p).tobytes()) for p in parts)
+
+    def _learn(self, words: set[str]) -> None:
+        split = {
+            # A word of letters is one part; the pattern is for the others.
+            w: [w.lower()] if w.isalpha() else self.parts_of(w.lower())
+            for w in words
+            if (w.isascii() and w.isprintable() and "<|" not in w) or self.plain(w)
+        }
+        new = {p for found in split.values() for p in found}.difference(self.parts)
+        if new:
+            self._learn_parts(list(new))
+        parts = self.parts
+        for word in words:
+            found = split.get(word)
+            if found is None:
+                self.known[word] = self._ids(word).tobytes()
+            elif len(found) == 1:
+                self.known[word] = parts[found[0]]
+            else:
+                self.known[word] = b"".join([parts[p] for p in found])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        for held in (self.known, self.parts):
+            if len(held) > REMEMBERED:
+                held.clear()
+        rows = [t.split(" ") for t in texts]
+        new = set().union(*rows).difference(self.known)
+        if new:
+            self._learn(new)
         known = self.known
-        words = text.split(" ")
-        missing = list(set(words).difference(known))
-        if missing:
-            if len(known) > REMEMBERED:
-                known.clear()
-                missing = list(set(words))
-            long = [w for w in missing if len(w) > LONGEST_REMEMBERED]
-            known.update(zip(missing, self._ids(missing), strict=True))
-            out = b"".join([known[w] for w in words])
-            for w in long:
-                del known[w]
-            return out
-        return b"".join([known[w] for w in words])
+        out = [b"".join([known[w] for w in words]) for words in rows]
+        for held in (self.known, self.parts):
+            for long in [w for w in new if len(w) > LONGEST_REMEMBERED]:
+                held.pop(long, None)
+        return out
 
 
 def _piece_type(with_ids: bool) -> ArrayType:
@@ -115,17 +159,19 @@ def piece_cutter(path: str, capacity: int, end_id: int, with_ids: bool = False)
     def cut(texts: pa.Array) -> pa.Array:
         coder = once_per_worker(("words", path), lambda: WordCoder(path))
         ends, piece, start, length, crc, parts = [0], [], [], [], [], []
-        for text in texts.to_pylist():
-            ids = coder.encode(text or "") + last
-            for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                part = ids[at : at + 4 * capacity]
-                piece.append(k)
-                start.append(at // 4)
-                length.append(len(part) // 4)
-                crc.append(zlib.crc32(part))
-                if with_ids:
-                    parts.append(part)
-            ends.append(len(piece))
+        whole = [t or "" for t in texts.to_pylist()]
+        for first in range(0, len(whole), TEXTS_AT_ONCE):
+            for coded in coder.encode(whole[first : first + TEXTS_AT_ONCE]):
+                ids = coded + last
+                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[at : at + 4 * capacity]
+                    piece.append(k)
+                    start.append(at // 4)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+                    if with_ids:
+                        parts.append(part)
+                ends.append(len(piece))
         columns = [
             pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
             pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
