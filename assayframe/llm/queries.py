@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.llm import bpe, neardup, packing, quality_rules, token_counts
+from assayframe.llm import bpe, merkle, neardup, packing, quality_rules, token_counts
 from assayframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +73,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query(merkle.oracle())
+def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.half_edited(table(spark, sf_dir, "documents"))
