@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.llm import bpe, merkle, neardup, packing, quality_rules, token_counts
+from assayframe.llm import bpe, classifier, kdshards, merkle, neardup, packing, quality_rules, token_counts
 from assayframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +79,44 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(merkle.oracle())
 def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.half_edited(table(spark, sf_dir, "documents"))
+
+
+SHARDS = 8
+
+
+@query()
+def op10_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sharded, _ = kdshards.shards(
+        docs,
+        SHARDS,
+        {
+            "n_chars": F.length("text").cast("bigint"),
+            "lang": F.pmod(F.xxhash64("lang"), F.lit(1 << 20)),
+            "source": F.pmod(F.xxhash64("source"), F.lit(1 << 20)),
+            "doc_id": F.greatest("doc_id", F.lit(0)),
+        },
+        keep=["doc_id"],
+    )
+    flat = sharded.select(F.col("row.doc_id").alias("doc_id"), "size", "text_crc32", "shard")
+    return kdshards.with_slots(flat, ["doc_id", "text_crc32", "size"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query()
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = classifier.fit(docs, table(spark, sf_dir, "labels"))
+    return classifier.scored(docs, model, keep=["doc_id"]).select(
+        "row.doc_id",
+        classifier.held_out(F.col("row.doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= classifier.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
