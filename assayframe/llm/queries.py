@@ -9,7 +9,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.llm import bpe, classifier, kdshards, merkle, neardup, packing, quality_rules, token_counts
+from assayframe.llm import (
+    bpe,
+    classifier,
+    kdshards,
+    merkle,
+    neardup,
+    packing,
+    perspectives,
+    quality_rules,
+    token_counts,
+    url_lists,
+)
 from assayframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +128,21 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(perspectives.oracle())
+def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.perspectives(table(spark, sf_dir, "conversations"))
+
+
+@query(url_lists.oracle())
+def op8_url_list_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    found = url_lists.filter_captures(url_lists.dated_pages(pages), url_lists.dated_list(pages))
+    return found.select(
+        "row.page_id", "row.url", "row.fetched_at", "verdict", "matched_key", "listed_at",
+        (F.col("verdict") != "block").alias("kept"),
+    )
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
