@@ -105,11 +105,24 @@ def staged_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+EVENT_FILES = 9
+
+
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of journal records."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    """The events table as a stream of journal records.
+
+    All rows are dealt by a hash over files that several micro-batches read, so
+    times and ordinals arrive out of order.
+    """
+    folder = J.scratch_folder(spark, "events")
+    stored = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stored.repartition(EVENT_FILES, F.xxhash64("event_id")).write.option(
+        "maxRecordsPerFile", 250_000
+    ).parquet(folder)
     events = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+        spark.readStream.schema(stored.schema)
+        .option("maxFilesPerTrigger", EVENT_FILES // 3)
+        .parquet(folder)
     )
     k = F.get_json_object("props", "$.k").cast("int")
     failed = F.col("event_type") == "error"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayframe.catalog import standins as S
@@ -275,11 +275,29 @@ def all_parts_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.fully_present(manifest, listing)
 
 
-@query("""
-SELECT p_brand AS dir, count(*) AS n_files, CAST(sum(p_size) AS BIGINT) AS total_bytes, 'flat' AS kind,
-       sha256(string_agg(p_name || '-' || p_partkey || ':' || p_size || chr(10), '' ORDER BY p_name || '-' || p_partkey)) AS listing_sha256
-FROM part GROUP BY p_brand
-""")
+def _digest_sql(listing: str) -> str:
+    return f"""
+WITH files AS ({listing}),
+leaves AS (SELECT dir, substr(sha256(file_name), 1, 4) AS leaf,
+    sha256(string_agg(file_name || ':' || bytes || chr(10), '' ORDER BY file_name || ':' || bytes || chr(10))) AS digest FROM files GROUP BY ALL),
+roots AS (SELECT dir, sha256(string_agg(leaf || ':' || digest || chr(10), '' ORDER BY leaf)) AS listing_sha256 FROM leaves GROUP BY dir)
+SELECT dir, count(*) AS n_files, CAST(sum(bytes) AS BIGINT) AS total_bytes, any_value(listing_sha256) AS listing_sha256
+FROM files JOIN roots USING (dir) GROUP BY dir
+"""
+
+
+@query(_digest_sql("SELECT 'all' AS dir, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS file_name, CAST(l_quantity AS INTEGER) AS bytes FROM lineitem"))
+def listing_digest_one_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same digest where one folder holds every file."""
+    listing = S.table(spark, sf_dir, "lineitem").select(
+        F.lit("all").alias("dir"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("file_name"),
+        F.col("l_quantity").cast("int").alias("bytes"),
+    )
+    return digests.listing_digest(listing)
+
+
+@query(_digest_sql("SELECT p_brand AS dir, p_name || '-' || p_partkey AS file_name, p_size AS bytes FROM part"))
 def listing_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest over the sorted names and sizes of each folder."""
     listing = S.table(spark, sf_dir, "part").select(
@@ -341,7 +359,7 @@ _DRIFT = """
 measured AS (
   SELECT p_brand AS ligand_id, CAST(sum(CAST(p_retailprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS affinity FROM part GROUP BY p_brand),
 reference AS (
-  SELECT p_brand AS ligand_id, CAST(sum(CAST(p_retailprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS expected FROM part WHERE p_size <= 48 GROUP BY p_brand
+  SELECT p_brand AS ligand_id, CAST(sum(CAST(p_retailprice + CASE WHEN p_size > 48 THEN 20 ELSE 0 END AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS expected FROM part GROUP BY p_brand
   UNION ALL
   SELECT p_type, CAST(sum(CAST(p_retailprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) FROM part GROUP BY p_type),
 compared AS (
@@ -353,10 +371,15 @@ compared AS (
 
 def _drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = S.table(spark, sf_dir, "part")
-    mean = F.sum(F.col("p_retailprice").cast("decimal(18,2)")).cast("double") / F.count("*")
+    def average(price: Column) -> Column:
+        return F.sum(price.cast("decimal(18,2)")).cast("double") / F.count("*")
+
+    # Some recorded prices are off on purpose.
+    noted = F.col("p_retailprice") + F.when(F.col("p_size") > 48, 20).otherwise(0)
+    mean = average(F.col("p_retailprice"))
     measured = part.groupBy(F.col("p_brand").alias("ligand_id")).agg(mean.alias("affinity"))
-    recorded = part.where("p_size <= 48").groupBy(F.col("p_brand").alias("ligand_id")).agg(
-        mean.alias("expected")
+    recorded = part.groupBy(F.col("p_brand").alias("ligand_id")).agg(
+        average(noted).alias("expected")
     )
     gone = part.groupBy(F.col("p_type").alias("ligand_id")).agg(mean.alias("expected"))
     return drift.compare_to_reference(recorded.unionByName(gone), measured)

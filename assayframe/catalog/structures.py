@@ -218,7 +218,7 @@ _BOXES = f"""
 bounds AS (
   SELECT label, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, (min(z) + max(z)) / 2 AS cz,
          max(x) - min(x) + 10 AS sx, max(y) - min(y) + 10 AS sy, max(z) - min(z) + 10 AS sz
-  FROM points WHERE residue_seq < 40 GROUP BY label),
+  FROM points GROUP BY label),
 boxes AS (
   SELECT label, {sql_round('cx', 3)} AS center_x, {sql_round('cy', 3)} AS center_y, {sql_round('cz', 3)} AS center_z,
          {sql_round('sx', 3)} AS size_x, {sql_round('sy', 3)} AS size_y, {sql_round('sz', 3)} AS size_z FROM bounds)
@@ -227,7 +227,7 @@ _FLAT_BOX = ("center_x", "center_y", "center_z", "size_x", "size_y", "size_z")
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.boxes_from_points(S.points(spark, sf_dir).where("residue_seq < 40"), ["label"])
+    return spatial.boxes_from_points(S.points(spark, sf_dir), ["label"])
 
 
 def _flat(boxes: DataFrame) -> DataFrame:
@@ -248,7 +248,7 @@ SELECT label, center_x, center_y, center_z, side AS size_x, side AS size_y, side
 """)
 def cubic_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The padded box with all sides the longest."""
-    atoms = S.points(spark, sf_dir).where("residue_seq < 40")
+    atoms = S.points(spark, sf_dir)
     return _flat(spatial.boxes_from_points(atoms, ["label"], cubic=True))
 
 
@@ -367,14 +367,14 @@ WITH {_POINTS},
 pairs AS (
   SELECT a.receptor_id, c.serial AS center_serial, a.serial,
          sqrt((a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y) + (a.z - c.z) * (a.z - c.z)) AS dist
-  FROM points a JOIN points c ON a.receptor_id = c.receptor_id AND c.label = 0)
+  FROM points a JOIN points c ON a.receptor_id = c.receptor_id)
 SELECT receptor_id, center_serial, serial, dist, row_number() OVER (PARTITION BY receptor_id, center_serial ORDER BY dist, serial) AS nth
 FROM pairs WHERE dist < 4.5
 """)
 def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours within 4.5 of each center, nearest first."""
     atoms = S.points(spark, sf_dir)
-    near = spatial.neighbours_within(atoms.where("label = 0"), atoms, ["receptor_id"])
+    near = spatial.neighbours_within(atoms, atoms, ["receptor_id"])
     return spatial.ranked_neighbours(near, ["receptor_id"]).select(
         "receptor_id", "center_serial", "serial", "dist", F.col("nth").cast("bigint").alias("nth")
     )

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Entries one digest leaf may hold; about 4 MB of text.
-LEAF_ENTRIES = 65_536
-_SALTS = 32
+# Hexadecimal digits of a name's hash that tell leaves apart.
+LEAF_DIGITS = 4
 
 # File names of a grid-map set.
 FIELD_FILE = "receptor.maps.fld"
@@ -15,57 +14,32 @@ MAP_PATTERN = r"^receptor\..*\.map\z"
 
 
 def listing_digest(
-    listing: DataFrame,
-    key: str = "dir",
-    name: str = "file_name",
-    size: str = "bytes",
-    leaf_entries: int = LEAF_ENTRIES,
+    listing: DataFrame, key: str = "dir", name: str = "file_name", size: str = "bytes"
 ) -> DataFrame:
     """Per folder: number of files, total bytes, and a digest of its listing.
 
-    Up to ``leaf_entries`` files (``kind = 'flat'``) the digest is SHA-256 over
-    the sorted ``name:size`` lines. A larger folder (``kind = 'tree'``) is spread
-    by file name over leaves of about that size, each digested alike, and the
-    digest covers the sorted ``leaf:digest`` lines, so no task ever holds a whole
-    folder.
+    Files fall into leaves by the first digits of the SHA-256 of their name. A
+    leaf's digest is SHA-256 over its sorted ``name:size`` lines, the folder's
+    over the sorted ``leaf:digest`` lines of the leaves that hold files. One
+    definition at every size: a folder has at most 16**4 leaves, so neither a leaf
+    nor the list of leaves ever holds a whole large folder.
     """
     totals = listing.groupBy(key).agg(
         F.count("*").alias("n_files"), F.sum(size).cast("bigint").alias("total_bytes")
     )
-    leaves = totals.select(
+    entries = listing.select(
         key,
-        F.ceil(F.col("n_files") / leaf_entries).alias("_leaves"),
-        F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt"),
+        F.substring(F.sha2(name, 256), 1, LEAF_DIGITS).alias("_leaf"),
+        F.concat(F.col(name), F.lit(":"), F.col(size).cast("string"), F.lit("\n")).alias("_line"),
     )
-    spread = F.xxhash64(name)
-    entries = (
-        listing.select(key, name, size)
-        .withColumn("_salt", F.pmod(spread, F.lit(_SALTS)).cast("int"))
-        .join(leaves, [key, "_salt"])
-        .withColumn("_leaf", F.pmod(F.xxhash64(F.lit("leaf"), F.col(name)), F.col("_leaves")))
+    leaves = entries.groupBy(key, "_leaf").agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list("_line")), ""), 256).alias("_digest")
     )
-    line = F.concat(F.col(name), F.lit(":"), F.col(size).cast("string"))
-    in_order = F.array_sort(F.collect_list(F.struct(F.col(name), F.col(size), line.alias("_line"))))
-    text = F.array_join(F.transform(in_order, lambda e: F.concat(e["_line"], F.lit("\n"))), "")
-    leaf = entries.groupBy(key, "_leaf").agg(F.sha2(text, 256).alias("_digest"))
-    listed = F.array_sort(F.collect_list(F.struct("_leaf", "_digest")))
-    roots = leaf.groupBy(key).agg(listed.alias("_l")).withColumn(
-        "_text",
-        F.array_join(
-            F.transform(
-                "_l",
-                lambda e: F.concat(e["_leaf"].cast("string"), F.lit(":"), e["_digest"], F.lit("\n")),
-            ),
-            "",
-        ),
+    listed = F.array_sort(
+        F.collect_list(F.concat(F.col("_leaf"), F.lit(":"), F.col("_digest"), F.lit("\n")))
     )
-    flat = F.size("_l") == 1
-    digests = roots.select(
-        key,
-        F.when(flat, "flat").otherwise("tree").alias("kind"),
-        F.when(flat, F.col("_l")[0]["_digest"])
-        .otherwise(F.sha2("_text", 256))
-        .alias("listing_sha256"),
+    digests = leaves.groupBy(key).agg(
+        F.sha2(F.array_join(listed, ""), 256).alias("listing_sha256")
     )
     return totals.join(digests, key)
 

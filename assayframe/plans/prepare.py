@@ -11,21 +11,26 @@ from pyspark.sql import functions as F
 
 from assayframe.operators import batchmap, digests, progress
 from assayframe.schemas import DESCRIPTOR_SCHEMA, MANIFEST_COLUMNS, PrepConfig
+from assayframe.session import path_exists
 from assayframe.sources import runs
+from assayframe.sources.manifest import last_wins
 from assayframe.streaming.journal_stream import scratch_folder
 
 _DESCRIPTORS = tuple(DESCRIPTOR_SCHEMA.fieldNames())
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
-
-
 def prepared_table(spark: SparkSession, out_dir: str, name: str) -> DataFrame | None:
-    """A table of the output folder, or None before the first run."""
+    """A table of the output folder, or None before the first run.
+
+    Of the manifest rows that resumed runs added for one id, the last counts.
+    """
     path = f"{out_dir}/{name}"
-    return spark.read.parquet(path) if _exists(spark, path) else None
+    if not path_exists(spark, path):
+        return None
+    rows = spark.read.parquet(path)
+    if name == "manifest" and "committed_at" in rows.columns:
+        return last_wins(rows, "ligand_id", "committed_at").drop("committed_at")
+    return rows
 
 
 def done_ids(spark: SparkSession, out_dir: str) -> DataFrame | None:
@@ -98,7 +103,9 @@ def prepare(
     )
     # Files before the manifest: a row counts as done only if its files exist.
     ligands.write.mode("append").parquet(f"{out_dir}/ligands")
-    manifest.write.mode("append").parquet(f"{out_dir}/manifest")
+    manifest.withColumn("committed_at", F.lit(time.time_ns())).write.mode("append").parquet(
+        f"{out_dir}/manifest"
+    )
     failures.write.mode("append").parquet(f"{out_dir}/failures")
 
     summary = prep_summary(library, finished, good, failures, limit, time.time() - started)
@@ -138,7 +145,7 @@ def prep_summary(
 
 
 def prep_progress(spark: SparkSession, out_dir: str) -> tuple[int, int]:
-    """Rows committed so far as (prepared, failed); needs file footers only."""
+    """Rows committed so far as (prepared, failed)."""
     counts = []
     for name in ("manifest", "failures"):
         table = prepared_table(spark, out_dir, name)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from assayframe.operators.digests import folder_digests
 from assayframe.schemas import SCHEMA_VERSION
+from assayframe.session import path_exists
 from assayframe.sources.structures import read_digests, read_listing
 
 REPRODUCIBILITY_NOTE = (
@@ -27,12 +28,13 @@ def provenance(
     manifest: str | None = None,
 ) -> DataFrame:
     """One row per run: input digests, configuration, reproducibility."""
-    listing = read_listing(spark, ligand_dir, "*.pdbqt")
-    folder = listing.select("dir").distinct()
-    ligands = folder_digests(folder, listing).agg(
-        F.first(
-            F.struct("dir", "n_files", "total_bytes", "kind", "listing_sha256"), ignorenulls=True
-        ).alias("ligands")
+    asked = spark.range(1).select(F.lit(ligand_dir).alias("dir"))
+    if path_exists(spark, ligand_dir):
+        listing = read_listing(spark, ligand_dir, "*.pdbqt").withColumn("dir", F.lit(ligand_dir))
+    else:
+        listing = spark.createDataFrame([], "dir string, file_name string, path string, bytes bigint")
+    ligands = folder_digests(asked, listing).select(
+        F.struct("dir", "exists", "n_files", "total_bytes", "listing_sha256").alias("ligands")
     )
 
     def digest(path: str, name: str) -> DataFrame:

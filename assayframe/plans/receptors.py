@@ -15,7 +15,7 @@ def check_receptors(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
     """One report row per file, also for files without a single atom."""
     atoms = structures.read_receptors(spark, path)
     files = spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path))
-    return composition.receptor_report(atoms, files.select(F.col("path").alias("receptor_id")))
+    return composition.receptor_report(atoms, files.select(F.col("_metadata.file_path").alias("receptor_id")))
 
 
 def site_boxes(

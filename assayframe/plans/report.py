@@ -22,12 +22,17 @@ def report(
     manifest: DataFrame | None = None,
     group_variants: bool = True,
     latest_only: bool = False,
+    ligand_dir: str | None = None,
 ) -> DataFrame:
     """Write ``results`` and ``all_modes`` and return the ranked rows.
 
+    Without a manifest, the one in or above ``ligand_dir`` is looked up.
+
     Safe on a run in progress: it reports on the files committed so far.
     """
     journal = read_journal(spark, journal_path)
+    if manifest is None and (found := M.find_manifest(spark, ligand_dir)):
+        manifest = M.read_manifest(spark, found)
     described = empty_manifest(spark) if manifest is None else manifest
     ranked = hits.ranked_hits(journal, described, group_variants, latest_only)
     M.write_results(ranked, f"{out_dir}/results")

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayframe.functions.seeds import stable_seed
 from assayframe.operators import batchmap, progress
-from assayframe.plans.prepare import _exists
+from assayframe.operators.ordering import with_global_rank
 from assayframe.schemas import ScreenConfig
+from assayframe.session import path_exists
 from assayframe.sources import runs
 from assayframe.sources.journal import append_journal, read_journal
 from assayframe.streaming.journal_stream import scratch_folder
@@ -28,7 +30,7 @@ def screen(
     config: ScreenConfig,
     scorer: batchmap.OpenScorer | str,
     run_id: str = "run",
-    waves: int = 1,
+    waves: int = 12,
     limit: int | None = None,
     resume: bool = True,
     retry: str = "setup_only",
@@ -37,10 +39,11 @@ def screen(
 ) -> DataFrame:
     """Score ``(ligand_id, text)`` rows and return the status row.
 
-    The work is cut by id into ``waves``; each commits before the next starts.
-    A kill loses at most the wave in flight, which is weaker than one row at a
-    time and is what a larger number of waves buys back. After a wave with
-    enough failed set-ups in a row the run stops.
+    The work is cut by id into ``waves``, each about as large as all before it
+    together; each commits before the next starts. So a broken set-up shows in a
+    small share of the rows, and a kill loses at most the wave in flight. After
+    each wave the records of the whole run are looked at in the order they were
+    finished; enough failed set-ups in a row, across waves too, stop it.
     """
     problems = batchmap.check_config(config)
     if problems:
@@ -61,13 +64,13 @@ def screen(
         raise ValueError("no prepared ligands")
     work = flagged
     batches_before = 0
-    if resume and _exists(spark, journal_path):
+    if resume and path_exists(spark, journal_path):
         earlier = read_journal(spark, journal_path)
         work = progress.todo(flagged, progress.finished_ids(earlier, retry))
         batches_before = _next_batch(spark, journal_path)
     work = work.withColumn(
         "row_seed", stable_seed(config.seed, F.col("ligand_id"))
-    ).withColumn("_wave", F.pmod(F.xxhash64("ligand_id"), F.lit(waves)))
+    ).withColumn("_wave", wave_of(F.col("ligand_id"), waves))
 
     started = time.time()
 
@@ -90,7 +93,9 @@ def screen(
         append_journal(outcomes, journal_path, batch)
         poses = outcomes.where("poses is not null").select("run_id", "ligand_id", "poses")
         poses.write.mode("append").parquet(f"{run_dir}/poses")
-        stop = first_stop(spark, f"{journal_path}/batch_id={batch:010d}")
+        stop = first_stop(
+            spark, [f"{journal_path}/batch_id={b:010d}" for b in range(batches_before, batch + 1)]
+        )
         if stop is not None:
             runs.append_run(record("failed", stop), f"{run_dir}/runs")
             raise SetupFailure(stop)
@@ -98,10 +103,18 @@ def screen(
     return run_state(spark, run_dir)
 
 
-def first_stop(spark: SparkSession, batch_path: str) -> str | None:
-    """Message of the record at which one committed batch should have stopped."""
-    records = read_journal(spark, batch_path)
-    stops = progress.stop_points(records, ["run_id"])
+def wave_of(ligand_id: Column, waves: int) -> Column:
+    """Wave of an id: shares double from wave to wave, the last takes half of all."""
+    share = F.pmod(F.xxhash64(F.lit("wave"), ligand_id), F.lit(1 << (waves - 1)))
+    # The bit length of a number below 2**k is j with chance 2**(j-1-k).
+    return F.when(share == 0, 0).otherwise(F.length(F.bin(share))).cast("int")
+
+
+def first_stop(spark: SparkSession, batch_paths: Sequence[str]) -> str | None:
+    """Message of the record at which the run should have stopped, by completion time."""
+    records = read_journal(spark, batch_paths).drop("ordinal")
+    placed = with_global_rank(records, [F.col("timestamp"), F.col("ligand_id")], "ordinal")
+    stops = progress.stop_points(placed, ["run_id"])
     row = stops.orderBy("ordinal").select("error").limit(1).collect()
     return (row[0]["error"] or "run could not be set up") if row else None
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from assayframe.functions import scoring, text
 from assayframe.functions.numeric import round_half_even
 from assayframe.schemas import JOURNAL_SCHEMA
+from assayframe.session import path_exists
 from assayframe.sources.positions import scan_pieces, with_positions
 
 _CORRUPT = "_corrupt"
@@ -72,9 +73,15 @@ def parse_records(lines: DataFrame, line: str = "line") -> DataFrame:
 def read_journal(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Every complete record, with its position as ``ordinal``.
 
-    Files count in path order, so writers name them in the order of commit.
+    Files count in path order, so writers name them in the order of commit. A
+    journal that does not exist yet is an empty one.
     """
-    pieces = scan_pieces(spark, path)
+    paths = [path] if isinstance(path, str) else list(path)
+    there = [p for p in paths if any(c in p for c in "*?[{") or path_exists(spark, p)]
+    if not there:
+        empty = "line string, ordinal bigint, source_file string"
+        return parse_records(spark.createDataFrame([], empty))
+    pieces = scan_pieces(spark, there)
     placed = with_positions(pieces, text.strip(F.col("piece")) != "")
     lines = placed.select(F.col("piece").alias("line"), "ordinal", "source_file")
     return parse_records(lines)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +16,6 @@ from assayframe.schemas import (
     MANIFEST_SCHEMA,
     RESULT_COLUMNS,
 )
-from assayframe.sources.positions import scan_pieces, with_positions
 
 _LISTS = {"pdbqt": ";", "warnings": "; "}
 
@@ -32,23 +33,32 @@ def last_wins(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
     return best.select("_row.*")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Typed manifest, unique on ``ligand_id`` (the last duplicate wins)."""
-    text_columns = T.StructType([T.StructField(c, T.StringType()) for c in MANIFEST_COLUMNS])
-    lines = with_positions(scan_pieces(spark, path), F.lit(True))
-    parsed = lines.where(~F.col("is_first") & (F.col("piece") != "")).select(
-        F.from_csv("piece", text_columns.simpleString()[7:-1].replace(":", " ")).alias("_m"),
-        "ordinal",
-    )
+def read_manifest(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Typed manifest, unique on ``ligand_id`` (the last duplicate wins).
+
+    Columns go by the header's names: their order is free, further ones are
+    ignored, missing ones are null. Quoted cells may hold commas, doubled quotes
+    and line ends; a backslash is a plain character. Files count in path order.
+    """
+    rows = spark.read.csv(
+        path if isinstance(path, str) else list(path),
+        header=True, multiLine=True, quote='"', escape='"', inferSchema=False, enforceSchema=False,
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
     typed = []
     for field in MANIFEST_SCHEMA.fields:
-        cell = nullif_empty(F.col(f"_m.{field.name}"))
+        known = field.name in rows.columns
+        cell = nullif_empty(F.col(f"`{field.name}`") if known else F.lit(None).cast("string"))
         if field.name in _LISTS:
             cell = F.filter(F.split(cell, _LISTS[field.name]), lambda s: s != "")
         elif not isinstance(field.dataType, T.StringType):
             cell = cell.try_cast(field.dataType)
         typed.append(cell.alias(field.name))
-    return last_wins(parsed.select(*typed, "ordinal"), "ligand_id", "ordinal").drop("ordinal")
+    # A file with quoted line ends is read by one task, so its rows are numbered in order.
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")
+    )
+    return last_wins(rows.select(*typed, place.alias("ordinal")), "ligand_id", "ordinal").drop("ordinal")
 
 
 def manifest_text(manifest: DataFrame) -> DataFrame:
@@ -63,7 +73,7 @@ def manifest_text(manifest: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV files with a header; an empty table still leaves its header line."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).csv(path, header=True, quote='"', escape='"')
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:

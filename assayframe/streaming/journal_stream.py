@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -36,15 +36,13 @@ def stream_journal(
     return parse_records(lines)
 
 
-def without_redelivery(records: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop records delivered twice.
+def without_redelivery(records: DataFrame) -> DataFrame:
+    """Drop records delivered twice; a first delivery always passes, however late.
 
-    The watermark is this library's addition: it bounds the state to the records
-    of the last ``delay`` by their own time stamps.
+    The state holds every key seen, so long streams want the RocksDB state store
+    (``session.DEFAULT_CONF`` sets it), which keeps it on disk.
     """
-    keys = ["run_id", "ligand_id", "timestamp"]
-    timed = records.withColumn("_time", F.timestamp_micros((F.col("timestamp") * 1e6).cast("bigint")))
-    return timed.withWatermark("_time", delay).dropDuplicates([*keys, "_time"]).drop("_time")
+    return records.dropDuplicates(["run_id", "ligand_id", "timestamp"])
 
 
 def stream_status(records: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
@@ -58,14 +56,15 @@ def progress_of(counts: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 class _Watch:
-    """A batch operator applied to every micro-batch, with a small table handed on.
+    """A batch operator over all records of a stream, whatever order they came in.
 
-    Results and hand-over are written per batch number. Replaying a batch reads
-    the same predecessor and overwrites its own output, so it is harmless.
+    Each micro-batch adds its few needed columns to a log, under its own number,
+    so replaying a batch is harmless and nothing written before is touched.
+    ``results`` applies the operator to the log: the answer depends on the set of
+    records alone, not on how files, batches and ordinals were mixed.
     """
 
-    result_columns = ""
-    state_columns = ""
+    log_columns = ""
 
     def __init__(
         self, spark: SparkSession, folder: str, key: str = "run_id", ordinal: str = "ordinal",
@@ -74,26 +73,28 @@ class _Watch:
         self.spark, self.folder = spark, folder
         self.key, self.ordinal, self.slice_rows = key, ordinal, slice_rows
 
-    def step(self, batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Result rows of a batch, and the newest state of the keys in it."""
+    def narrow(self, batch: DataFrame) -> Column:
+        """The one further column the operator needs."""
+        raise NotImplementedError
+
+    def answer(self, log: DataFrame) -> DataFrame:
         raise NotImplementedError
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        state = None
-        if batch_id > 0:
-            state = self.spark.read.schema(f"{self.key} string, {self.state_columns}").parquet(
-                f"{self.folder}/state/{batch_id - 1:010d}"
-            )
-        result, ends = self.step(batch, state)
-        if state is not None:
-            ends = ends.unionByName(state.join(ends, self.key, "left_anti"))
-        result.write.mode("overwrite").parquet(f"{self.folder}/result/{batch_id:010d}")
-        ends.write.mode("overwrite").parquet(f"{self.folder}/state/{batch_id:010d}")
+        rows = batch.select(
+            F.col(self.key).cast("string").alias(self.key),
+            F.col(self.ordinal).cast("bigint").alias(self.ordinal),
+            self.narrow(batch),
+        )
+        rows.write.mode("overwrite").parquet(f"{self.folder}/log/{batch_id:010d}")
 
-    def results(self) -> DataFrame:
-        schema = f"{self.key} string, {self.ordinal} bigint, {self.result_columns}"
+    def log(self) -> DataFrame:
+        schema = f"{self.key} string, {self.ordinal} bigint, {self.log_columns}"
         reader = self.spark.read.schema(schema).option("recursiveFileLookup", "true")
-        return reader.parquet(f"{self.folder}/result")
+        return reader.parquet(f"{self.folder}/log")
+
+    def results(self) -> DataFrame:
+        return self.answer(self.log())
 
 
 class StreakWatch(_Watch):
@@ -103,32 +104,17 @@ class StreakWatch(_Watch):
     does not end up in one task.
     """
 
-    result_columns = "streak bigint"
-    state_columns = "carry bigint"
+    log_columns = "hit boolean"
     limit = SETUP_FAILURE_LIMIT
 
-    def step(self, batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        key, ordinal = self.key, self.ordinal
-        rows = batch.select(
-            F.col(key).cast("string").alias(key),
-            F.col(ordinal).cast("bigint").alias(ordinal),
-            scoring.is_retryable(F.col("error_kind")).alias("hit"),
-        )
-        if state is not None:
-            # A streak handed on is replayed as that many hits before the batch.
-            places = F.explode(F.sequence(-F.col("carry"), F.lit(-1).cast("bigint")))
-            rows = rows.unionByName(
-                state.where("carry > 0").select(
-                    key, places.alias(ordinal), F.lit(True).alias("hit")
-                )
-            )
-        streaks = with_streak(rows, [key], ordinal, F.col("hit"), "streak", self.slice_rows)
-        stops = streaks.where((F.col("streak") == self.limit) & (F.col(ordinal) >= 0))
-        carry = F.least(F.max_by("streak", ordinal), F.lit(self.limit).cast("bigint"))
-        return (
-            stops.select(key, ordinal, "streak"),
-            streaks.groupBy(key).agg(carry.alias("carry")),
+    def narrow(self, batch: DataFrame) -> Column:
+        return scoring.is_retryable(F.col("error_kind")).alias("hit")
+
+    def answer(self, log: DataFrame) -> DataFrame:
+        streaks = with_streak(
+            log, [self.key], self.ordinal, F.col("hit"), "streak", self.slice_rows
         )
+        return streaks.where(F.col("streak") == self.limit).select(self.key, self.ordinal, "streak")
 
 
 class TransitionWatch(_Watch):
@@ -137,26 +123,19 @@ class TransitionWatch(_Watch):
     Following goes on after the report, since journal records may still arrive.
     """
 
-    result_columns = "state string"
-    state_columns = "state string"
+    log_columns = "state string"
 
-    def step(self, batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        key, ordinal = self.key, self.ordinal
-        rows = batch.select(
-            F.col(key).cast("string").alias(key), F.col(ordinal).cast("bigint").alias(ordinal), "state"
+    def narrow(self, batch: DataFrame) -> Column:
+        return F.col("state")
+
+    def answer(self, log: DataFrame) -> DataFrame:
+        moved = with_previous(
+            log, [self.key], self.ordinal, "state", "_previous", self.slice_rows
         )
-        if state is not None:
-            rows = rows.unionByName(
-                state.select(key, F.lit(-1).cast("bigint").alias(ordinal), "state")
-            )
-        moved = with_previous(rows, [key], ordinal, "state", "_previous", self.slice_rows)
         entered = F.col("state").isin(*TERMINAL_STATES) & ~F.col("state").eqNullSafe(
             F.col("_previous")
         )
-        return (
-            moved.where(entered & (F.col(ordinal) >= 0)).select(key, ordinal, "state"),
-            rows.groupBy(key).agg(F.max_by("state", ordinal).alias("state")),
-        )
+        return moved.where(entered).select(self.key, self.ordinal, "state")
 
 
 def catch_up(

@@ -161,7 +161,11 @@ def test_digests(spark, tmp_path):
         return digests.listing_digest(listing).first()
 
     row = digest()
-    want = hashlib.sha256(b"a.pdbqt:2\nb.pdbqt:5\n").hexdigest()
+    leaves = sorted(
+        (hashlib.sha256(n.encode()).hexdigest()[:4], hashlib.sha256(f"{n}:{k}\n".encode()).hexdigest())
+        for n, k in (("a.pdbqt", 2), ("b.pdbqt", 5))
+    )
+    want = hashlib.sha256("".join(f"{a}:{d}\n" for a, d in leaves).encode()).hexdigest()
     assert (row["n_files"], row["total_bytes"], row["listing_sha256"]) == (2, 7, want)
     (tmp_path / "d/a.pdbqt").write_text("xxx")
     assert digest()["listing_sha256"] != want
@@ -172,20 +176,20 @@ def test_digests(spark, tmp_path):
     ).first()
     assert row["receptor"]["sha256"] == hashes["b.pdbqt"] and row["ligands"]["n_files"] == 2
     assert json.loads(row["config"])["seed"] == 42 and row["global_seed"] == 42
+    gone = provenance.provenance(spark, "r", str(tmp_path / "d/b.pdbqt"), str(tmp_path / "gone"), CONFIG.to_dict()).first()
+    assert gone["ligands"]["exists"] is False and row["ligands"]["exists"] is True
 
 
-def test_large_folders_get_a_tree_digest(spark):
+def test_digest_depends_on_the_listing_alone(spark):
     listing = spark.range(5000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 7).cast("string")).alias("dir"),
         F.concat(F.lit("f"), F.col("id").cast("string")).alias("file_name"), (F.col("id") % 11).alias("bytes"),
     )
-    rows = digests.listing_digest(listing, leaf_entries=500)
-    kinds = {r["dir"]: r["kind"] for r in rows.collect()}
-    assert kinds["hot"] == "tree" and set(kinds.values()) == {"tree", "flat"}
-    shuffled = digests.listing_digest(listing.repartition(13), leaf_entries=500)
+    rows = digests.listing_digest(listing)
+    shuffled = digests.listing_digest(listing.repartition(13))
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, shuffled.collect()))
     moved = listing.withColumn("bytes", F.when(F.col("file_name") == "f3", 99).otherwise(F.col("bytes")))
-    changed = {r["dir"]: r["listing_sha256"] for r in digests.listing_digest(moved, leaf_entries=500).collect()}
+    changed = {r["dir"]: r["listing_sha256"] for r in digests.listing_digest(moved).collect()}
     before = {r["dir"]: r["listing_sha256"] for r in rows.collect()}
     assert [k for k in before if before[k] != changed[k]] == ["hot"]
     missing = digests.folder_digests(spark.createDataFrame([("hot",), ("gone",)], "dir string"), listing)

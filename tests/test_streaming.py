@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from assayframe.operators import hits, progress
@@ -80,6 +81,46 @@ def test_terminal_states_are_reported_once(spark, tmp_path):
     assert got == [(2, "a", "failed"), (5, "a", "finished")]
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_watches_do_not_depend_on_order(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    kinds = [rng.choice(["setup", "setup", None]) for _ in range(60)]
+    states = [rng.choice(["running", "failed", "finished"]) for _ in range(60)]
+    rows = [{"run_id": f"r{i % 2}", "ordinal": i * i, "error_kind": k, "state": s} for i, (k, s) in enumerate(zip(kinds, states, strict=True))]
+    rng.shuffle(rows)
+    cuts = sorted(rng.sample(range(1, 60), 5))
+    for f, (a, b) in enumerate(zip([0, *cuts], [*cuts, 60], strict=True)):
+        publish(tmp_path / "in", f, rows[a:b])
+    stream = (
+        spark.readStream.schema("run_id string, ordinal bigint, error_kind string, state string")
+        .option("maxFilesPerTrigger", 1 + seed % 2).json(str(tmp_path / "in"))
+    )
+    stops, moves = S.StreakWatch(spark, str(tmp_path / "a"), slice_rows=8), S.TransitionWatch(spark, str(tmp_path / "b"), slice_rows=8)
+    stops.limit = 2
+    S.catch_up(stream, stops, str(tmp_path / "ca"))
+    S.catch_up(stream, moves, str(tmp_path / "cb"))
+    want_stops, want_moves, run, last = set(), set(), {}, {}
+    for r in sorted(rows, key=lambda r: r["ordinal"]):
+        key = r["run_id"]
+        run[key] = run.get(key, 0) + 1 if r["error_kind"] else 0
+        if run[key] == 2:
+            want_stops.add((key, r["ordinal"]))
+        if r["state"] != "running" and r["state"] != last.get(key):
+            want_moves.add((key, r["ordinal"], r["state"]))
+        last[key] = r["state"]
+    assert {(r["run_id"], r["ordinal"]) for r in stops.results().collect()} == want_stops
+    assert {(r["run_id"], r["ordinal"], r["state"]) for r in moves.results().collect()} == want_moves
+
+
+def test_late_first_deliveries_pass(spark, tmp_path):
+    times = [2e6, 1.5e6, 1e6, 2.000001e6, 1.6e6, 1e6]
+    for f, t in enumerate(times):
+        publish(tmp_path / "in", f, [{"run_id": "r", "ligand_id": "A", "timestamp": t}])
+    stream = S.stream_journal(spark, str(tmp_path / "in"), max_files=1).select("run_id", "ligand_id", "timestamp")
+    got = S.drain_to_table(S.without_redelivery(stream)).collect()
+    assert sorted(r["timestamp"] for r in got) == sorted(set(times))
+
+
 def test_catch_up_then_follow_reads_each_file_once(spark, tmp_path):
     folder, seen = tmp_path / "journal", []
 
