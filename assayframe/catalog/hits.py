@@ -119,7 +119,7 @@ def top_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {_COLLATED},
 counts AS (SELECT count(*) FILTER (has_descriptors) AS matched, count(*) AS total FROM best)
 SELECT matched, total,
-       CASE WHEN total > 0 AND matched = 0 THEN 'no descriptors joined'
+       CASE WHEN total > 0 AND matched = 0 THEN 'not one row found its descriptors'
             WHEN matched < total THEN (total - matched) || ' of ' || total || ' rows have no descriptors' END AS warning
 FROM counts
 """)

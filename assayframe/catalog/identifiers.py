@@ -261,7 +261,7 @@ classed AS (
   FROM stripped)
 SELECT doc_id, cause, right(clean, CASE WHEN cause = 'other' THEN 800 ELSE 600 END) AS tail,
        CASE WHEN regexp_matches(raw, 'INITIAL_COORDS|ETK_MINIMIZATION|FINAL_CHIRAL')
-            THEN '3D embedding failed (RDKit ETKDG could not satisfy the geometry): ' || left(raw, 120)
+            THEN 'no 3D geometry was found: ' || left(raw, 120)
             ELSE left(raw, 200) END AS readable,
        left(regexp_split_to_array(clean, '{LINE_END}')[1], 200) AS brief,
        CASE WHEN contains(raw, 'not a valid AutoDock type') THEN regexp_extract(raw, 'Atom type{WHITESPACE}*([^\\s]+)', 1) END AS refused_type

@@ -311,7 +311,7 @@ def listing_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS ligand_id,
        CASE WHEN l_quantity > 40 THEN 'filter' END AS stage,
-       CASE WHEN l_quantity > 40 THEN CAST(l_quantity AS INTEGER) || ' rotatable bonds exceeds max_torsions=40' END AS error
+       CASE WHEN l_quantity > 40 THEN CAST(l_quantity AS INTEGER) || ' rotatable bonds, the limit is 40' END AS error
 FROM lineitem
 """)
 def filter_with_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,9 +334,9 @@ WITH configs AS (
 SELECT p_partkey, concat_ws('; ',
   CASE WHEN engine NOT IN ('vina', 'vinardo', 'ad4', 'autodock4') THEN 'unknown engine ' || engine END,
   CASE WHEN engine = 'autodock4' THEN 'autodock4 is not available' END,
-  CASE WHEN exhaustiveness < 1 THEN 'exhaustiveness must be at least 1' END,
-  CASE WHEN n_modes < 1 THEN 'n_modes must be at least 1' END,
-  CASE WHEN parameter_file IS NOT NULL AND engine NOT IN ('ad4', 'autodock4') THEN engine || ' takes no parameter file' END) AS problems
+  CASE WHEN exhaustiveness < 1 THEN 'exhaustiveness is below 1' END,
+  CASE WHEN n_modes < 1 THEN 'n_modes is below 1' END,
+  CASE WHEN parameter_file IS NOT NULL AND engine NOT IN ('ad4', 'autodock4') THEN engine || ' cannot use a parameter file' END) AS problems
 FROM configs
 """)
 def config_check(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,15 +121,15 @@ ranged AS (
 @query(f"""
 WITH {_TYPE_COUNTS}
 SELECT label, n_atoms, atom_types, chains, lo, hi, n_polar_hydrogens, coalesce(metals, '') AS metals, n_tz > 0 AS has_tz,
-       concat_ws('; ', CASE WHEN n_polar_hydrogens = 0 THEN 'no polar hydrogens (HD atoms), so the receptor has no donors' END,
-         CASE WHEN n_carbon = 0 THEN 'no carbon atoms; this does not look like a protein receptor' END,
-         CASE WHEN odd IS NOT NULL THEN 'unrecognised atom types: ' || odd END,
-         CASE WHEN n_blank > 0 THEN n_blank || ' atoms have no type in columns 78-79' END) AS problems,
+       concat_ws('; ', CASE WHEN n_polar_hydrogens = 0 THEN 'not one HD atom: nothing here donates a hydrogen bond' END,
+         CASE WHEN n_carbon = 0 THEN 'without carbon this can hardly be a protein' END,
+         CASE WHEN odd IS NOT NULL THEN 'types not known here: ' || odd END,
+         CASE WHEN n_blank > 0 THEN n_blank || ' atoms without a type field' END) AS problems,
        concat_ws('; ', CASE WHEN n_polar_hydrogens > 0 AND n_polar_hydrogens < n_atoms * CAST(0.02 AS DOUBLE)
-           THEN 'only ' || n_polar_hydrogens || ' polar hydrogens for ' || n_atoms || ' atoms' END,
-         CASE WHEN metals IS NOT NULL THEN 'metals present: ' || metals END,
-         CASE WHEN contains(metals, 'ZN') AND n_tz = 0 THEN 'zinc present but no TZ pseudo-atoms' END,
-         CASE WHEN n_tz > 0 THEN n_tz || ' zinc pseudo-atoms (TZ) present' END) AS notes
+           THEN 'only ' || n_polar_hydrogens || ' HD atoms among ' || n_atoms || ' atoms' END,
+         CASE WHEN metals IS NOT NULL THEN 'metals: ' || metals END,
+         CASE WHEN contains(metals, 'ZN') AND n_tz = 0 THEN 'has zinc, lacks TZ points' END,
+         CASE WHEN n_tz > 0 THEN n_tz || ' TZ points' END) AS notes
 FROM summed JOIN ranged USING (label)
 """)
 def composition_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,7 +300,7 @@ def box_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT vec_id, CASE vec_id % 4 WHEN 2 THEN NULL ELSE CAST(vec_id AS DOUBLE) END AS center_x,
        CASE vec_id % 4 WHEN 0 THEN CAST(22.5 AS DOUBLE) WHEN 3 THEN CAST(-1 AS DOUBLE) ELSE CAST(label AS DOUBLE) + 1 END AS size_z,
-       CASE vec_id % 4 WHEN 2 THEN 'box definition is missing center_x' WHEN 3 THEN 'box dimensions must be positive' END AS error
+       CASE vec_id % 4 WHEN 2 THEN 'the box lacks center_x' WHEN 3 THEN 'every box side must exceed zero' END AS error
 FROM embeddings
 """)
 def box_parse(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,11 +77,11 @@ def run_checks(journal: DataFrame, n_expected: int, ranked: DataFrame) -> DataFr
 
     ok, failed, scored, unsorted = (F.col(c) for c in ("ok", "failed", "scored", "unsorted"))
     return (
-        _check(facts, "scoring completes", (failed == 0) & (ok > 0),
+        _check(facts, "nothing failed", (failed == 0) & (ok > 0),
                text(ok, " scored, ", failed, " failed"))
         .unionByName(_check(facts, "every ligand scored", scored == n_expected,
                             text(scored, f"/{n_expected}")))
-        .unionByName(_check(facts, "modes are ordered best-first", unsorted == 0,
+        .unionByName(_check(facts, "best mode comes first", unsorted == 0,
                             text(unsorted, " out of order")))
         .unionByName(_check(rows, "results written", F.col("n") > 0,
                             text(F.col("n"), " ranked rows")))

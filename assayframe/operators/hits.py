@@ -162,7 +162,7 @@ def join_coverage(
     matched, total = F.col("matched"), F.col("total")
     return counts.withColumn(
         "warning",
-        F.when((total > 0) & (matched == 0), "no descriptors joined").when(
+        F.when((total > 0) & (matched == 0), "not one row found its descriptors").when(
             matched < total,
             F.concat(
                 (total - matched).cast("string"),

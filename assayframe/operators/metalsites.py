@@ -195,7 +195,7 @@ def zinc_summary(before: DataFrame, after: DataFrame) -> DataFrame:
         .withColumn(
             "problem",
             F.when(F.col("n_zinc") == 0, "no zinc atoms").when(
-                F.col("n_pseudo") == 0, "every zinc is already fully coordinated"
+                F.col("n_pseudo") == 0, "no zinc has a free place"
             ),
         )
     )

@@ -126,7 +126,7 @@ SCHEMA_VERSION = 1
 
 @dataclass(frozen=True)
 class PrepConfig:
-    """Parameters of a preparation job, recorded verbatim in its metadata."""
+    """Settings that decide what a preparation job does; its metadata repeats them."""
 
     ph: float = 7.4
     optimize: bool = True

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from assayframe.catalog import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = [p.stem for p in DATA.glob("*.parquet")] if DATA.exists() else []
@@ -29,10 +30,10 @@ def bag(columns, rows):
     return Counter(tuple(row[i] for i in order) for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_rows_equal_the_sql(spark, duck, name):
-    df = queries()[name](spark, str(DATA))
-    cursor = duck.execute(oracle_sql()[name])
+    df = QUERIES[name](spark, str(DATA))
+    cursor = duck.execute(ORACLES[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(columns) == sorted(df.columns)
     assert bag(df.columns, map(tuple, df.collect())) == bag(columns, cursor.fetchall())
@@ -44,4 +45,5 @@ def test_entry(spark):
 
 def test_sql_belongs_to_queries():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"metal_sites"}
+    assert set(QUERIES) <= set(queries())
+    assert set(QUERIES) - set(ORACLES) == {"metal_sites"}

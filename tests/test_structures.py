@@ -66,7 +66,13 @@ def test_reports(spark, folder):
     assert empty["residue_range"] is None
     assert composition.NO_POLAR_HYDROGENS in bare["problems"]
     assert composition.NO_CARBON in bare["problems"]
-    assert any(p.startswith("3 atoms have no type") for p in bare["problems"])
+    assert any(p.startswith("3 atoms without a type") for p in bare["problems"])
+
+
+def test_file_names_with_blanks_find_their_atoms(spark, tmp_path):
+    (tmp_path / "with space.pdbqt").write_text(line(1, "ZN", "ZN", "A", 1, 0, 0, 0, kind="Zn"))
+    row = receptors.check_receptors(spark, str(tmp_path)).first()
+    assert row["n_atoms"] == 1
 
 
 def test_sites_and_boxes(spark, folder):
@@ -183,7 +189,7 @@ def test_full_and_missing_sites_are_reported(spark):
     zinc = (0.0, 0.0, 0.0)
     corners = around(zinc, 2.1, *TETRAHEDRON)
     full = zinc_site(spark, *[("NA", p) for p in corners], zinc=zinc)
-    assert receptors.add_zinc_pseudo_atoms(full)[1].first()["problem"] == "every zinc is already fully coordinated"
+    assert receptors.add_zinc_pseudo_atoms(full)[1].first()["problem"] == "no zinc has a free place"
     none = zinc_site(spark, ("C", (1.0, 1.0, 1.0))).where("atom_type <> 'Zn'")
     assert receptors.add_zinc_pseudo_atoms(none)[1].first()["problem"] == "no zinc atoms"
 
