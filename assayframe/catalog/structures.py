@@ -417,13 +417,90 @@ def metal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metalsites.zinc_summary(atoms, atoms).select("receptor_id", "n_zinc", "n_old_pseudo")
 
 
-@query()
-def metal_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Binding points of each zinc and the pseudo-point beside it.
+def _sql_set(values: frozenset[str]) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in sorted(values)) + ")"
+
+
+def _sql_length(*parts: str) -> str:
+    return "sqrt(" + " + ".join(f"({p}) * ({p})" for p in parts) + ")"
+
+
+def _sql_gap(a: str, b: str) -> str:
+    return _sql_length(*[f"{a}.{c} - {b}.{c}" for c in "xyz"])
+
+
+_DIAMETER = "CASE upper(a.atom_type) " + " ".join(
+    f"WHEN '{t}' THEN {d}" for t, d in metalsites.DIAMETERS.items()
+) + " END"
+_CUT, _PSEUDO = metalsites.BINDING_CUTOFF, metalsites.PSEUDO_DISTANCE
+# Atoms around each zinc from the nearest outward; bonds among them; carboxylates;
+# a recursion over the candidates that carries who is chosen and who is ruled out.
+_METAL_SITES = f"""
+WITH RECURSIVE {_POINTS},
+atoms AS (SELECT * FROM points WHERE upper(atom_type) <> 'TZ'),
+metals AS (SELECT receptor_id, serial AS center_serial, x, y, z FROM atoms WHERE upper(atom_type) = 'ZN'),
+near AS (
+  SELECT m.receptor_id, m.center_serial, a.x, a.y, a.z, upper(a.atom_type) AS t, {_DIAMETER} AS d, {_sql_gap('a', 'm')} AS dist,
+         row_number() OVER (PARTITION BY m.receptor_id, m.center_serial ORDER BY {_sql_gap('a', 'm')}, a.line_no) AS n
+  FROM metals m JOIN atoms a ON a.receptor_id = m.receptor_id AND a.serial <> m.center_serial WHERE {_sql_gap('a', 'm')} < 4.5),
+bonds AS (
+  SELECT i.receptor_id, i.center_serial, i.n AS i, j.n AS j FROM near i JOIN near j
+  ON i.receptor_id = j.receptor_id AND i.center_serial = j.center_serial AND i.n <> j.n AND {_sql_gap('i', 'j')} < 0.25 * (i.d + j.d)),
+degree AS (SELECT receptor_id, center_serial, i AS n, count(*) AS bonds FROM bonds GROUP BY ALL),
+ends AS (
+  SELECT b.receptor_id, b.center_serial, b.i AS carbon, o.n, o.x, o.y, o.z, o.dist FROM bonds b
+  JOIN near c ON c.receptor_id = b.receptor_id AND c.center_serial = b.center_serial AND c.n = b.i AND c.t IN {_sql_set(metalsites.CARBONS)}
+  JOIN near o ON o.receptor_id = b.receptor_id AND o.center_serial = b.center_serial AND o.n = b.j AND o.t IN {_sql_set(metalsites.TERMINAL_OXYGENS)}
+  JOIN degree g ON g.receptor_id = b.receptor_id AND g.center_serial = b.center_serial AND g.n = b.j AND g.bonds = 1),
+groups AS (
+  SELECT a.receptor_id, a.center_serial, a.carbon, a.n AS near_n, f.n AS far_n, a.x, a.y, a.z, f.x - a.x AS dx, f.y - a.y AS dy, f.z - a.z AS dz,
+         (1 - (greatest(f.dist - a.dist, 0) / {_sql_gap('f', 'a')}) ** {metalsites.CARBOXYL_EXPONENT}) / 2 AS share
+  FROM ends a JOIN ends f ON a.receptor_id = f.receptor_id AND a.center_serial = f.center_serial AND a.carbon = f.carbon AND a.n < f.n),
+grouped AS (SELECT DISTINCT receptor_id, center_serial, unnest([carbon, near_n, far_n]) AS n FROM groups),
+rest AS (SELECT * FROM near ANTI JOIN grouped USING (receptor_id, center_serial, n)),
+own AS (SELECT b.* FROM bonds b SEMI JOIN rest r ON r.receptor_id = b.receptor_id AND r.center_serial = b.center_serial AND r.n = b.i
+  SEMI JOIN rest q ON q.receptor_id = b.receptor_id AND q.center_serial = b.center_serial AND q.n = b.j),
+reach AS (
+  SELECT receptor_id, center_serial, i, list(DISTINCT j) AS js FROM (
+    SELECT * FROM own UNION ALL SELECT a.receptor_id, a.center_serial, a.i, b.j FROM own a JOIN own b
+    ON a.receptor_id = b.receptor_id AND a.center_serial = b.center_serial AND a.j = b.i) GROUP BY ALL),
+candidates AS (
+  SELECT r.receptor_id, r.center_serial, r.n, coalesce(e.js, []) AS js, row_number() OVER (PARTITION BY r.receptor_id, r.center_serial ORDER BY r.n) AS k
+  FROM rest r LEFT JOIN reach e ON e.receptor_id = r.receptor_id AND e.center_serial = r.center_serial AND e.i = r.n
+  WHERE r.t IN {_sql_set(metalsites.BINDERS)} AND r.dist <= {_CUT}),
+picked AS (
+  SELECT receptor_id, center_serial, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS chosen, CAST([] AS BIGINT[]) AS ruled FROM metals
+  UNION ALL
+  SELECT p.receptor_id, p.center_serial, c.k, CASE WHEN list_contains(p.ruled, c.n) THEN p.chosen ELSE list_append(p.chosen, c.n) END,
+         CASE WHEN list_contains(p.ruled, c.n) THEN p.ruled ELSE list_concat(p.ruled, c.js) END
+  FROM picked p JOIN candidates c ON c.receptor_id = p.receptor_id AND c.center_serial = p.center_serial AND c.k = p.k + 1),
+final AS (SELECT receptor_id, center_serial, max_by(chosen, k) AS chosen FROM picked GROUP BY ALL),
+binders AS (
+  SELECT f.receptor_id, f.center_serial, 0 AS kind, r.n AS o1, 0 AS o2, 0 AS o3, r.x, r.y, r.z
+  FROM (SELECT receptor_id, center_serial, unnest(chosen) AS n FROM final) f JOIN near r USING (receptor_id, center_serial, n)
+  UNION ALL
+  SELECT g.receptor_id, g.center_serial, 1, carbon, near_n, far_n, g.x + dx * share, g.y + dy * share, g.z + dz * share
+  FROM groups g JOIN metals m ON m.receptor_id = g.receptor_id AND m.center_serial = g.center_serial
+  WHERE {_sql_length(*[f'g.{c} + d{c} * share - m.{c}' for c in 'xyz'])} <= {_CUT}),
+lists AS (SELECT receptor_id, center_serial, count(*) AS n_binders, list(x ORDER BY kind, o1, o2, o3) AS xs, list(y ORDER BY kind, o1, o2, o3) AS ys,
+  list(z ORDER BY kind, o1, o2, o3) AS zs FROM binders GROUP BY ALL),
+sides AS (
+  SELECT m.receptor_id, m.center_serial, coalesce(n_binders, 0) AS n_binders, m.x, m.y, m.z,
+         xs[2]-xs[1] AS ux, ys[2]-ys[1] AS uy, zs[2]-zs[1] AS uz, xs[3]-xs[2] AS vx, ys[3]-ys[2] AS vy, zs[3]-zs[2] AS vz,
+         m.x-xs[3] AS wx, m.y-ys[3] AS wy, m.z-zs[3] AS wz
+  FROM metals m LEFT JOIN lists l ON l.receptor_id = m.receptor_id AND l.center_serial = m.center_serial),
+planes AS (SELECT *, uy*vz-uz*vy AS px, uz*vx-ux*vz AS py, ux*vy-uy*vx AS pz, vy*wz-vz*wy AS qx, vz*wx-vx*wz AS qy, vx*wy-vy*wx AS qz FROM sides),
+turned AS (SELECT *, {_PSEUDO} * CASE WHEN degrees(atan2({_sql_length('vx', 'vy', 'vz')} * (ux*qx+uy*qy+uz*qz), px*qx+py*qy+pz*qz)) >= 1 THEN 1 ELSE -1 END
+  / {_sql_length('px', 'py', 'pz')} AS scale FROM planes),
+placed AS (SELECT receptor_id, center_serial, CAST(n_binders AS INTEGER) AS n_binders, x + scale * px AS nx, y + scale * py AS ny, z + scale * pz AS nz, n_binders = 3 AS vacant FROM turned)
+SELECT receptor_id, center_serial, n_binders, CASE WHEN vacant THEN {sql_round('nx', 3)} END AS x,
+       CASE WHEN vacant THEN {sql_round('ny', 3)} END AS y, CASE WHEN vacant THEN {sql_round('nz', 3)} END AS z FROM placed
+"""
 
-    Which atoms bind depends on picking them one after another from the nearest
-    outward, which SQL cannot say; tests compare it with brute force.
-    """
+
+@query(_METAL_SITES)
+def metal_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binding points of each zinc and the pseudo-point beside it."""
     sites = metalsites.zinc_sites(S.points(spark, sf_dir))
     return sites.select(
         "receptor_id", "center_serial", "n_binders",

@@ -46,4 +46,4 @@ def test_entry(spark):
 def test_sql_belongs_to_queries():
     assert set(oracle_sql()) <= set(queries())
     assert set(QUERIES) <= set(queries())
-    assert set(QUERIES) - set(ORACLES) == {"metal_sites"}
+    assert set(QUERIES) == set(ORACLES)
