@@ -185,7 +185,7 @@ def fences(sketch: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
         F.max("rows").alias("rows"), *[fence(f).alias(f.measure) for f in FENCES]
     )
     own = wide.where("level = 0").select(
-        "lang_key", "source_key", F.struct("rows", *names).alias("own"), F.lit(2).alias("top")
+        "lang_key", "source_key", F.struct("rows", *names).alias("own"), (F.col("level") + 2).alias("top")
     )
     lang = wide.where("level = 1").select(
         "lang_key", F.struct("rows", *names).alias("by_lang")
