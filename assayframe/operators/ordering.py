@@ -53,6 +53,35 @@ def with_global_rank(
     )
 
 
+def with_running_total(
+    df: DataFrame, order: Sequence[Column], value: str, total_col: str
+) -> DataFrame:
+    """Append the sum of ``value`` over all rows before each row, in the given total order.
+
+    Built like :func:`with_global_rank`: running sums inside range partitions, and
+    one offset per partition.
+    """
+    placed = materialize(
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_at", F.monotonically_increasing_id())
+        .withColumn("_part", F.shiftright("_at", _POSITION_BITS))
+    )
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        placed.groupBy("_part")
+        .agg(F.sum(value).alias("_n"))
+        .select("_part", F.coalesce(F.sum("_n").over(before.orderBy("_part")), F.lit(0)).alias("_offset"))
+    )
+    inside = F.coalesce(F.sum(value).over(before.partitionBy("_part").orderBy("_at")), F.lit(0))
+    return (
+        placed.withColumn("_inside", inside)
+        .join(F.broadcast(offsets), "_part")
+        .withColumn(total_col, (F.col("_offset") + F.col("_inside")).cast("bigint"))
+        .drop("_at", "_part", "_offset", "_inside")
+    )
+
+
 def with_key_rank(
     df: DataFrame,
     keys: Sequence[str],

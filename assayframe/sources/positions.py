@@ -7,18 +7,18 @@ splits is joined back; the text itself stays where it was read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assayframe.operators.ordering import with_running_total
+from assayframe.session import materialize
+
 # Splits whose offsets may be broadcast: about 100 bytes each.
 MAX_BROADCAST_SPLITS = 500_000
 
 _PART_BITS = 33
-_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
-          "g": 1 << 30, "gb": 1 << 30}
 
 
 def normalized(value: Column) -> Column:
@@ -66,12 +66,15 @@ def _splits(pieces: DataFrame, keep: Column, keep_first: Column) -> DataFrame:
         F.min(opening_verdicts(keep, keep_first)).alias("_first"), F.count_if(keep).alias("_kept")
     )
     opens_file = F.col("split_start") == 0
-    sized = raw.select(
-        "source_file",
-        "split_start",
-        F.shiftright("_first", 2).alias("_first_at"),
-        "_kept",
-        F.when(opens_file, dropped_opening("_first")).otherwise(0).alias("_dropped"),
+    # One narrow row per split, kept so that the text is scanned once for all sums.
+    sized = materialize(
+        raw.select(
+            "source_file",
+            "split_start",
+            F.shiftright("_first", 2).alias("_first_at"),
+            "_kept",
+            F.when(opens_file, dropped_opening("_first")).otherwise(0).alias("_dropped"),
+        )
     )
     # Rows of one scan task are numbered in the order of its splits.
     in_task = (
@@ -89,29 +92,13 @@ def _splits(pieces: DataFrame, keep: Column, keep_first: Column) -> DataFrame:
         .withColumn("_file_before", F.coalesce(F.sum(n).over(in_file), F.lit(0)))
     )
     files = sized.groupBy("source_file").agg(F.sum(n).alias("_in_file"))
-    in_library = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select(
-        "source_file", F.coalesce(F.sum("_in_file").over(in_library), F.lit(0)).alias("_base")
-    )
+    starts = with_running_total(files, [F.col("source_file")], "_in_file", "_base").drop("_in_file")
     return with_sums.join(starts, "source_file").select(
         "source_file", "split_start", "_first_at", "_dropped", "_task", "_task_before",
         "_file_before", "_base",
     )
 
 
-def _input_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def _broadcastable(pieces: DataFrame) -> bool:
-    conf = pieces.sparkSession.conf
-    number, unit = re.fullmatch(
-        r"(\d+)\s*([a-z]*)", conf.get("spark.sql.files.maxPartitionBytes").lower()
-    ).groups()
-    width = int(number) * _UNITS[unit]
-    return _input_bytes(pieces) / width + len(pieces.inputFiles()) <= MAX_BROADCAST_SPLITS
-
-
 def with_positions(
     pieces: DataFrame, keep: Column, keep_first: Column | None = None
 ) -> DataFrame:
@@ -122,7 +109,7 @@ def with_positions(
     """
     keep_first = keep if keep_first is None else keep_first
     splits = _splits(pieces, keep, keep_first)
-    if _broadcastable(pieces):
+    if splits.count() <= MAX_BROADCAST_SPLITS:
         splits = F.broadcast(splits)
     kept = pieces.where(keep).withColumn("_kept_at", F.monotonically_increasing_id())
     joined = kept.join(splits, ["source_file", "split_start"], "left")
