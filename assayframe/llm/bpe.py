@@ -37,7 +37,7 @@ from pyspark.sql.types import (
 from assayframe.llm.common import once_per_worker
 
 # Ids of short pre-tokens are remembered, up to so many in a worker.
-REMEMBERED = 500_000
+REMEMBERED = 1_200_000
 LONGEST_REMEMBERED = 48
 
 
@@ -51,8 +51,9 @@ class ByteBpe:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.size = size
         self.pairs = {
-            left << 32 | right: rank
+            left * size + right: rank
             for token, rank in ranks.items()
             for cut in range(1, len(token))
             if (left := ranks.get(token[:cut])) is not None
@@ -76,67 +77,68 @@ class ByteBpe:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        pair_rank, words, shift = self.pairs.get, self.words, self.shift
+        pair_rank, size, words, shift = self.pairs.get, self.size, self.words, self.shift
         mask = (1 << shift) - 1
-        buckets: dict[int, list[int]] = {}
-        summary = 0
         single = self.single
         ids = [single[b] for b in piece]
         n = len(ids)
         before = list(range(-1, n - 1))
         after = list(range(1, n + 1))
-        pair = [-1] * n
-        fresh = [
-            (rank, i)
-            for i in range(n - 1)
-            if (rank := pair_rank(ids[i] << 32 | ids[i + 1])) is not None
-        ]
-        while True:
-            for rank, i in fresh:
-                pair[i] = rank
-                bucket = buckets.get(rank)
-                if bucket is None:
-                    buckets[rank] = [i]
-                    word = rank >> shift
-                    words[word] |= 1 << (rank & mask)
-                    summary |= 1 << word
-                else:
-                    heappush(bucket, i)
-            if not summary:
-                return [x for x in ids if x >= 0]
-            fresh = []
+        pair = [pair_rank(x * size + y, -1) for x, y in zip(ids, ids[1:], strict=False)]
+        pair.append(-1)
+        buckets: dict[int, list[int]] = {}
+        summary = 0
+        for i, rank in enumerate(pair):
+            if rank in buckets:
+                buckets[rank].append(i)
+            elif rank >= 0:
+                buckets[rank] = [i]
+                word = rank >> shift
+                words[word] |= 1 << (rank & mask)
+                summary |= 1 << word
+        while summary:
             # Find first set: the lowest word in use, and the lowest rank in it.
             word = (summary & -summary).bit_length() - 1
             bits = words[word]
             low = bits & -bits
             rank = word << shift | low.bit_length() - 1
             bucket = buckets[rank]
-            # Leftmost first; a lower rank that turns up meanwhile goes before the rest.
-            while bucket:
-                i = heappop(bucket)
-                if pair[i] != rank:
-                    continue
-                gone = after[i]
-                ids[i], ids[gone], pair[gone], pair[i] = rank, -1, -1, -1
-                follow = after[i] = after[gone]
-                if follow < n:
-                    before[follow] = i
-                    joined = pair_rank(rank << 32 | ids[follow])
-                    if joined is not None:
-                        fresh.append((joined, i))
-                lead = before[i]
-                if lead >= 0:
-                    joined = pair_rank(ids[lead] << 32 | rank)
-                    pair[lead] = -1
-                    if joined is not None:
-                        fresh.append((joined, lead))
-                if fresh:
-                    break
+            i = heappop(bucket)
             if not bucket:
                 del buckets[rank]
                 words[word] = bits ^ low
                 if bits == low:
                     summary ^= 1 << word
+            if pair[i] != rank:
+                continue
+            gone = after[i]
+            follow = after[gone]
+            ids[i], ids[gone], pair[gone], after[i] = rank, -1, -1, follow
+            lead = before[i]
+            joined = -1
+            if follow < n:
+                before[follow] = i
+                joined = pair_rank(rank * size + ids[follow], -1)
+            pair[i] = joined
+            if joined >= 0:
+                if joined in buckets:
+                    heappush(buckets[joined], i)
+                else:
+                    buckets[joined] = [i]
+                    word = joined >> shift
+                    words[word] |= 1 << (joined & mask)
+                    summary |= 1 << word
+            if lead >= 0:
+                pair[lead] = joined = pair_rank(ids[lead] * size + rank, -1)
+                if joined >= 0:
+                    if joined in buckets:
+                        heappush(buckets[joined], lead)
+                    else:
+                        buckets[joined] = [lead]
+                        word = joined >> shift
+                        words[word] |= 1 << (joined & mask)
+                        summary |= 1 << word
+        return [x for x in ids if x >= 0]
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
