@@ -48,6 +48,7 @@ DECAY = 1e-4
 THRESHOLD = 0.7
 SLICE_BYTES = 1 << 20
 TOKENS_AT_ONCE = 1 << 18
+BYTES_AT_ONCE = 4 << 20
 
 BLANK, SMALL, CAPITAL, DIGIT, MARK = range(5)
 
@@ -142,6 +143,20 @@ class Tokens:
         return bucket, FORMS + shape.astype(np.int64) + 64 * same, own
 
 
+def _portions(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in portions of some megabytes, or of one longer text, to bound memory."""
+    portion: list[bytes] = []
+    size = 0
+    for text in texts:
+        if portion and size + len(text) > BYTES_AT_ONCE:
+            yield portion
+            portion, size = [], 0
+        portion.append(text)
+        size += len(text)
+    if portion:
+        yield portion
+
+
 def _binary(text: Column) -> Column:
     return F.coalesce(text.cast("binary"), F.lit(b""))
 
@@ -149,8 +164,9 @@ def _binary(text: Column) -> Column:
 def _summed_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tokens, index = Tokens(), index_vectors()
     total = np.zeros((FORMS + SHAPES, DIMENSIONS), np.int64)
-    for batch in batches:
-        forms, shapes, owner = tokens.cut(batch.column(0).to_pylist())
+    portions = (p for batch in batches for p in _portions(batch.column(0).to_pylist()))
+    for texts in portions:
+        forms, shapes, owner = tokens.cut(texts)
         for at in range(0, len(forms), TOKENS_AT_ONCE):
             # A halo on both sides, so that slices do not show.
             x, y = max(0, at - REACH), min(len(forms), at + TOKENS_AT_ONCE + REACH)
@@ -291,8 +307,11 @@ class Model:
         @F.arrow_udf(DoubleType())
         def score(texts: pa.Array) -> pa.Array:
             model = shared.value
-            pooled = pool(texts.to_pylist(), model.vectors, Tokens())
-            return pa.array(model.network.scores(pooled), pa.float64())
+            tokens = Tokens()
+            found = [
+                model.network.scores(pool(p, model.vectors, tokens)) for p in _portions(texts.to_pylist())
+            ]
+            return pa.array(np.concatenate([np.empty(0), *found]), pa.float64())
 
         return score
 
