@@ -156,10 +156,12 @@ def half_edited(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     before needs move on.
     """
     keyed = docs.select(docs[doc_id].alias("doc_id"), clean_text(docs[text]).alias("body")).select(
-        "doc_id", "body", F.length("body").cast("bigint").alias("n_chars"), F.xxhash64("body").alias("h")
+        "doc_id", "body", F.xxhash64("body").alias("h")
     )
     narrow = materialize(
-        keyed.groupBy("doc_id", "h", "n_chars").agg(F.count("*").alias("rows"))
+        keyed.groupBy("doc_id", "h", F.length("body").cast("bigint").alias("n_chars")).agg(
+            F.count("*").alias("rows")
+        )
     )
     repeated = not narrow.where("rows > 1").isEmpty()
     order = materialize(neighbours(narrow.drop("rows")))
@@ -172,7 +174,11 @@ def half_edited(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     )
     if repeated:
         given = given.dropDuplicates(["before_id", "before_h"])
-    own = with_fingerprint(placed.select("doc_id", "h", "body", "n_chars"), F.col("body"), "fingerprint")
+    # Both uses of ``placed`` read the same columns, so that Spark shuffles the texts once.
+    own = with_fingerprint(
+        placed.select("doc_id", "h", "body", F.length("body").cast("bigint").alias("n_chars")),
+        F.col("body"), "fingerprint",
+    )
     both = own.join(
         given, own["doc_id"].eqNullSafe(given["before_id"]) & (own["h"] == given["before_h"])
     ).withColumn(
