@@ -25,6 +25,7 @@ gives an empty table.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Sequence
@@ -32,7 +33,6 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
@@ -50,7 +50,7 @@ STEP = 0.1
 NEAR_BEST = 0.85
 ROUNDS = 5
 # Ids of short words are remembered, up to so many in a worker.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 TEXTS_AT_ONCE = 64
 LONGEST_REMEMBERED = 48
 
@@ -63,13 +63,18 @@ Run = tuple[tuple[int, ...], int]
 class WordCoder:
     """Ids of texts under a tokenizer that drops white space and merges within words only.
 
-    Blanks never reach a token, so words between blanks are coded alone and
-    remembered, and so are the parts the tokenizer's own pattern makes of them. New
-    parts go to the tokenizer many at once; a token that ends a part says so in its
-    name. Words that are not plain Latin, and special strings, go to it as they are.
+    Its pattern cuts a text into parts that are coded one by one, so a part's ids
+    can be remembered. New parts go to the tokenizer many at once; a token that
+    ends a part says so in its name. The letters and digits below are all there are
+    up to U+024F; texts with other characters, and special strings, go to the
+    tokenizer whole.
     """
 
-    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    LETTERS = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+    DIGITS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+    SPLIT = f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\\s{LETTERS}{DIGITS}]+"
+    # Separators U+001C to U+001F are blanks to one side only; U+0130 has no single lower case.
+    FOREIGN = "[\x1c-\x1f\u0130\u0250-\U0010ffff]|<\\|"
     END = "</w>"
 
     def __init__(self, path: str):
@@ -78,60 +83,40 @@ class WordCoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(self.END)]] = True
-        self.parts_of = regex.compile(self.SPLIT).findall
-        self.plain = regex.compile(r"(?!.*<\|)[\x00-\x1b\x20-\u024f]*", regex.DOTALL).fullmatch
+        self.parts_of = re.compile(self.SPLIT).findall
+        self.foreign = re.compile(self.FOREIGN).search
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn_parts(self, parts: list[str]) -> None:
+    def _learn(self, parts: list[str]) -> None:
         ids = self._ids(" ".join(parts))
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(parts):
             data = ids.tobytes()
             marks = (4 * cuts).tolist()
-            self.parts.update(
+            self.known.update(
                 zip(parts, [data[x:y] for x, y in zip([0, *marks], marks, strict=False)], strict=True)
             )
         else:
-            self.parts.update((p, self._ids(p).tobytes()) for p in parts)
-
-    def _learn(self, words: set[str]) -> None:
-        split = {
-            # A word of letters is one part; the pattern is for the others.
-            w: [w.lower()] if w.isalpha() else self.parts_of(w.lower())
-            for w in words
-            if (w.isascii() and w.isprintable() and "<|" not in w) or self.plain(w)
-        }
-        new = {p for found in split.values() for p in found}.difference(self.parts)
-        if new:
-            self._learn_parts(list(new))
-        parts = self.parts
-        for word in words:
-            found = split.get(word)
-            if found is None:
-                self.known[word] = self._ids(word).tobytes()
-            elif len(found) == 1:
-                self.known[word] = parts[found[0]]
-            else:
-                self.known[word] = b"".join([parts[p] for p in found])
+            self.known.update((p, self._ids(p).tobytes()) for p in parts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        for held in (self.known, self.parts):
-            if len(held) > REMEMBERED:
-                held.clear()
-        rows = [t.split(" ") for t in texts]
-        new = set().union(*rows).difference(self.known)
-        if new:
-            self._learn(new)
         known = self.known
-        out = [b"".join([known[w] for w in words]) for words in rows]
-        for held in (self.known, self.parts):
-            for long in [w for w in new if len(w) > LONGEST_REMEMBERED]:
-                held.pop(long, None)
+        if len(known) > REMEMBERED:
+            known.clear()
+        rows = [None if self.foreign(t) else self.parts_of(t.lower()) for t in texts]
+        new = set().union(*[r for r in rows if r]).difference(known)
+        if new:
+            self._learn(list(new))
+        out = [
+            self._ids(t).tobytes() if parts is None else b"".join([known[p] for p in parts])
+            for t, parts in zip(texts, rows, strict=True)
+        ]
+        for long in [p for p in new if len(p) > LONGEST_REMEMBERED]:
+            del known[long]
         return out
 
 
@@ -419,7 +404,7 @@ def pack(pieces_table: DataFrame, order: Sequence[str], capacity: int = CAPACITY
             [pa.array(found[:, 3] + turn), pa.array(found[:, 4] + nth * size)], names=_PLACE.names
         )
 
-    ranked = rank_in_groups(pieces_table, "length", order, "_rank")
+    ranked = rank_in_groups(pieces_table, "length", order, "_rank", rows_per_slice=4_000)
     return (
         ranked.withColumn("_place", place("length", "_rank"))
         .select("*", "_place.sequence_id", "_place.offset")
