@@ -1,40 +1,51 @@
 """Quality classifier: random-indexing word vectors, pooled, under a small calibrated network.
 
-Every word has two names: its form (letters in lower case, by a hash into
-``FORMS`` buckets) and its shape (kind of characters, case, length, whether it
-repeats the word before). Each name owns a fixed sparse index vector of +1 and -1. A
-name's word vector is the sum of the index vectors around its every occurrence in
-the corpus; sums of whole numbers, so they are the same in any order. The table of
-vectors has a fixed number of rows and is broadcast.
+Every token has two names: its form (letters in lower case, as a 64-bit hash) and its
+shape (kind of characters, case, length, whether it repeats the token before; 128
+shapes in all). Each name owns a sparse index vector of +1 and -1, drawn from its
+hash. A name's word vector is the sum of the index vectors around its every
+occurrence in the corpus; sums of whole numbers, so they are the same in any order.
+Vectors of forms are a Spark table with one row per form, however many there are;
+those of shapes are a small array.
+
+Tokens are runs of letters, of digits or of marks by Unicode's categories. In scripts
+that are written without spaces every base character is a token.
 
 A document is the mean of its forms' vectors beside the mean of its shapes'
-vectors. A two-layer network in numpy turns that into a logit, and a temperature
-fitted on rows the network has not seen turns the logit into a probability.
+vectors. Documents are cut in portions; a portion asks the table for each of its
+forms once, and the answers meet in one task per portion. No text is shuffled: a
+result finds its rows by two hashes of the text. A two-layer network in numpy turns
+the means into a logit, and a temperature fitted on rows the network has not seen
+turns the logit into a probability.
 
 The network is fitted on at most ``FIT_ROWS`` labelled documents, those of least
 hash; word vectors come from all documents.
 
 Defined cases: null and empty texts pool to zero vectors and are scored like any
-other; labels without a document, null labels and null ids are ignored, and an id
-labelled twice counts by its lowest label; with no labels, or labels of one kind,
-every score is the smoothed share of label 1; other columns pass through
-untouched; an empty table gives an empty table.
+other; a form that the corpus lacks counts as a zero vector; labels without a
+document, null labels and null ids are ignored, an id labelled twice counts by its
+lowest label and one with several texts by the text of least hash; with no labels, or
+labels of one kind, every score is the smoothed share of label 1; other columns pass
+through untouched; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import unicodedata
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
-from assayframe.llm.common import materialize, packed_rows
+from assayframe.llm.common import materialize, once_per_worker, packed_rows
 
-FORMS = 1 << 13
+# Rows for forms in the driver's array: none, as they are a Spark table.
+FORMS = 0
 SHAPES = 1 << 7
 DIMENSIONS = 32
 ONES = 4
@@ -46,63 +57,102 @@ BATCH = 128
 RATE = 2e-3
 DECAY = 1e-4
 THRESHOLD = 0.7
-SLICE_BYTES = 1 << 20
+SLICE_CHARS = 1 << 20
 TOKENS_AT_ONCE = 1 << 18
 BYTES_AT_ONCE = 4 << 20
-
-BLANK, SMALL, CAPITAL, DIGIT, MARK = range(5)
-
-
-def _kinds() -> np.ndarray:
-    """Kind of every byte; bytes beyond ASCII are parts of letters."""
-    kinds = np.full(256, MARK, np.uint8)
-    kinds[128:] = SMALL
-    kinds[ord("a") : ord("z") + 1] = SMALL
-    kinds[ord("A") : ord("Z") + 1] = CAPITAL
-    kinds[ord("0") : ord("9") + 1] = DIGIT
-    kinds[[0, 9, 10, 11, 12, 13, 32]] = BLANK
-    return kinds
+# A portion of documents ends at so many bytes or rows; its row numbers are 16 bits.
+PORTION_BYTES = 32 << 20
+PORTION_ROWS = 1 << 16
+# Sums of contexts leave a task when it holds so many forms.
+FORMS_AT_ONCE = 1 << 17
+# Unit vectors are whole numbers of this part, so that sums are exact.
+UNIT = 1 << 14
+ROWS_OUT = 1 << 15
+
+BLANK, SMALL, CAPITAL, DIGIT, MARK, SINGLE, SINGLE_BASE = range(7)
+# Scripts written without spaces: Thai, Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = (
+    (0x0E01, 0x0EDF), (0x1000, 0x109F), (0x1780, 0x17D3), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3040, 0x30FF),
+    (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF),
+)
+LAST_NAMED = 0x323B0
+
+
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Kind and lower case of every character."""
+    kinds = np.full(0x110000, SMALL, np.uint8)
+    lower = np.arange(0x110000, dtype=np.uint32)
+    for c in range(LAST_NAMED):
+        category = unicodedata.category(chr(c))
+        if category[0] == "Z" or c in (0, 9, 10, 11, 12, 13):
+            kinds[c] = BLANK
+        elif category in ("Lu", "Lt"):
+            kinds[c] = CAPITAL
+        elif category[0] == "N":
+            kinds[c] = DIGIT
+        elif category[0] in "PS" or category == "Cc":
+            kinds[c] = MARK
+        small = chr(c).lower()
+        if len(small) == 1:
+            lower[c] = ord(small)
+    for first, last in UNSPACED:
+        for c in range(first, last + 1):
+            if kinds[c] == SMALL:
+                kinds[c] = SINGLE_BASE if unicodedata.category(chr(c))[0] == "L" else SINGLE
+    return kinds, lower
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every number."""
+    x = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def index_vectors(names: np.ndarray) -> np.ndarray:
+    """The sparse index vector of every 64-bit name: ``ONES`` different places, half of them -1."""
+    draw = _mixed(names)
+    table = np.zeros((len(names), DIMENSIONS), np.int8)
+    rows = np.arange(len(names))
+    taken = np.empty((len(names), 0), np.int64)
+    for k in range(ONES):
+        at = (draw >> np.uint64(16 * k) & np.uint64(0xFFFF)).astype(np.int64) % (DIMENSIONS - k)
+        for earlier in np.sort(taken, axis=1).T:
+            at += at >= earlier
+        taken = np.column_stack((taken, at))
+        table[rows, at] = 1 if k < ONES // 2 else -1
+    return table
 
 
-def index_vectors() -> np.ndarray:
-    """The fixed sparse index vector of every form and shape."""
-    draw = np.random.default_rng(20240601)
-    table = np.zeros((FORMS + SHAPES, DIMENSIONS), np.int8)
-    for row in table:
-        at = draw.permutation(DIMENSIONS)[:ONES]
-        row[at[: ONES // 2]], row[at[ONES // 2 :]] = 1, -1
-    return table
+def shape_index() -> np.ndarray:
+    """The index vectors of all shapes; their names are no hashes of characters."""
+    return index_vectors(np.arange(SHAPES, dtype=np.uint64) + np.uint64(1 << 63))
 
 
 class Tokens:
-    """Cuts byte texts into forms and shapes, many texts at once."""
+    """Cuts texts into forms and shapes, many texts at once."""
 
     def __init__(self) -> None:
-        self.kinds = _kinds()
-        draw = np.random.default_rng(7)
-        self.value = draw.integers(1, 1 << 62, 256, np.uint64) | np.uint64(1)
-        for c in range(26):
-            self.value[ord("A") + c] = self.value[ord("a") + c]
-        self.place = draw.integers(1, 1 << 62, 64, np.uint64) | np.uint64(1)
+        self.kinds, self.lower = once_per_worker("classifier-characters", _characters)
 
     def _slice(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, form hash and shape of every token of one slice."""
         kind = self.kinds[data]
-        letters = np.where(kind == CAPITAL, SMALL, kind)
-        change = np.flatnonzero(letters[1:] != letters[:-1]) + 1
-        starts = np.concatenate(([0], change))
-        starts = starts[letters[starts] != BLANK]
+        letters = np.where(kind == CAPITAL, SMALL, np.where(kind == SINGLE_BASE, SINGLE, kind))
+        change = np.flatnonzero((letters[1:] != letters[:-1]) | (kind[1:] == SINGLE_BASE)) + 1
+        edges = np.concatenate(([0], change, [len(data)]))
+        full = letters[edges[:-1]] != BLANK
+        starts, sizes = edges[:-1][full], np.diff(edges)[full]
         if not len(starts):
             none = np.empty(0, np.int64)
             return none, none.astype(np.uint64), none.astype(np.uint8)
-        edges = np.concatenate(([0], change, [len(data)]))
-        ends = edges[np.searchsorted(edges, starts, "right")]
-        sizes = ends - starts
-        inside = np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
-        at = np.arange(int(sizes.sum())) + inside
-        place = at - np.repeat(starts, sizes)
         first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        form = np.add.reduceat(self.value[data[at]] * self.place[place & 63], first)
+        place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+        at = place + np.repeat(starts, sizes)
+        # Every place hashes its own way, so the sum knows the order.
+        spelled = _mixed(self.lower[data[at]].astype(np.uint64) | place.astype(np.uint64) << np.uint64(21))
+        form = np.add.reduceat(spelled, first)
         capitals = np.add.reduceat((kind[at] == CAPITAL).astype(np.int64), first)
         own = letters[starts]
         case = np.where(capitals == 0, 0, np.where(capitals == sizes, 2, 1))
@@ -113,116 +163,288 @@ class Tokens:
         return starts, form, np.where(own == MARK, marks, words).astype(np.uint8)
 
     def cut(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Form bucket, shape row and text number of every token."""
-        joined = b"\n".join(texts)
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        """Form hash, shape and text number of every token."""
+        plain = [t.decode("utf-8", "replace") for t in texts]
+        sizes = np.fromiter(map(len, plain), np.int64, len(plain))
+        joined = "\n".join(plain)
         first = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
         forms, shapes, owner = [], [], []
         at = 0
         while at < len(joined):
-            end = min(at + SLICE_BYTES, len(joined))
+            end = min(at + SLICE_CHARS, len(joined))
             if end < len(joined):
-                back = max(joined.rfind(b" ", at, end), joined.rfind(b"\n", at, end))
+                back = max(joined.rfind(" ", at, end), joined.rfind("\n", at, end))
                 if back > at:
                     end = back + 1
                 else:
-                    ahead = [x for x in (joined.find(b" ", end), joined.find(b"\n", end)) if x >= 0]
+                    ahead = [x for x in (joined.find(" ", end), joined.find("\n", end)) if x >= 0]
                     end = min(ahead, default=len(joined) - 1) + 1
-            starts, form, shape = self._slice(np.frombuffer(joined, np.uint8, end - at, at))
+            starts, form, shape = self._slice(np.frombuffer(joined[at:end].encode("utf-32-le"), "<u4"))
             forms.append(form)
             shapes.append(shape)
             owner.append(np.searchsorted(first, starts + at, "right") - 1)
             at = end
         if not forms:
             none = np.empty(0, np.int64)
-            return none, none, none
+            return none.astype(np.uint64), none, none
         form, shape, own = np.concatenate(forms), np.concatenate(shapes), np.concatenate(owner)
         same = np.zeros(len(form), np.int64)
         same[1:] = (form[1:] == form[:-1]) & (own[1:] == own[:-1])
-        bucket = (form * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 13)).astype(np.int64)
-        return bucket, FORMS + shape.astype(np.int64) + 64 * same, own
-
-
-def _portions(texts: list[bytes]) -> Iterator[list[bytes]]:
-    """The texts in portions of some megabytes, or of one longer text, to bound memory."""
-    portion: list[bytes] = []
-    size = 0
-    for text in texts:
-        if portion and size + len(text) > BYTES_AT_ONCE:
-            yield portion
-            portion, size = [], 0
-        portion.append(text)
+        return form, shape.astype(np.int64) + 64 * same, own
+
+
+def _portions(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """First and end of portions of some megabytes, or of one longer text, to bound memory."""
+    first = size = 0
+    for k, text in enumerate(texts):
+        if k > first and size + len(text) > BYTES_AT_ONCE:
+            yield first, k
+            first, size = k, 0
         size += len(text)
-    if portion:
-        yield portion
+    if len(texts) > first:
+        yield first, len(texts)
 
 
 def _binary(text: Column) -> Column:
     return F.coalesce(text.cast("binary"), F.lit(b""))
 
 
+def _runs(ranked: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.concatenate(([0], np.flatnonzero(ranked[1:] != ranked[:-1]) + 1))[: len(ranked)]
+
+
+def _added(names: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different names in order, and the sums of their rows."""
+    order = np.argsort(names, kind="stable")
+    ranked = names[order]
+    cuts = _runs(ranked)
+    return ranked[cuts], np.add.reduceat(rows[order], cuts, axis=0, dtype=np.int64)
+
+
 def _summed_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokens, index = Tokens(), index_vectors()
-    total = np.zeros((FORMS + SHAPES, DIMENSIONS), np.int64)
-    portions = (p for batch in batches for p in _portions(batch.column(0).to_pylist()))
-    for texts in portions:
-        forms, shapes, owner = tokens.cut(texts)
-        for at in range(0, len(forms), TOKENS_AT_ONCE):
-            # A halo on both sides, so that slices do not show.
-            x, y = max(0, at - REACH), min(len(forms), at + TOKENS_AT_ONCE + REACH)
-            own = owner[x:y]
-            named = index[forms[x:y]] + index[shapes[x:y]]
-            around = np.zeros_like(named)
-            for step in range(1, REACH + 1):
-                near = (own[step:] == own[:-step])[:, None]
-                around[step:] += named[:-step] * near
-                around[:-step] += named[step:] * near
-            keep = slice(at - x, min(at + TOKENS_AT_ONCE, len(forms)) - x)
-            around = around[keep]
-            for name in (forms[x:y][keep], shapes[x:y][keep]):
-                order = np.argsort(name.astype(np.uint16), kind="stable")
-                ranked = name[order]
-                cuts = np.concatenate(([0], np.flatnonzero(ranked[1:] != ranked[:-1]) + 1))
-                total[ranked[cuts]] += np.add.reduceat(around[order], cuts, axis=0, dtype=np.int64)
+    tokens, by_shape = Tokens(), shape_index()
+    total = np.zeros((SHAPES, DIMENSIONS), np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def out(names: np.ndarray, sums: np.ndarray, shape: bool) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(names), ROWS_OUT):
+            n, part = names[k : k + ROWS_OUT], sums[k : k + ROWS_OUT]
+            columns = [pa.array(np.full(len(n), shape)), pa.array(n.view(np.int64))]
+            columns += [pa.array(np.ascontiguousarray(part[:, d])) for d in range(DIMENSIONS)]
+            yield pa.RecordBatch.from_arrays(columns, ["shape", "name", *[f"v{d}" for d in range(DIMENSIONS)]])
+
+    for batch in batches:
+        bodies = batch.column(0).to_pylist()
+        for x0, y0 in _portions(bodies):
+            forms, shapes, owner = tokens.cut(bodies[x0:y0])
+            for at in range(0, len(forms), TOKENS_AT_ONCE):
+                # A halo on both sides, so that slices do not show.
+                x, y = max(0, at - REACH), min(len(forms), at + TOKENS_AT_ONCE + REACH)
+                own = owner[x:y]
+                different, which = np.unique(forms[x:y], return_inverse=True)
+                named = index_vectors(different)[which] + by_shape[shapes[x:y]]
+                around = np.zeros_like(named)
+                for step in range(1, REACH + 1):
+                    near = (own[step:] == own[:-step])[:, None]
+                    around[step:] += named[:-step] * near
+                    around[:-step] += named[step:] * near
+                keep = slice(at - x, min(at + TOKENS_AT_ONCE, len(forms)) - x)
+                around = around[keep]
+                found, sums = _added(shapes[x:y][keep].astype(np.uint16), around)
+                total[found] += sums
+                found, sums = _added(which[keep].astype(np.uint32), around)
+                held.append((different[found], sums))
+            if sum(len(n) for n, _ in held) > FORMS_AT_ONCE:
+                held = [_added(*(np.concatenate(part) for part in zip(*held)))]
+                if len(held[0][0]) > FORMS_AT_ONCE:
+                    yield from out(*held.pop(), False)
+    if held:
+        yield from out(*_added(*(np.concatenate(part) for part in zip(*held))), False)
     used = np.flatnonzero(total.any(axis=1))
-    columns = [pa.array(used.astype(np.int32)), *[pa.array(total[used, k]) for k in range(DIMENSIONS)]]
-    yield pa.RecordBatch.from_arrays(columns, ["name", *[f"v{k}" for k in range(DIMENSIONS)]])
+    yield from out(used.astype(np.uint64), total[used], True)
 
 
-def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Unit word vectors of all forms and shapes, from every document."""
-    parts = ", ".join(f"v{k} bigint" for k in range(DIMENSIONS))
-    rows = (
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of contexts as unit vectors; names without any context have none."""
+    for batch in batches:
+        sums = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]).astype(np.float64)
+        length = np.linalg.norm(sums, axis=1)
+        some = length > 0
+        units = np.rint(sums[some] / length[some, None] * UNIT).astype("<i2")
+        keep = pa.array(some)
+        vectors = pa.Array.from_buffers(
+            pa.binary(2 * DIMENSIONS), len(units), [None, pa.py_buffer(units.tobytes())]
+        ).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).filter(keep), batch.column(1).filter(keep), vectors], ["shape", "name", "vector"]
+        )
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    count, total = 0, np.zeros(DIMENSIONS, np.int64)
+    for batch in batches:
+        count += batch.num_rows
+        total += _vectors(batch.column(0)).sum(axis=0, dtype=np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([count]), pa.array([total.tolist()])], ["n", "total"])
+
+
+def _bytes(column: pa.Array) -> bytes:
+    """All values of a binary column without nulls, one after the other."""
+    return b"".join(column.to_pylist())
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(_bytes(column), "<i2").reshape(-1, DIMENSIONS)
+
+
+def name_vectors(docs: DataFrame, text: str = "text") -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """The table ``(name, vector)`` of all forms of all documents, its mean, and the array of shapes."""
+    parts = [f"v{k}" for k in range(DIMENSIONS)]
+    units = materialize(
         docs.select(_binary(docs[text]).alias("body"))
-        .mapInArrow(_summed_contexts, f"name int, {parts}")
-        .groupBy("name")
-        .agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(DIMENSIONS)])
-        .collect()
+        .mapInArrow(_summed_contexts, "shape boolean, name bigint, " + ", ".join(f"{p} bigint" for p in parts))
+        .groupBy("shape", "name")
+        .agg(*[F.sum(p).alias(p) for p in parts])
+        .mapInArrow(_units, "shape boolean, name bigint, vector binary")
     )
-    table = np.zeros((FORMS + SHAPES, DIMENSIONS))
-    for r in rows:
-        table[r[0]] = r[1:]
+    forms = units.where("not shape").select("name", "vector")
+    sums = forms.select("vector").mapInArrow(_totals, "n bigint, total array<bigint>").collect()
+    count = max(1, sum(r["n"] for r in sums))
+    mean = np.array([r["total"] for r in sums], np.int64).reshape(-1, DIMENSIONS).sum(axis=0) / UNIT / count
+    shapes = np.zeros((SHAPES, DIMENSIONS))
+    some = np.zeros(SHAPES, bool)
+    for r in units.where("shape").collect():
+        shapes[r["name"]] = np.frombuffer(r["vector"], "<i2") / UNIT
+        some[r["name"]] = True
     # The direction that all names share tells nothing.
-    for part in (table[:FORMS], table[FORMS:]):
-        length = np.linalg.norm(part, axis=1, keepdims=True)
-        np.divide(part, length, out=part, where=length > 0)
-        part[length[:, 0] > 0] -= part[length[:, 0] > 0].mean(axis=0) if (length > 0).any() else 0
-    return table.astype(np.float32)
-
-
-def pool(texts: list[bytes], vectors: np.ndarray, tokens: Tokens) -> np.ndarray:
-    """Mean form vector and mean shape vector of each text."""
-    forms, shapes, owner = tokens.cut(texts)
-    out = np.zeros((len(texts), 2 * DIMENSIONS), np.float64)
-    count = np.bincount(owner, minlength=len(texts)).astype(np.float64)
-    mixed = np.bincount(owner * SHAPES + shapes - FORMS, minlength=len(texts) * SHAPES)
-    out[:, DIMENSIONS:] = mixed.reshape(-1, SHAPES) @ vectors[FORMS:].astype(np.float64)
-    for at in range(0, len(forms), TOKENS_AT_ONCE):
-        own = owner[at : at + TOKENS_AT_ONCE]
-        cuts = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1))
-        sums = np.add.reduceat(vectors[forms[at : at + TOKENS_AT_ONCE]], cuts, axis=0)
-        np.add.at(out[:, :DIMENSIONS], own[cuts], sums)
-    return out / np.maximum(count, 1)[:, None]
+    if some.any():
+        shapes[some] -= shapes[some].mean(axis=0)
+    return forms, mean, shapes.astype(np.float32)
+
+
+def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """The array part of ``name_vectors``: unit vectors of all shapes, from every document."""
+    return name_vectors(docs, text)[2]
+
+
+_DOC = np.dtype([("h1", "<i8"), ("h2", "<i8"), ("tokens", "<i8"), ("shapes", "<f8", DIMENSIONS)])
+_AT = np.dtype([("doc", "<u2"), ("n", "<u2")])
+
+
+def _asked(shapes: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per portion one row with its documents, and one row per form with its places in them."""
+
+    def rows(
+        nth: int, docs: list[np.ndarray], found: list[tuple[np.ndarray, ...]]
+    ) -> Iterator[pa.RecordBatch]:
+        about = np.concatenate(docs)
+        # Named by its place, so a task that runs again gives the same rows and no two portions meet.
+        place = TaskContext.get().partitionId() << 32 | nth
+        portion = int(_mixed(np.array([place]))[:1].view(np.int64)[0])
+        schema = pa.schema([("portion", pa.int64()), ("name", pa.int64()), ("at", pa.binary()), ("docs", pa.binary())])
+        yield pa.RecordBatch.from_pylist(
+            [{"portion": portion, "name": portion, "at": None, "docs": about.tobytes()}], schema
+        )
+        form, doc, n = (np.concatenate(part) for part in zip(*found))
+        order = np.argsort(form, kind="stable")
+        form = form[order]
+        at = np.empty(len(order), _AT)
+        at["doc"], at["n"] = doc[order], n[order]
+        cuts = np.append(_runs(form), len(form))
+        for k in range(0, len(cuts) - 1, ROWS_OUT):
+            ends = cuts[k : k + ROWS_OUT + 1]
+            size = len(ends) - 1
+            places = pa.Array.from_buffers(
+                pa.binary(), size,
+                [None, pa.py_buffer(((ends - ends[0]) * _AT.itemsize).astype(np.int32)), pa.py_buffer(at[ends[0] : ends[-1]].tobytes())],
+            )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(size, portion)), pa.array(form[ends[:-1]].view(np.int64)), places, pa.nulls(size, pa.binary())],
+                schema=schema,
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        docs, found, size, count, nth = [], [], 0, 0, 0
+        for batch in batches:
+            h1, h2 = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
+            bodies = batch.column(2).to_pylist()
+            for x, y in _portions(bodies):
+                texts = bodies[x:y]
+                if docs and (count + len(texts) > PORTION_ROWS or size > PORTION_BYTES):
+                    yield from rows(nth, docs, found)
+                    docs, found, size, count, nth = [], [], 0, 0, nth + 1
+                forms, shape, owner = tokens.cut(texts)
+                about = np.zeros(len(texts), _DOC)
+                about["h1"], about["h2"] = h1[x:y], h2[x:y]
+                about["tokens"] = np.bincount(owner, minlength=len(texts))
+                mixed = np.bincount(owner * SHAPES + shape, minlength=len(texts) * SHAPES)
+                about["shapes"] = mixed.reshape(-1, SHAPES) @ shapes.astype(np.float64)
+                # Tokens come by text, so equal forms stay in order of texts.
+                order = np.argsort(forms, kind="stable")
+                form, doc = forms[order], owner[order]
+                cuts = np.flatnonzero(np.append(True, (form[1:] != form[:-1]) | (doc[1:] != doc[:-1]))[: len(form)])
+                form, doc, n = form[cuts], doc[cuts] + count, np.diff(np.append(cuts, len(forms)))
+                # Counts beyond 16 bits take several places.
+                times = -(-n // 0xFFFF)
+                last = np.cumsum(times) - 1
+                form, doc, left = np.repeat(form, times), np.repeat(doc, times), n - (times - 1) * 0xFFFF
+                n = np.full(len(form), 0xFFFF, np.int64)
+                n[last] = left
+                docs.append(about)
+                found.append((form, doc.astype(np.uint16), n.astype(np.uint16)))
+                size += sum(map(len, texts))
+                count += len(texts)
+        if docs:
+            yield from rows(nth, docs, found)
+
+    return run
+
+
+def _pooled(table: pa.Table, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The documents of a portion and their pooled vectors."""
+    about = np.frombuffer(_bytes(table["docs"].drop_null()), _DOC)
+    known = table.filter(table["vector"].is_valid()).filter(pa.compute.field("docs").is_null())
+    sizes = pa.compute.binary_length(known["at"]).to_numpy() // _AT.itemsize
+    at, units = np.frombuffer(_bytes(known["at"]), _AT), _vectors(known["vector"])
+    row = np.repeat(np.arange(len(units)), sizes)
+    order = np.argsort(at["doc"], kind="stable")
+    total, count = np.zeros((len(about), DIMENSIONS), np.int64), np.zeros(len(about), np.int64)
+    for k in range(0, len(order), TOKENS_AT_ONCE):
+        part = order[k : k + TOKENS_AT_ONCE]
+        doc, n = at["doc"][part], at["n"][part].astype(np.int64)
+        cuts = _runs(doc)
+        total[doc[cuts]] += np.add.reduceat(units[row[part]] * n[:, None], cuts, axis=0)
+        count[doc[cuts]] += np.add.reduceat(n, cuts)
+    x = np.column_stack((total / UNIT - count[:, None] * mean, about["shapes"]))
+    return about, x / np.maximum(about["tokens"], 1)[:, None]
+
+
+def _hashes(body: Column) -> dict[str, Column]:
+    return {"h1": F.xxhash64(body), "h2": F.xxhash64(F.lit(1), body)}
+
+
+def pooled(bodies: DataFrame, forms: DataFrame, mean: np.ndarray, shapes: np.ndarray, network: Network | None = None) -> DataFrame:
+    """``(h1, h2)`` of every different ``body`` with its pooled vector ``x``, or with its ``score`` by a network."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        about, x = _pooled(table, mean)
+        value = pa.array(list(x), pa.list_(pa.float64())) if network is None else pa.array(network.scores(x))
+        return pa.table({"h1": about["h1"].copy(), "h2": about["h2"].copy(), "x": value})
+
+    asked = bodies.select(*[c.alias(n) for n, c in _hashes(F.col("body")).items()], "body").mapInArrow(
+        _asked(shapes), "portion bigint, name bigint, at binary, docs binary"
+    )
+    kind = "array<double>" if network is None else "double"
+    return (
+        asked.join(forms, "name", "left")
+        .select("portion", "at", "docs", "vector")
+        .groupBy("portion")
+        .applyInArrow(answer, f"h1 bigint, h2 bigint, x {kind}")
+        .groupBy("h1", "h2")
+        .agg(F.min("x").alias("x"))
+    )
 
 
 @dataclass(frozen=True)
@@ -297,30 +519,19 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass(frozen=True)
 class Model:
+    """Vectors of shapes, the network, and the table of forms with its mean."""
+
     vectors: np.ndarray
     network: Network
-
-    def scorer(self, spark):
-        """A function from a binary text column to its score."""
-        shared = spark.sparkContext.broadcast(self)
-
-        @F.arrow_udf(DoubleType())
-        def score(texts: pa.Array) -> pa.Array:
-            model = shared.value
-            tokens = Tokens()
-            found = [
-                model.network.scores(pool(p, model.vectors, tokens)) for p in _portions(texts.to_pylist())
-            ]
-            return pa.array(np.concatenate([np.empty(0), *found]), pa.float64())
-
-        return score
+    forms: DataFrame
+    mean: np.ndarray
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = FIT_ROWS
 ) -> Model:
     """Word vectors from all of ``docs``; the network from at most ``rows`` labels that may be learned."""
-    vectors = word_vectors(docs, text)
+    forms, mean, shapes = name_vectors(docs, text)
     chosen = materialize(
         labels.where("doc_id is not null and quality is not null")
         .groupBy("doc_id")
@@ -330,32 +541,36 @@ def fit(
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
-
-    @F.arrow_udf(ArrayType(FloatType()))
-    def pooled(texts: pa.Array) -> pa.Array:
-        found = pool(texts.to_pylist(), shared.value, Tokens()).astype(np.float32)
-        return pa.array(list(found), pa.list_(pa.float32()))
-
     # At most ``rows`` pairs of numbers: a proven bound.
+    labelled = docs.select(docs[doc_id].alias("doc_id"), _binary(docs[text]).alias("body")).join(
+        F.broadcast(chosen), "doc_id"
+    )
+    hashed = labelled.select("doc_id", "quality", F.struct(*[c.alias(n) for n, c in _hashes(F.col("body")).items()]).alias("h"))
     known = (
-        docs.select(docs[doc_id].alias("doc_id"), _binary(docs[text]).alias("body"))
-        .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "quality", F.xxhash64("body").alias("h"), pooled("body").alias("x"))
-        .dropDuplicates(["doc_id"])
+        hashed.groupBy("doc_id", "quality")
+        .agg(F.min("h").alias("h"))
+        .select("doc_id", "quality", "h.h1", "h.h2")
+        .join(pooled(labelled.select("body"), forms, mean, shapes), ["h1", "h2"])
+        .select("doc_id", "quality", "x")
         .collect()
     )
     known.sort(key=lambda r: r["doc_id"])
     x = np.array([r["x"] for r in known], np.float64).reshape(-1, 2 * DIMENSIONS)
-    return Model(vectors, fit_network(x, np.array([r["quality"] for r in known], np.float64)))
+    return Model(shapes, fit_network(x, np.array([r["quality"] for r in known], np.float64)), forms, mean)
 
 
 def scored(
     docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str] | None = None
 ) -> DataFrame:
     """Every row as ``row`` (its columns ``keep``, all by default) with ``score``."""
-    score = model.scorer(docs.sparkSession)
-    return packed_rows(docs, keep, body=_binary(docs[text])).select("row", score("body").alias("score"))
+    scores = pooled(
+        docs.select(_binary(docs[text]).alias("body")), model.forms, model.mean, model.vectors, model.network
+    )
+    return (
+        packed_rows(docs, keep, **_hashes(_binary(docs[text])))
+        .join(scores, ["h1", "h2"])
+        .select("row", F.col("x").alias("score"))
+    )
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:

@@ -218,6 +218,39 @@ def test_word_vectors_do_not_depend_on_the_deal(spark):
     assert np.array_equal(classifier.word_vectors(docs.repartition(1)), classifier.word_vectors(docs.repartition(5)))
 
 
+def test_every_word_has_its_own_vector(spark):
+    """More words than any fixed number of buckets, and a vector for each, whatever the deal."""
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(12_000)]
+    rows = [(i, " ".join(words[i : i + 60])) for i in range(0, 12_000, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [classifier.name_vectors(docs.repartition(n)) for n in (1, 5)]
+    tables = [{r["name"]: bytes(r["vector"]) for r in forms.collect()} for forms, _, _ in found]
+    assert len(tables[0]) == 12_000 and tables[0] == tables[1]
+    assert np.array_equal(found[0][1], found[1][1])
+
+
+def test_pooling_equals_a_loop(spark):
+    texts = ["One two, two THREE! 12", "日本語。猫と犬", None, "", "two one. " * 70_000, "x", "One two, two THREE! 12"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    forms, mean, shapes = classifier.name_vectors(docs)
+    vector = {r["name"]: np.frombuffer(r["vector"], "<i2") / classifier.UNIT - mean for r in forms.collect()}
+    bodies = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body"))
+    got = {(r["h1"], r["h2"]): r["x"] for r in classifier.pooled(bodies, forms, mean, shapes).collect()}
+    assert len(got) == 5
+    for r in bodies.select("body", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2")).collect():
+        form, shape, _ = classifier.Tokens().cut([bytes(r["body"])])
+        want = np.zeros(2 * classifier.DIMENSIONS)
+        for f, s in zip(form.view(np.int64).tolist(), shape.tolist()):
+            want += np.concatenate((vector.get(f, np.zeros(classifier.DIMENSIONS)), shapes[s]))
+        assert np.allclose(got[r["h1"], r["h2"]], want / max(1, len(form)), atol=1e-9)
+
+
+def test_words_end_at_marks_of_every_script():
+    cut = lambda t: classifier.Tokens().cut([t.encode()])[0].tolist()
+    assert len(cut("猫。犬")) == 3 and cut("猫。犬")[0] == cut("犬 猫")[1]
+    assert cut("été, “Été”")[0] == cut("été, “Été”")[3]
+
+
 def test_bpe_equals_the_library(edge, none):
     coder = bpe.ByteBpe.load(RANKS, public_tokenizers.PATTERN)
     want = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
