@@ -8,9 +8,11 @@ in hexadecimal; the root tells whether two texts are equal.
 
 A fingerprint is the root, then the codes (leading digits) of sections,
 paragraphs and leaves: enough to say how alike two texts are without the texts.
-Where they differ is found by walking down the branches whose digests differ.
+Where they differ (``changes``) is found by going down from differing roots: sections
+that both have are paired, then paragraphs of the others, one to one.
 
-Everything is built from column functions; a text is one row and never leaves it.
+Trees and fingerprints are built from column functions; the pairing is a Python function.
+A text is one row and never leaves it.
 
 Defined cases: a null text is the empty text, which has one empty paragraph and no
 leaf; two texts without leaves are alike (1), one without is unlike (0); repeated
@@ -20,6 +22,10 @@ text; null ids come first; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import defaultdict, deque
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,29 +107,111 @@ def likeness(a: Column, b: Column) -> Column:
     )
 
 
-def edits(pairs: DataFrame, old: str = "old", new: str = "new") -> DataFrame:
-    """Paragraphs of ``new`` that ``old`` lacks: ``row`` (the input), ``paragraph`` (from 0), ``text``.
+def _ranges(paragraphs: list[str]) -> list[tuple[int, int]]:
+    """First and end of every section."""
+    ends = [i + 1 for i, h in enumerate(paragraphs) if h < "4"]
+    if paragraphs and (not ends or ends[-1] < len(paragraphs)):
+        ends.append(len(paragraphs))
+    return list(zip([0, *ends], ends))
+
+
+def _same_ends(a: list[str], b: list[str]) -> tuple[int, int]:
+    """How many nodes agree from the start, and then from the end."""
+    short = min(len(a), len(b))
+    start = next((i for i in range(short) if a[i] != b[i]), short)
+    short -= start
+    return start, next((i for i in range(short) if a[-1 - i] != b[-1 - i]), short)
+
+
+def _met(a: list[tuple[str, int]], b: list[tuple[str, int]]) -> list[tuple[int, int]]:
+    """Places of equal nodes: the first of a digest with the first, the second with the second."""
+    places = defaultdict(deque)
+    for digest, j in b:
+        places[digest].append(j)
+    return [(i, places[digest].popleft()) for digest, i in a if places[digest]]
+
+
+def _in_order(places: list[int]) -> set[int]:
+    """The members of a longest rising run (not of neighbours only)."""
+    tops: list[int] = []
+    before: dict[int, int | None] = {}
+    for x in places:
+        at = bisect_left(tops, x)
+        before[x] = tops[at - 1] if at else None
+        tops[at : at + 1] = [x]
+    kept, x = set(), tops[-1] if tops else None
+    while x is not None:
+        kept.add(x)
+        x = before[x]
+    return kept
+
 
-    Pairs with equal roots give no row, and paragraphs whose digest both trees
-    have are not looked into.
+def compared(old: list[str], new: list[str], old_sections: list[str], new_sections: list[str]) -> list[dict]:
+    """What became of every paragraph that is not in place, by the digests of two trees.
+
+    Sections that both trees have are paired first and not looked into; what is left
+    is paired by paragraphs. Equal nodes pair one to one, so counts matter.
+    """
+    a, b = _ranges(old), _ranges(new)
+    start, end = _same_ends(old_sections, new_sections)
+    pairs = [(i, i) for i in range(a[start - 1][1])] if start else []
+    left = [list(enumerate(x))[start : len(x) - end] for x in (old_sections, new_sections)]
+    tail = a[len(a) - end :], b[len(b) - end :]
+    sections = _met(*([(h, k) for k, h in x] for x in left))
+    for (i, i_end), (j, _) in [*zip(*tail), *((a[k], b[m]) for k, m in sections)]:
+        pairs += [(i + n, j + n) for n in range(i_end - i)]
+    seen = {i for i, _ in pairs}, {j for _, j in pairs}
+    rest = [[(h, i) for i, h in enumerate(x) if i not in s] for x, s in zip((old, new), seen)]
+    start, end = _same_ends(*([h for h, _ in x] for x in rest))
+    pairs += [(x[1], y[1]) for x, y in zip(rest[0][:start], rest[1][:start])]
+    pairs += [(x[1], y[1]) for x, y in zip(rest[0][len(rest[0]) - end :], rest[1][len(rest[1]) - end :])]
+    pairs += _met(*(x[start : len(x) - end] for x in rest))
+    pairs.sort()
+    still = _in_order([j for _, j in pairs])
+    found = [{"change": "moved", "old_paragraph": i, "new_paragraph": j} for i, j in pairs if j not in still]
+    seen = {i for i, _ in pairs}, {j for _, j in pairs}
+    found += [{"change": "removed", "old_paragraph": i, "new_paragraph": None} for i in range(len(old)) if i not in seen[0]]
+    found += [{"change": "added", "old_paragraph": None, "new_paragraph": j} for j in range(len(new)) if j not in seen[1]]
+    return found
+
+
+_CHANGES = "array<struct<change: string, old_paragraph: int, new_paragraph: int>>"
+
+
+def changes(pairs: DataFrame, old: str = "old", new: str = "new") -> DataFrame:
+    """Where two texts differ: ``row`` (the input), ``change``, ``old_paragraph``, ``new_paragraph``, ``text``.
+
+    A paragraph is ``removed`` (its place in ``old`` only), ``added`` (in ``new`` only)
+    or ``moved`` (both; as few as the pairing allows); places count from 0. Without
+    these paragraphs both texts are the same sequence. Pairs with equal roots give no
+    row.
     """
+
+    @F.arrow_udf(_CHANGES)
+    def compare(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
+        kind = pa.struct([("change", pa.string()), ("old_paragraph", pa.int32()), ("new_paragraph", pa.int32())])
+        found = [compared(*x) for x in zip(*(y.to_pylist() for y in (a, b, c, d)))]
+        return pa.array(found, pa.list_(kind))
+
     packed = packed_rows(pairs, _old=clean_text(pairs[old]), _new=clean_text(pairs[new]))
     trees = with_tree(with_tree(packed, F.col("_old"), "_a_"), F.col("_new"), "_b_")
     differing = trees.where("_a_root <> _b_root").select(
-        "row",
-        "_new",
-        "_b_paragraphs",
-        F.array_except("_b_paragraphs", "_a_paragraphs").alias("_fresh"),
+        "row", "_old", "_new", compare("_a_paragraphs", "_b_paragraphs", "_a_sections", "_b_sections").alias("_found")
     )
     each = differing.select(
+        "row", F.split("_old", "\n").alias("_old"), F.split("_new", "\n").alias("_new"), F.explode("_found").alias("_c")
+    )
+    return each.select(
         "row",
-        "_fresh",
-        F.posexplode(
-            F.arrays_zip(F.split("_new", "\n").alias("text"), F.col("_b_paragraphs").alias("digest"))
-        ).alias("paragraph", "_p"),
+        "_c.*",
+        F.coalesce(F.get("_old", F.col("_c.old_paragraph")), F.get("_new", F.col("_c.new_paragraph"))).alias("text"),
     )
-    return each.where(F.array_contains("_fresh", F.col("_p.digest"))).select(
-        "row", "paragraph", F.col("_p.text").alias("text")
+
+
+def edits(pairs: DataFrame, old: str = "old", new: str = "new") -> DataFrame:
+    """The new side of ``changes``: ``row``, ``paragraph`` (from 0) and ``text`` of what was added or moved."""
+    return changes(pairs, old, new).where("new_paragraph is not null").select(
+        "row", F.col("new_paragraph").alias("paragraph"), "text"
     )
 
 

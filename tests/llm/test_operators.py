@@ -108,6 +108,38 @@ def test_merkle_edits_are_found(spark):
     assert fp[0]["fp"] == fp[1]["fp"] != fp[2]["fp"]
 
 
+def test_merkle_changes_cover_both_sides(spark):
+    pairs = [("A\nB\nC", "A\nC"), ("A\nB\nC", "C\nA\nB"), ("A\nB", "A\nB\nB"), ("A\nB\nA", "B\nA"), ("A", "A"), (None, "x")]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, old string, new string")
+    got = {(r["row"]["k"], r["change"], r["old_paragraph"], r["new_paragraph"], r["text"]) for r in merkle.changes(df).collect()}
+    assert got == {
+        (0, "removed", 1, None, "B"), (1, "moved", 2, 0, "C"), (2, "added", None, 2, "B"), (3, "removed", 0, None, "A"),
+        (5, "removed", 0, None, ""), (5, "added", None, 0, "x"),
+    }
+
+
+def test_merkle_changes_leave_the_same_sequence(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(150):
+        old = [f"line {rng.randint(0, 12)}" for _ in range(rng.randint(0, 25))]
+        new = [x for x in old if rng.random() < 0.8]
+        for _ in range(rng.randint(0, 4)):
+            new.insert(rng.randint(0, len(new)), f"line {rng.randint(0, 15)}")
+        rows.append((k, "\n".join(old), "\n".join(rng.sample(new, len(new)) if k % 3 == 0 else new)))
+    found = defaultdict(list)
+    for r in merkle.changes(spark.createDataFrame(rows, "k int, old string, new string")).collect():
+        found[r["row"]["k"]].append(r)
+    for k, old, new in rows:
+        old, new, rs = old.split("\n"), new.split("\n"), found[k]
+        gone, come = {r["old_paragraph"] for r in rs}, {r["new_paragraph"] for r in rs}
+        assert [x for i, x in enumerate(old) if i not in gone] == [x for i, x in enumerate(new) if i not in come]
+        # Counts decide how many were removed and added.
+        assert Counter(r["text"] for r in rs if r["change"] == "removed") == Counter(old) - Counter(new)
+        assert Counter(r["text"] for r in rs if r["change"] == "added") == Counter(new) - Counter(old)
+        assert all(old[r["old_paragraph"]] == new[r["new_paragraph"]] == r["text"] for r in rs if r["change"] == "moved")
+
+
 def test_perspectives_brute_force(spark):
     rng = random.Random(8)
     rows = [
