@@ -268,10 +268,11 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     A group without any id keeps one row. Other columns pass through untouched.
     """
-    named = materialize(
-        near_groups(docs, text, doc_id).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
-    uses = named.groupBy("doc_id").agg(F.count("*").alias("n"))
+    found = materialize(near_groups(docs, text, doc_id))
+    names = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    named = found.where(names)
+    # An id counts by all of its rows, also by those that do not name their group.
+    uses = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(names).alias("names")).where("names")
     once = uses.where("n = 1 and doc_id is not null").select(F.col("doc_id").alias("_id"))
     packed = packed_rows(docs, _id=docs[doc_id], _text=docs[text])
     single = packed.join(once, "_id", "left_semi").select("row.*")

@@ -420,6 +420,15 @@ def test_near_groups_edges(edge, none):
     assert neardup.near_groups(none).count() == 0 and neardup.one_of_each(none).count() == 0
 
 
+def test_an_id_on_a_representative_and_on_a_near_copy(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(80))
+    own, other = text(), text()
+    df = spark.createDataFrame([(5, own), (5, other), (2, other), (7, text())], "doc_id long, text string")
+    kept = {(r["doc_id"], r["text"]) for r in neardup.one_of_each(df).collect()}
+    assert len(kept) == 3 and {(5, own), (2, other)} <= kept
+
+
 def test_shards(spark, edge, none):
     rng = random.Random(12)
     rows = [(i, "x" * rng.randint(0, 400), rng.choice(["a", "a", "b", None])) for i in range(3000)]
