@@ -379,6 +379,18 @@ def places(runs: list[Run]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
+def plan_rows(rows: np.ndarray, length: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The row of ``places`` that holds each piece: by length first, then by rank among its rows.
+
+    Both become small numbers before they share a key, so that lengths and ranks of
+    any size fit: a length its place among lengths, a rank its place among first ranks.
+    """
+    lengths, ranks = np.unique(rows[:, 0]), np.unique(rows[:, 1])
+    keys = np.searchsorted(lengths, rows[:, 0]) * (len(ranks) + 1) + np.searchsorted(ranks, rows[:, 1], "right")
+    asked = np.searchsorted(lengths, length) * (len(ranks) + 1) + np.searchsorted(ranks, rank, "right")
+    return np.searchsorted(keys, asked, "right") - 1
+
+
 _PLACE = StructType([StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
 
@@ -397,8 +409,7 @@ def pack(pieces_table: DataFrame, order: Sequence[str], capacity: int = CAPACITY
         rows = shared.value
         size = length.to_numpy(zero_copy_only=False)
         at = rank.to_numpy(zero_copy_only=False)
-        # Ranks stay below 2**48, lengths below 2**15.
-        found = rows[np.searchsorted(rows[:, 0] << 48 | rows[:, 1], size << 48 | at, "right") - 1]
+        found = rows[plan_rows(rows, size, at)]
         turn, nth = np.divmod(at - found[:, 1], found[:, 2])
         return pa.StructArray.from_arrays(
             [pa.array(found[:, 3] + turn), pa.array(found[:, 4] + nth * size)], names=_PLACE.names

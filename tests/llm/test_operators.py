@@ -211,6 +211,23 @@ def test_plan_places_every_piece(seed):
     assert sum(rows[:, 2] > 0) == len(rows)
 
 
+@pytest.mark.parametrize("capacity", [4096, 32768, 1 << 20])
+def test_pieces_of_any_capacity_fill_sequences(spark, capacity):
+    rng = random.Random(15)
+    lengths = [rng.choice([capacity, capacity - 1, capacity // 2, rng.randint(1, capacity)]) for _ in range(300)]
+    table = packing.materialize(spark.createDataFrame(list(enumerate(lengths)), "piece long, length long"))
+    sequences = defaultdict(list)
+    for r in packing.pack(table, ["piece"], capacity).collect():
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert Counter(n for s in sequences.values() for _, n in s) == Counter(lengths)
+    for places in sequences.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= capacity
+
+
 def test_word_coder_equals_the_library():
     coder, tok, rng = packing.WordCoder(WORDS), Tokenizer.from_file(WORDS), random.Random(4)
     letters = "aB é́ñ\n\t<|endoftext|>中1!'sſİΣς\x1c\x85 ﬁ̈ a"
