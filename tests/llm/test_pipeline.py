@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
+import sentencepiece
+from tokenizers import Tokenizer
 
 import corpus_pipeline
+from assayframe.llm import neardup
 from assayframe.llm.queries import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
@@ -44,3 +50,51 @@ def test_run_equals_its_stages(spark):
     out = corpus_pipeline.run(spark, str(DATA))
     assert out.count() > 0
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns)
+
+
+def _texts(spark):
+    rows = spark.read.parquet(str(DATA / "documents.parquet")).select("doc_id", "text").collect()
+    return [(r["doc_id"], r["text"] or "") for r in rows]
+
+
+def test_packing_query_holds_every_piece(spark):
+    tok, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), Counter()
+    for doc, text in _texts(spark):
+        ids = np.array([*tok.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            part = ids[at : at + 4096]
+            want[doc, k, at, len(part), zlib.crc32(part.tobytes())] += 1
+    got = QUERIES["op4_best_fit_packing"](spark, str(DATA)).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+
+
+def test_token_count_query_equals_the_library(spark):
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = Counter()
+    for doc, text in _texts(spark):
+        n = len(model.encode(text))
+        want[doc, len(text.encode()), n, n > 4096] += 1
+    got = QUERIES["op7_token_counts"](spark, str(DATA)).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got) == want
+
+
+def test_near_dedup_query_groups_like_all_pairs(spark):
+    got = QUERIES["op9_simhash_near_dedup"](spark, str(DATA)).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(doc for doc, _ in _texts(spark))
+    fps = sorted({int(r["fingerprint"], 16) for r in got})
+    root = {fp: fp for fp in fps}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, a in enumerate(fps):
+        for b in fps[:k]:
+            if (a ^ b).bit_count() <= neardup.REACH:
+                root[top(a)] = top(b)
+    least = {}
+    for r in got:
+        at = top(int(r["fingerprint"], 16))
+        least[at] = min(least.get(at, r["doc_id"]), r["doc_id"])
+    assert all(r["component_id"] == least[top(int(r["fingerprint"], 16))] for r in got)
