@@ -3,30 +3,35 @@
 Every token has two names: its form (letters in lower case, as a 64-bit hash) and its
 shape (kind of characters, case, length, whether it repeats the token before; 128
 shapes in all). Each name owns a sparse index vector of +1 and -1, drawn from its
-hash. A name's word vector is the sum of the index vectors around its every
-occurrence in the corpus; sums of whole numbers, so they are the same in any order.
-Vectors of forms are a Spark table with one row per form, however many there are;
-those of shapes are a small array.
+hash. A name's word vector is the direction of the sum of the index vectors around
+its every occurrence in the corpus; sums of whole numbers, so they are the same in
+any order. Every name has its own vector, however many there are.
 
 Tokens are runs of letters, of digits or of marks by Unicode's categories. In scripts
 that are written without spaces every base character is a token.
 
-A document is the mean of its forms' vectors beside the mean of its shapes'
-vectors. Documents are cut in portions; a portion asks the table for each of its
-forms once, and the answers meet in one task per portion. No text is shuffled: a
-result finds its rows by two hashes of the text. A two-layer network in numpy turns
-the means into a logit, and a temperature fitted on rows the network has not seen
-turns the logit into a probability.
-
-The network is fitted on at most ``FIT_ROWS`` labelled documents, those of least
-hash; word vectors come from all documents.
+A document is the mean of its forms' vectors beside the mean of its shapes' vectors.
+Texts are read once: documents are cut in portions, and a portion sends the sums of
+its contexts, packed and by ranges of names, to one task per range. That task adds
+the sums of all portions and answers every portion with the vectors of the names it
+sent, in the order it sent them. The answers meet the portion's own counts of
+(document, name) in one task per portion. No text is shuffled: a pooled vector finds
+its rows by two hashes of the text. Ranges of names are as many as the corpus has
+``RANGE_BYTES``, so that a task's share does not grow with it. A portion holds at
+most ``PORTION_BYTES`` of text, or one longer text.
+
+A two-layer network in numpy turns the means into a logit, and a temperature fitted on
+rows the network has not seen turns the logit into a probability. The network is
+fitted on at most ``FIT_ROWS`` labelled documents, those of least hash; word vectors
+come from all documents.
 
 Defined cases: null and empty texts pool to zero vectors and are scored like any
 other; a form that the corpus lacks counts as a zero vector; labels without a
 document, null labels and null ids are ignored, an id labelled twice counts by its
 lowest label and one with several texts by the text of least hash; with no labels, or
 labels of one kind, every score is the smoothed share of label 1; other columns pass
-through untouched; an empty table gives an empty table.
+through untouched; an empty table gives an empty table. The documents must read the
+same twice (files, or a checkpoint).
 """
 
 from __future__ import annotations
@@ -37,15 +42,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm.common import materialize, once_per_worker, packed_rows
+from assayframe.llm.common import join_unique, materialize, once_per_worker, packed_rows
 
-# Rows for forms in the driver's array: none, as they are a Spark table.
-FORMS = 0
 SHAPES = 1 << 7
 DIMENSIONS = 32
 ONES = 4
@@ -61,13 +63,12 @@ SLICE_CHARS = 1 << 20
 TOKENS_AT_ONCE = 1 << 18
 BYTES_AT_ONCE = 4 << 20
 # A portion of documents ends at so many bytes or rows; its row numbers are 16 bits.
-PORTION_BYTES = 32 << 20
+PORTION_BYTES = 24 << 20
 PORTION_ROWS = 1 << 16
-# Sums of contexts leave a task when it holds so many forms.
-FORMS_AT_ONCE = 1 << 17
+# The names of so much text go to one range.
+RANGE_BYTES = 16 << 20
 # Unit vectors are whole numbers of this part, so that sums are exact.
 UNIT = 1 << 14
-ROWS_OUT = 1 << 15
 
 BLANK, SMALL, CAPITAL, DIGIT, MARK, SINGLE, SINGLE_BASE = range(7)
 # Scripts written without spaces: Thai, Lao, Myanmar, Khmer, kana, Han.
@@ -125,9 +126,9 @@ def index_vectors(names: np.ndarray) -> np.ndarray:
     return table
 
 
-def shape_index() -> np.ndarray:
-    """The index vectors of all shapes; their names are no hashes of characters."""
-    return index_vectors(np.arange(SHAPES, dtype=np.uint64) + np.uint64(1 << 63))
+def shape_names(shapes: np.ndarray) -> np.ndarray:
+    """The names of shapes, hashed apart from those of forms."""
+    return _mixed(shapes.astype(np.uint64) + np.uint64(1 << 63))
 
 
 class Tokens:
@@ -209,241 +210,282 @@ def _binary(text: Column) -> Column:
     return F.coalesce(text.cast("binary"), F.lit(b""))
 
 
+def _hashes(body: Column) -> dict[str, Column]:
+    return {"h1": F.xxhash64(body), "h2": F.xxhash64(F.lit(1), body)}
+
+
 def _runs(ranked: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin."""
     return np.concatenate(([0], np.flatnonzero(ranked[1:] != ranked[:-1]) + 1))[: len(ranked)]
 
 
-def _added(names: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different names in order, and the sums of their rows."""
-    order = np.argsort(names, kind="stable")
-    ranked = names[order]
-    cuts = _runs(ranked)
-    return ranked[cuts], np.add.reduceat(rows[order], cuts, axis=0, dtype=np.int64)
-
-
-def _summed_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokens, by_shape = Tokens(), shape_index()
-    total = np.zeros((SHAPES, DIMENSIONS), np.int64)
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def out(names: np.ndarray, sums: np.ndarray, shape: bool) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(names), ROWS_OUT):
-            n, part = names[k : k + ROWS_OUT], sums[k : k + ROWS_OUT]
-            columns = [pa.array(np.full(len(n), shape)), pa.array(n.view(np.int64))]
-            columns += [pa.array(np.ascontiguousarray(part[:, d])) for d in range(DIMENSIONS)]
-            yield pa.RecordBatch.from_arrays(columns, ["shape", "name", *[f"v{d}" for d in range(DIMENSIONS)]])
-
-    for batch in batches:
-        bodies = batch.column(0).to_pylist()
-        for x0, y0 in _portions(bodies):
-            forms, shapes, owner = tokens.cut(bodies[x0:y0])
-            for at in range(0, len(forms), TOKENS_AT_ONCE):
-                # A halo on both sides, so that slices do not show.
-                x, y = max(0, at - REACH), min(len(forms), at + TOKENS_AT_ONCE + REACH)
-                own = owner[x:y]
-                different, which = np.unique(forms[x:y], return_inverse=True)
-                named = index_vectors(different)[which] + by_shape[shapes[x:y]]
-                around = np.zeros_like(named)
-                for step in range(1, REACH + 1):
-                    near = (own[step:] == own[:-step])[:, None]
-                    around[step:] += named[:-step] * near
-                    around[:-step] += named[step:] * near
-                keep = slice(at - x, min(at + TOKENS_AT_ONCE, len(forms)) - x)
-                around = around[keep]
-                found, sums = _added(shapes[x:y][keep].astype(np.uint16), around)
-                total[found] += sums
-                found, sums = _added(which[keep].astype(np.uint32), around)
-                held.append((different[found], sums))
-            if sum(len(n) for n, _ in held) > FORMS_AT_ONCE:
-                held = [_added(*(np.concatenate(part) for part in zip(*held)))]
-                if len(held[0][0]) > FORMS_AT_ONCE:
-                    yield from out(*held.pop(), False)
-    if held:
-        yield from out(*_added(*(np.concatenate(part) for part in zip(*held))), False)
-    used = np.flatnonzero(total.any(axis=1))
-    yield from out(used.astype(np.uint64), total[used], True)
-
-
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of contexts as unit vectors; names without any context have none."""
-    for batch in batches:
-        sums = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]).astype(np.float64)
-        length = np.linalg.norm(sums, axis=1)
-        some = length > 0
-        units = np.rint(sums[some] / length[some, None] * UNIT).astype("<i2")
-        keep = pa.array(some)
-        vectors = pa.Array.from_buffers(
-            pa.binary(2 * DIMENSIONS), len(units), [None, pa.py_buffer(units.tobytes())]
-        ).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).filter(keep), batch.column(1).filter(keep), vectors], ["shape", "name", "vector"]
-        )
-
-
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count, total = 0, np.zeros(DIMENSIONS, np.int64)
-    for batch in batches:
-        count += batch.num_rows
-        total += _vectors(batch.column(0)).sum(axis=0, dtype=np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array([count]), pa.array([total.tolist()])], ["n", "total"])
-
-
-def _bytes(column: pa.Array) -> bytes:
-    """All values of a binary column without nulls, one after the other."""
-    return b"".join(column.to_pylist())
-
-
-def _vectors(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(_bytes(column), "<i2").reshape(-1, DIMENSIONS)
-
-
-def name_vectors(docs: DataFrame, text: str = "text") -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """The table ``(name, vector)`` of all forms of all documents, its mean, and the array of shapes."""
-    parts = [f"v{k}" for k in range(DIMENSIONS)]
-    units = materialize(
-        docs.select(_binary(docs[text]).alias("body"))
-        .mapInArrow(_summed_contexts, "shape boolean, name bigint, " + ", ".join(f"{p} bigint" for p in parts))
-        .groupBy("shape", "name")
-        .agg(*[F.sum(p).alias(p) for p in parts])
-        .mapInArrow(_units, "shape boolean, name bigint, vector binary")
-    )
-    forms = units.where("not shape").select("name", "vector")
-    sums = forms.select("vector").mapInArrow(_totals, "n bigint, total array<bigint>").collect()
-    count = max(1, sum(r["n"] for r in sums))
-    mean = np.array([r["total"] for r in sums], np.int64).reshape(-1, DIMENSIONS).sum(axis=0) / UNIT / count
-    shapes = np.zeros((SHAPES, DIMENSIONS))
-    some = np.zeros(SHAPES, bool)
-    for r in units.where("shape").collect():
-        shapes[r["name"]] = np.frombuffer(r["vector"], "<i2") / UNIT
-        some[r["name"]] = True
-    # The direction that all names share tells nothing.
-    if some.any():
-        shapes[some] -= shapes[some].mean(axis=0)
-    return forms, mean, shapes.astype(np.float32)
+# -- numbers in few bytes -------------------------------------------------------------------
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """The bytes of whole numbers, low bytes first and high ones last, compressed."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T
+    return pa.Codec("zstd").compress(planes.tobytes(), asbytes=True)
+
+
+def _unpack(data: bytes, kind: str, count: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = pa.Codec("zstd").decompress(data, decompressed_size=size * count, asbytes=True)
+    planes = np.frombuffer(raw, np.uint8).reshape(size, count)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
 
+def _pack_signed(x: np.ndarray) -> bytes:
+    """Signed 32-bit numbers, small ones of either sign in few bytes."""
+    return _pack((x << 1 ^ x >> 31).astype("<i4").view("<u4"))
 
-def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """The array part of ``name_vectors``: unit vectors of all shapes, from every document."""
-    return name_vectors(docs, text)[2]
 
+def _unpack_signed(data: bytes, count: int) -> np.ndarray:
+    x = _unpack(data, "<u4", count)
+    return (x >> 1).astype(np.int32) ^ -(x & 1).astype(np.int32)
 
-_DOC = np.dtype([("h1", "<i8"), ("h2", "<i8"), ("tokens", "<i8"), ("shapes", "<f8", DIMENSIONS)])
-_AT = np.dtype([("doc", "<u2"), ("n", "<u2")])
 
+def _pack_sorted(x: np.ndarray) -> bytes:
+    return _pack(np.diff(x, prepend=x[:1] * 0).astype("<u8"))
 
-def _asked(shapes: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per portion one row with its documents, and one row per form with its places in them."""
 
-    def rows(
-        nth: int, docs: list[np.ndarray], found: list[tuple[np.ndarray, ...]]
-    ) -> Iterator[pa.RecordBatch]:
+def _unpack_sorted(data: bytes, count: int) -> np.ndarray:
+    return np.cumsum(_unpack(data, "<u8", count), dtype=np.uint64)
+
+
+# -- portions, ranges and back --------------------------------------------------------------
+
+_DOC = np.dtype([("h1", "<i8"), ("h2", "<i8"), ("tokens", "<i8")])
+# Rows between the stages. ``part``: the range of names, or below 0 for what only the portion itself needs.
+_SENT = pa.schema(
+    [("part", pa.int64()), ("portion", pa.int64()), ("n", pa.int64())]
+    + [(c, pa.binary()) for c in ("names", "sums", "docs", "places", "counts")]
+)
+_SENT_DDL = (
+    "part bigint, portion bigint, n bigint, names binary, sums binary, docs binary, places binary, counts binary"
+)
+
+
+def _contexts(which: np.ndarray, kind: np.ndarray, owner: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """The sum of index vectors around every name: ``which`` and ``kind`` number each token's two names."""
+    total = np.zeros((len(index), DIMENSIONS), np.int32)
+    for at in range(0, len(which), TOKENS_AT_ONCE):
+        # A halo on both sides, so that slices do not show.
+        x, y = max(0, at - REACH), min(len(which), at + TOKENS_AT_ONCE + REACH)
+        own = owner[x:y]
+        named = index[which[x:y]] + index[kind[x:y]]
+        around = np.zeros_like(named)
+        for step in range(1, REACH + 1):
+            near = (own[step:] == own[:-step])[:, None]
+            around[step:] += named[:-step] * near
+            around[:-step] += named[step:] * near
+        inner = slice(at - x, min(at + TOKENS_AT_ONCE, len(which)) - x)
+        for names in (which, kind):
+            order = np.argsort(names[x:y][inner], kind="stable")
+            ranked = names[x:y][inner][order]
+            cuts = _runs(ranked)
+            total[ranked[cuts]] += np.add.reduceat(around[inner][order], cuts, axis=0, dtype=np.int32)
+    return total
+
+
+def _told(ranges: int, learn: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per portion one row of its documents and counts, and a row of names (and sums) per range."""
+
+    def rows(nth: int, docs: list[np.ndarray], tokens: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         about = np.concatenate(docs)
+        form, shape, owner = (np.concatenate(part) for part in zip(*tokens))
+        tokens.clear()
+        forms, which = np.unique(form, return_inverse=True)
+        used, kind = np.unique(shape, return_inverse=True)
+        names = np.concatenate((forms, shape_names(used)))
+        order = np.argsort(names, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        names, which, kind = names[order], rank[which], rank[len(forms) + kind]
+        sums = _contexts(which, kind, owner, index_vectors(names)) if learn else None
+        pairs = [np.unique(x.astype(np.int64) << 16 | owner, return_counts=True) for x in (which, kind)]
+        pair, n = (np.concatenate(part) for part in zip(*pairs))
+        by = np.argsort(pair, kind="stable")
+        pair, n = pair[by], n[by]
         # Named by its place, so a task that runs again gives the same rows and no two portions meet.
-        place = TaskContext.get().partitionId() << 32 | nth
-        portion = int(_mixed(np.array([place]))[:1].view(np.int64)[0])
-        schema = pa.schema([("portion", pa.int64()), ("name", pa.int64()), ("at", pa.binary()), ("docs", pa.binary())])
-        yield pa.RecordBatch.from_pylist(
-            [{"portion": portion, "name": portion, "at": None, "docs": about.tobytes()}], schema
-        )
-        form, doc, n = (np.concatenate(part) for part in zip(*found))
-        order = np.argsort(form, kind="stable")
-        form = form[order]
-        at = np.empty(len(order), _AT)
-        at["doc"], at["n"] = doc[order], n[order]
-        cuts = np.append(_runs(form), len(form))
-        for k in range(0, len(cuts) - 1, ROWS_OUT):
-            ends = cuts[k : k + ROWS_OUT + 1]
-            size = len(ends) - 1
-            places = pa.Array.from_buffers(
-                pa.binary(), size,
-                [None, pa.py_buffer(((ends - ends[0]) * _AT.itemsize).astype(np.int32)), pa.py_buffer(at[ends[0] : ends[-1]].tobytes())],
-            )
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(size, portion)), pa.array(form[ends[:-1]].view(np.int64)), places, pa.nulls(size, pa.binary())],
-                schema=schema,
-            )
+        portion = TaskContext.get().partitionId() << 32 | nth
+        places = np.bincount(pair >> 16, minlength=len(names)).astype("<i8") << 1 | (order >= len(forms))
+        row = dict.fromkeys(_SENT.names)
+        row |= {
+            "part": -1 - portion, "portion": portion, "n": len(names), "docs": about.tobytes(),
+            "places": _pack(places.astype("<u4")), "counts": _pack(n.astype("<u4")),
+            "names": _pack(np.diff(pair & 0xFFFF, prepend=0).astype("<u2")),
+            "sums": np.array([len(pair)], "<i8").tobytes(),
+        }
+        yield pa.RecordBatch.from_pylist([row], _SENT)
+        part = range_of(names, ranges)
+        cuts = np.append(_runs(part), len(part))
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            row = dict.fromkeys(_SENT.names)
+            row |= {"part": int(part[x]), "portion": portion, "n": int(y - x), "names": _pack_sorted(names[x:y])}
+            if learn:
+                row["sums"] = _pack_signed(sums[x:y].reshape(-1))
+            yield pa.RecordBatch.from_pylist([row], _SENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
-        docs, found, size, count, nth = [], [], 0, 0, 0
+        cutter = Tokens()
+        docs, tokens, size, count, nth = [], [], 0, 0, 0
         for batch in batches:
             h1, h2 = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
             bodies = batch.column(2).to_pylist()
             for x, y in _portions(bodies):
                 texts = bodies[x:y]
-                if docs and (count + len(texts) > PORTION_ROWS or size > PORTION_BYTES):
-                    yield from rows(nth, docs, found)
-                    docs, found, size, count, nth = [], [], 0, 0, nth + 1
-                forms, shape, owner = tokens.cut(texts)
+                more = sum(map(len, texts))
+                if docs and (count + len(texts) > PORTION_ROWS or size + more > PORTION_BYTES):
+                    yield from rows(nth, docs, tokens)
+                    docs, tokens, size, count, nth = [], [], 0, 0, nth + 1
+                form, shape, owner = cutter.cut(texts)
                 about = np.zeros(len(texts), _DOC)
                 about["h1"], about["h2"] = h1[x:y], h2[x:y]
                 about["tokens"] = np.bincount(owner, minlength=len(texts))
-                mixed = np.bincount(owner * SHAPES + shape, minlength=len(texts) * SHAPES)
-                about["shapes"] = mixed.reshape(-1, SHAPES) @ shapes.astype(np.float64)
-                # Tokens come by text, so equal forms stay in order of texts.
-                order = np.argsort(forms, kind="stable")
-                form, doc = forms[order], owner[order]
-                cuts = np.flatnonzero(np.append(True, (form[1:] != form[:-1]) | (doc[1:] != doc[:-1]))[: len(form)])
-                form, doc, n = form[cuts], doc[cuts] + count, np.diff(np.append(cuts, len(forms)))
-                # Counts beyond 16 bits take several places.
-                times = -(-n // 0xFFFF)
-                last = np.cumsum(times) - 1
-                form, doc, left = np.repeat(form, times), np.repeat(doc, times), n - (times - 1) * 0xFFFF
-                n = np.full(len(form), 0xFFFF, np.int64)
-                n[last] = left
                 docs.append(about)
-                found.append((form, doc.astype(np.uint16), n.astype(np.uint16)))
-                size += sum(map(len, texts))
+                tokens.append((form, shape.astype(np.uint8), (owner + count).astype(np.int32)))
+                size += more
                 count += len(texts)
         if docs:
-            yield from rows(nth, docs, found)
+            yield from rows(nth, docs, tokens)
 
     return run
 
 
-def _pooled(table: pa.Table, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def range_of(names: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of every name, in the order of names."""
+    return ((names >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def _added(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """The different names of a range, their directions, and each sent name's place, with the rows' sizes."""
+    sizes = table["n"].to_pylist()
+    names = [_unpack_sorted(d, n) for d, n in zip(table["names"].to_pylist(), sizes, strict=True)]
+    sums = [
+        np.zeros((n, DIMENSIONS), np.int32) if d is None else _unpack_signed(d, n * DIMENSIONS).reshape(n, -1)
+        for d, n in zip(table["sums"].to_pylist(), sizes, strict=True)
+    ]
+    names, sums = np.concatenate(names), np.concatenate(sums)
+    order = np.argsort(names, kind="stable")
+    cuts = _runs(names[order])
+    total = np.add.reduceat(sums[order], cuts, axis=0, dtype=np.int64)
+    which = np.empty(len(order), np.int64)
+    which[order] = np.repeat(np.arange(len(cuts)), np.diff(np.append(cuts, len(order))))
+    peak = np.abs(total).max(axis=1, keepdims=True)
+    direction = np.rint(total * (127 / np.maximum(peak, 127))).astype(np.int8)
+    return names[order][cuts], direction, which, sizes
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """For every portion the directions of the names it sent; what a portion sent itself passes through."""
+    if table["part"][0].as_py() < 0:
+        return table
+    _, direction, which, sizes = _added(table)
+    ends = np.cumsum(sizes)
+    rows = []
+    for k, (portion, size) in enumerate(zip(table["portion"].to_pylist(), sizes, strict=True)):
+        if portion is not None:
+            found = direction[which[ends[k] - size : ends[k]]]
+            row = dict.fromkeys(_SENT.names)
+            row |= {"part": table["part"][0].as_py(), "portion": portion, "n": size, "sums": _pack(found.reshape(-1))}
+            rows.append(row)
+    return pa.Table.from_pylist(rows, _SENT)
+
+
+def _kept(table: pa.Table) -> pa.Table:
+    """The names of a range with their directions, as a row that asks for no answer."""
+    if table["part"][0].as_py() < 0:
+        return _SENT.empty_table()
+    names, direction, _, _ = _added(table)
+    row = dict.fromkeys(_SENT.names)
+    row |= {
+        "part": table["part"][0].as_py(), "n": len(names), "names": _pack_sorted(names),
+        "sums": _pack_signed(direction.astype(np.int32).reshape(-1)),
+    }
+    return pa.Table.from_pylist([row], _SENT)
+
+
+def units(direction: np.ndarray) -> np.ndarray:
+    """Directions as unit vectors in parts of ``UNIT``; names without any context have none."""
+    length = np.sqrt(np.square(direction.astype(np.int32)).sum(axis=1))
+    return np.rint(direction * (UNIT / np.maximum(length, 1))[:, None]).astype(np.int32)
+
+
+def _pooled(table: pa.Table) -> pa.Table:
     """The documents of a portion and their pooled vectors."""
-    about = np.frombuffer(_bytes(table["docs"].drop_null()), _DOC)
-    known = table.filter(table["vector"].is_valid()).filter(pa.compute.field("docs").is_null())
-    sizes = pa.compute.binary_length(known["at"]).to_numpy() // _AT.itemsize
-    at, units = np.frombuffer(_bytes(known["at"]), _AT), _vectors(known["vector"])
-    row = np.repeat(np.arange(len(units)), sizes)
-    order = np.argsort(at["doc"], kind="stable")
-    total, count = np.zeros((len(about), DIMENSIONS), np.int64), np.zeros(len(about), np.int64)
+    table = table.sort_by("part")
+    own = {c: table[c][0].as_py() for c in _SENT.names}
+    about = np.frombuffer(own["docs"], _DOC)
+    places = _unpack(own["places"], "<u4", own["n"])
+    count = int(np.frombuffer(own["sums"], "<i8")[0])
+    doc = np.cumsum(_unpack(own["names"], "<u2", count), dtype=np.uint16).astype(np.int64)
+    times = _unpack(own["counts"], "<u4", count).astype(np.int64)
+    found = [_unpack(d, "i1", n * DIMENSIONS) for d, n in zip(table["sums"].to_pylist()[1:], table["n"].to_pylist()[1:], strict=True)]
+    vectors = units(np.concatenate([np.empty(0, np.int8), *found]).reshape(-1, DIMENSIONS))
+    name = np.repeat(np.arange(len(places)), places >> 1)
+    order = np.argsort(doc * 2 + (places & 1)[name], kind="stable")
+    total = np.zeros((2 * len(about), DIMENSIONS), np.int64)
     for k in range(0, len(order), TOKENS_AT_ONCE):
         part = order[k : k + TOKENS_AT_ONCE]
-        doc, n = at["doc"][part], at["n"][part].astype(np.int64)
-        cuts = _runs(doc)
-        total[doc[cuts]] += np.add.reduceat(units[row[part]] * n[:, None], cuts, axis=0)
-        count[doc[cuts]] += np.add.reduceat(n, cuts)
-    x = np.column_stack((total / UNIT - count[:, None] * mean, about["shapes"]))
-    return about, x / np.maximum(about["tokens"], 1)[:, None]
+        row = doc[part] * 2 + (places & 1)[name[part]]
+        cuts = _runs(row)
+        total[row[cuts]] += np.add.reduceat(vectors[name[part]] * times[part, None], cuts, axis=0)
+    x = total.reshape(len(about), -1) / UNIT / np.maximum(about["tokens"], 1)[:, None]
+    flat = pa.array(x.astype(np.float32).reshape(-1))
+    ends = pa.array(np.arange(len(about) + 1, dtype=np.int32) * (2 * DIMENSIONS))
+    return pa.table({"h1": about["h1"].copy(), "h2": about["h2"].copy(), "x": pa.ListArray.from_arrays(ends, flat)})
 
 
-def _hashes(body: Column) -> dict[str, Column]:
-    return {"h1": F.xxhash64(body), "h2": F.xxhash64(F.lit(1), body)}
+def ranges_for(docs: DataFrame, text: str = "text") -> int:
+    """How many ranges of names suit these texts."""
+    size = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(1, -(-size // RANGE_BYTES))
 
 
-def pooled(bodies: DataFrame, forms: DataFrame, mean: np.ndarray, shapes: np.ndarray, network: Network | None = None) -> DataFrame:
-    """``(h1, h2)`` of every different ``body`` with its pooled vector ``x``, or with its ``score`` by a network."""
+def _sent(docs: DataFrame, text: str, ranges: int, learn: bool) -> DataFrame:
+    body = docs.select(_binary(docs[text]).alias("body"))
+    return body.select(*[c.alias(n) for n, c in _hashes(F.col("body")).items()], "body").mapInArrow(
+        _told(ranges, learn), _SENT_DDL
+    )
 
-    def answer(table: pa.Table) -> pa.Table:
-        about, x = _pooled(table, mean)
-        value = pa.array(list(x), pa.list_(pa.float64())) if network is None else pa.array(network.scores(x))
-        return pa.table({"h1": about["h1"].copy(), "h2": about["h2"].copy(), "x": value})
 
-    asked = bodies.select(*[c.alias(n) for n, c in _hashes(F.col("body")).items()], "body").mapInArrow(
-        _asked(shapes), "portion bigint, name bigint, at binary, docs binary"
-    )
-    kind = "array<double>" if network is None else "double"
+def word_table(docs: DataFrame, text: str = "text", ranges: int | None = None) -> DataFrame:
+    """The vectors of all names of ``docs``: a row per range, with its names and directions packed."""
+    ranges = ranges or ranges_for(docs, text)
+    return _sent(docs, text, ranges, learn=True).groupBy("part").applyInArrow(_kept, _SENT_DDL)
+
+
+def word_vectors(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(name, vector)`` of every name of ``docs``; vectors are directions in whole numbers."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                names = _unpack_sorted(row["names"], row["n"]).view(np.int64)
+                flat = pa.array(_unpack_signed(row["sums"], row["n"] * DIMENSIONS))
+                vectors = pa.FixedSizeListArray.from_arrays(flat, DIMENSIONS).cast(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(names), vectors], ["name", "vector"])
+
+    return word_table(docs, text).mapInArrow(opened, "name bigint, vector array<int>")
+
+
+def pooled(docs: DataFrame, text: str = "text", words: DataFrame | None = None, ranges: int | None = None) -> DataFrame:
+    """``(h1, h2, x, n)``: the pooled vector of every different text and its number of rows.
+
+    Word vectors come from ``docs`` themselves, or from ``words``, a ``word_table``
+    with as many ``ranges``.
+    """
+    sent = _sent(docs, text, ranges or ranges_for(docs, text), learn=words is None)
+    if words is not None:
+        sent = sent.unionByName(words)
     return (
-        asked.join(forms, "name", "left")
-        .select("portion", "at", "docs", "vector")
+        sent.groupBy("part")
+        .applyInArrow(_answered, _SENT_DDL)
         .groupBy("portion")
-        .applyInArrow(answer, f"h1 bigint, h2 bigint, x {kind}")
+        .applyInArrow(_pooled, "h1 bigint, h2 bigint, x array<float>")
         .groupBy("h1", "h2")
-        .agg(F.min("x").alias("x"))
+        .agg(F.min("x").alias("x"), F.count("*").alias("n"))
     )
 
 
@@ -519,19 +561,20 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """Vectors of shapes, the network, and the table of forms with its mean."""
+    """The network, and what its corpus gave: pooled vectors of its texts, and where words are looked up."""
 
-    vectors: np.ndarray
     network: Network
-    forms: DataFrame
-    mean: np.ndarray
+    texts: DataFrame
+    corpus: DataFrame
+    ranges: int
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = FIT_ROWS
 ) -> Model:
     """Word vectors from all of ``docs``; the network from at most ``rows`` labels that may be learned."""
-    forms, mean, shapes = name_vectors(docs, text)
+    ranges = ranges_for(docs, text)
+    texts = materialize(pooled(docs, text, ranges=ranges))
     chosen = materialize(
         labels.where("doc_id is not null and quality is not null")
         .groupBy("doc_id")
@@ -542,37 +585,45 @@ def fit(
         .limit(rows)
     )
     # At most ``rows`` pairs of numbers: a proven bound.
-    labelled = docs.select(docs[doc_id].alias("doc_id"), _binary(docs[text]).alias("body")).join(
-        F.broadcast(chosen), "doc_id"
-    )
-    hashed = labelled.select("doc_id", "quality", F.struct(*[c.alias(n) for n, c in _hashes(F.col("body")).items()]).alias("h"))
+    hashed = docs.select(docs[doc_id].alias("doc_id"), F.struct(*[c.alias(n) for n, c in _hashes(_binary(docs[text])).items()]).alias("h"))
     known = (
-        hashed.groupBy("doc_id", "quality")
+        hashed.join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "quality")
         .agg(F.min("h").alias("h"))
         .select("doc_id", "quality", "h.h1", "h.h2")
-        .join(pooled(labelled.select("body"), forms, mean, shapes), ["h1", "h2"])
+        .join(texts, ["h1", "h2"])
         .select("doc_id", "quality", "x")
         .collect()
     )
     known.sort(key=lambda r: r["doc_id"])
     x = np.array([r["x"] for r in known], np.float64).reshape(-1, 2 * DIMENSIONS)
-    return Model(shapes, fit_network(x, np.array([r["quality"] for r in known], np.float64)), forms, mean)
+    network = fit_network(x, np.array([r["quality"] for r in known], np.float64))
+    return Model(network, texts, docs.select(docs[text].alias("text")), ranges)
 
 
 def scored(
-    docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str] | None = None
+    docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str] | None = None, of_corpus: bool = False
 ) -> DataFrame:
-    """Every row as ``row`` (its columns ``keep``, all by default) with ``score``."""
-    scores = pooled(
-        docs.select(_binary(docs[text]).alias("body")), model.forms, model.mean, model.vectors, model.network
-    )
-    return (
-        packed_rows(docs, keep, **_hashes(_binary(docs[text])))
-        .join(scores, ["h1", "h2"])
-        .select("row", F.col("x").alias("score"))
-    )
+    """Every row as ``row`` (its columns ``keep``, all by default) with ``score``.
+
+    ``of_corpus`` says that every text of ``docs`` is one of those the model was
+    fitted on, whose pooled vectors it already holds. Other texts look up their words.
+    """
+    texts = model.texts if of_corpus else materialize(pooled(docs, text, word_table(model.corpus, "text", model.ranges), model.ranges))
+    network = model.network
+
+    @F.arrow_udf("double")
+    def score(x: pa.Array) -> pa.Array:
+        return pa.array(network.scores(x.flatten().to_numpy().reshape(len(x), -1).astype(np.float64)))
 
+    return join_unique(
+        packed_rows(docs, keep, **_hashes(_binary(docs[text]))),
+        texts.select("h1", "h2", "n", score("x").alias("score")), ["h1", "h2"], "n",
+    ).select("row", "score")
 
-def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+
+def keep_good(
+    docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text", of_corpus: bool = False
+) -> DataFrame:
     """The documents at or above the threshold, with their own columns only."""
-    return scored(docs, model, text).where(F.col("score") >= threshold).select("row.*")
+    return scored(docs, model, text, of_corpus=of_corpus).where(F.col("score") >= threshold).select("row.*")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from assayframe.session import materialize
 
 __all__ = [
-    "WORD_BREAK", "clean_text", "materialize", "once_per_worker", "packed_rows",
+    "WORD_BREAK", "clean_text", "join_unique", "materialize", "once_per_worker", "packed_rows",
     "rank_in_groups", "spread", "table", "words_of",
 ]
 
@@ -77,6 +77,25 @@ def rank_in_groups(
     )
 
 
+# A key with more than one in so many of all rows is hot; there are never more such keys than this.
+HOT_SHARE = 1000
+
+
+def join_unique(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
+    """Inner join with a ``right`` that is unique by ``keys`` and says how many rows of ``left`` each key has.
+
+    Hot keys are at most ``HOT_SHARE`` rows, a proven bound, and are broadcast; only the
+    other rows of ``left`` are shuffled. ``right`` must be cheap to read again
+    (materialized); its column ``weight`` is dropped.
+    """
+    whole = right.agg(F.sum(weight)).first()[0] or 0
+    is_hot = F.col(weight) * HOT_SHARE > F.lit(whole)
+    hot = F.broadcast(right.where(is_hot).drop(weight))
+    many = left.join(hot, list(keys))
+    few = left.join(F.broadcast(right.where(is_hot).select(*keys)), list(keys), "left_anti")
+    return many.unionByName(few.join(right.where(~is_hot).drop(weight), list(keys)))
+
+
 def spread(df: DataFrame, rows_per_task: int, rows: int) -> DataFrame:
     """Deal narrow rows over tasks of about ``rows_per_task``."""
     return df.repartition(max(1, -(-rows // rows_per_task)))

@@ -120,7 +120,7 @@ def op10_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = classifier.fit(docs, table(spark, sf_dir, "labels"))
-    return classifier.scored(docs, model, keep=["doc_id"]).select(
+    return classifier.scored(docs, model, keep=["doc_id"], of_corpus=True).select(
         "row.doc_id",
         classifier.held_out(F.col("row.doc_id")).alias("held_out"),
         "score",

@@ -259,12 +259,20 @@ def test_classifier_learns_and_takes_edges(spark, edge, none):
     assert classifier.scored(none, model).count() == 0
     plainly = classifier.fit(d, lab.where("false"))
     assert {round(r["score"], 6) for r in classifier.scored(d, plainly).collect()} == {0.5}
-    assert classifier.fit(none, lab.where("false")).vectors.shape[0] == classifier.FORMS + classifier.SHAPES
+    assert classifier.scored(edge, classifier.fit(none, lab.where("false"))).count() == len(edge_rows())
+    own = [(r["row"]["doc_id"], r["score"]) for r in classifier.scored(d, model, of_corpus=True).collect()]
+    assert Counter(own) == Counter((r["row"]["doc_id"], r["score"]) for r in rows)
 
 
-def test_word_vectors_do_not_depend_on_the_deal(spark):
+def named(df):
+    return {r["name"]: tuple(r["vector"]) for r in classifier.word_vectors(df).collect()}
+
+
+def test_word_vectors_do_not_depend_on_the_deal(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"word{i % 7} next{i % 5} Third! again again") for i in range(200)], "doc_id long, text string")
-    assert np.array_equal(classifier.word_vectors(docs.repartition(1)), classifier.word_vectors(docs.repartition(5)))
+    one = named(docs.repartition(1))
+    monkeypatch.setattr(classifier, "RANGE_BYTES", 500)
+    assert one == named(docs.repartition(5)) and len(one) > 12
 
 
 def test_every_word_has_its_own_vector(spark):
@@ -272,26 +280,56 @@ def test_every_word_has_its_own_vector(spark):
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(12_000)]
     rows = [(i, " ".join(words[i : i + 60])) for i in range(0, 12_000, 60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = [classifier.name_vectors(docs.repartition(n)) for n in (1, 5)]
-    tables = [{r["name"]: bytes(r["vector"]) for r in forms.collect()} for forms, _, _ in found]
-    assert len(tables[0]) == 12_000 and tables[0] == tables[1]
-    assert np.array_equal(found[0][1], found[1][1])
-
-
-def test_pooling_equals_a_loop(spark):
+    found = [named(docs.repartition(n)) for n in (1, 5)]
+    # One shape beside the words: all are small and of one length class.
+    assert len(found[0]) == 12_001 and found[0] == found[1]
+
+
+def test_sums_of_contexts_equal_a_loop(spark):
+    text = "One two, two THREE! 12 two one " * 50
+    form, shape, _ = classifier.Tokens().cut([text.encode()])
+    kinds = classifier.shape_names(shape)
+    index = {int(n): v.astype(int) for names in (form, kinds) for n, v in zip(names, classifier.index_vectors(names))}
+    want = {n: np.zeros(classifier.DIMENSIONS, int) for n in index}
+    for k in range(len(form)):
+        for j in range(max(0, k - 2), min(len(form), k + 3)):
+            if j != k:
+                for own in (int(form[k]), int(kinds[k])):
+                    want[own] += index[int(form[j])] + index[int(kinds[j])]
+    got = named(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    for n, v in want.items():
+        peak = max(127, np.abs(v).max())
+        assert got[n - (1 << 64) if n >> 63 else n] == tuple(np.rint(v * (127 / peak)).astype(int))
+
+
+@pytest.mark.parametrize("portion", [24 << 20, 100])
+def test_pooling_equals_a_loop(spark, monkeypatch, portion):
+    monkeypatch.setattr(classifier, "PORTION_BYTES", portion)
+    monkeypatch.setattr(classifier, "RANGE_BYTES", 50_000)
     texts = ["One two, two THREE! 12", "日本語。猫と犬", None, "", "two one. " * 70_000, "x", "One two, two THREE! 12"]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    forms, mean, shapes = classifier.name_vectors(docs)
-    vector = {r["name"]: np.frombuffer(r["vector"], "<i2") / classifier.UNIT - mean for r in forms.collect()}
-    bodies = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body"))
-    got = {(r["h1"], r["h2"]): r["x"] for r in classifier.pooled(bodies, forms, mean, shapes).collect()}
-    assert len(got) == 5
-    for r in bodies.select("body", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2")).collect():
-        form, shape, _ = classifier.Tokens().cut([bytes(r["body"])])
-        want = np.zeros(2 * classifier.DIMENSIONS)
-        for f, s in zip(form.view(np.int64).tolist(), shape.tolist()):
-            want += np.concatenate((vector.get(f, np.zeros(classifier.DIMENSIONS)), shapes[s]))
-        assert np.allclose(got[r["h1"], r["h2"]], want / max(1, len(form)), atol=1e-9)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    vector = {n: classifier.units(np.array([v], np.int8))[0] / classifier.UNIT for n, v in named(docs).items()}
+    bodies = docs.select(F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body"))
+    hashed = {(r["h1"], r["h2"]): bytes(r["body"]) for r in bodies.select("body", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2")).collect()}
+    table = classifier.word_table(docs)
+    for found in (classifier.pooled(docs), classifier.pooled(docs, words=table)):
+        rows = {(r["h1"], r["h2"]): r for r in found.collect()}
+        assert set(rows) == set(hashed) and sum(r["n"] for r in rows.values()) == len(texts)
+        for h, body in hashed.items():
+            form, shape, _ = classifier.Tokens().cut([body])
+            want = np.zeros(2 * classifier.DIMENSIONS)
+            for f, s in zip(form.view(np.int64).tolist(), classifier.shape_names(shape).view(np.int64).tolist()):
+                want += np.concatenate((vector[f], vector[s]))
+            assert np.allclose(rows[h]["x"], want / max(1, len(form)), atol=1e-6)
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 1000):
+        x = rng.integers(-(1 << 31), 1 << 31, n).astype(np.int32)
+        assert (classifier._unpack_signed(classifier._pack_signed(x), n) == x).all()
+        y = np.sort(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        assert (classifier._unpack_sorted(classifier._pack_sorted(y), n) == y).all()
 
 
 def test_words_end_at_marks_of_every_script():
