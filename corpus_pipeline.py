@@ -30,7 +30,7 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls good. It learns from all labelled documents of the corpus."""
     model = classifier.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return classifier.keep_good(docs, model)
+    return classifier.keep_good(docs, model, of_corpus=True)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
