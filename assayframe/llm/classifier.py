@@ -49,8 +49,8 @@ from pyspark.sql import functions as F
 from assayframe.llm.common import join_unique, materialize, once_per_worker, packed_rows
 
 SHAPES = 1 << 7
-DIMENSIONS = 32
-ONES = 4
+DIMENSIONS = 24
+ONES = 2
 REACH = 2
 FIT_ROWS = 20_000
 HIDDEN = 32
@@ -67,6 +67,8 @@ PORTION_BYTES = 24 << 20
 PORTION_ROWS = 1 << 16
 # The names of so much text go to one range.
 RANGE_BYTES = 16 << 20
+# Directions have so many steps to either side of zero in every dimension.
+STEPS = 7
 # Unit vectors are whole numbers of this part, so that sums are exact.
 UNIT = 1 << 14
 
@@ -288,6 +290,13 @@ def _contexts(which: np.ndarray, kind: np.ndarray, owner: np.ndarray, index: np.
     return total
 
 
+def _by_size(size: np.ndarray) -> np.ndarray:
+    """The turn of every name when those of most documents come first."""
+    turn = np.empty(len(size), np.int64)
+    turn[np.argsort(-size, kind="stable")] = np.arange(len(size))
+    return turn
+
+
 def _told(ranges: int, learn: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Per portion one row of its documents and counts, and a row of names (and sums) per range."""
 
@@ -305,11 +314,13 @@ def _told(ranges: int, learn: bool) -> Callable[[Iterator[pa.RecordBatch]], Iter
         sums = _contexts(which, kind, owner, index_vectors(names)) if learn else None
         pairs = [np.unique(x.astype(np.int64) << 16 | owner, return_counts=True) for x in (which, kind)]
         pair, n = (np.concatenate(part) for part in zip(*pairs))
-        by = np.argsort(pair, kind="stable")
+        size = np.bincount(pair >> 16, minlength=len(names))
+        # Names of alike numbers of documents stand together, which packs best.
+        by = np.argsort(_by_size(size)[pair >> 16] << 16 | pair & 0xFFFF)
         pair, n = pair[by], n[by]
         # Named by its place, so a task that runs again gives the same rows and no two portions meet.
         portion = TaskContext.get().partitionId() << 32 | nth
-        places = np.bincount(pair >> 16, minlength=len(names)).astype("<i8") << 1 | (order >= len(forms))
+        places = size << 1 | (order >= len(forms))
         row = dict.fromkeys(_SENT.names)
         row |= {
             "part": -1 - portion, "portion": portion, "n": len(names), "docs": about.tobytes(),
@@ -373,7 +384,7 @@ def _added(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[in
     which = np.empty(len(order), np.int64)
     which[order] = np.repeat(np.arange(len(cuts)), np.diff(np.append(cuts, len(order))))
     peak = np.abs(total).max(axis=1, keepdims=True)
-    direction = np.rint(total * (127 / np.maximum(peak, 127))).astype(np.int8)
+    direction = np.rint(total * (STEPS / np.maximum(peak, STEPS))).astype(np.int8)
     return names[order][cuts], direction, which, sizes
 
 
@@ -423,7 +434,9 @@ def _pooled(table: pa.Table) -> pa.Table:
     times = _unpack(own["counts"], "<u4", count).astype(np.int64)
     found = [_unpack(d, "i1", n * DIMENSIONS) for d, n in zip(table["sums"].to_pylist()[1:], table["n"].to_pylist()[1:], strict=True)]
     vectors = units(np.concatenate([np.empty(0, np.int8), *found]).reshape(-1, DIMENSIONS))
-    name = np.repeat(np.arange(len(places)), places >> 1)
+    size = (places >> 1).astype(np.int64)
+    by = np.argsort(_by_size(size))
+    name = np.repeat(by, size[by])
     order = np.argsort(doc * 2 + (places & 1)[name], kind="stable")
     total = np.zeros((2 * len(about), DIMENSIONS), np.int64)
     for k in range(0, len(order), TOKENS_AT_ONCE):
@@ -432,9 +445,14 @@ def _pooled(table: pa.Table) -> pa.Table:
         cuts = _runs(row)
         total[row[cuts]] += np.add.reduceat(vectors[name[part]] * times[part, None], cuts, axis=0)
     x = total.reshape(len(about), -1) / UNIT / np.maximum(about["tokens"], 1)[:, None]
-    flat = pa.array(x.astype(np.float32).reshape(-1))
-    ends = pa.array(np.arange(len(about) + 1, dtype=np.int32) * (2 * DIMENSIONS))
-    return pa.table({"h1": about["h1"].copy(), "h2": about["h2"].copy(), "x": pa.ListArray.from_arrays(ends, flat)})
+    ends = pa.py_buffer(np.arange(len(about) + 1, dtype=np.int32) * (2 * 2 * DIMENSIONS))
+    flat = pa.Array.from_buffers(pa.binary(), len(about), [None, ends, pa.py_buffer(x.astype("<f2").tobytes())])
+    return pa.table({"h1": about["h1"].copy(), "h2": about["h2"].copy(), "x": flat})
+
+
+def opened(x: list[bytes]) -> np.ndarray:
+    """Pooled vectors, one a row, from their bytes."""
+    return np.frombuffer(b"".join(x), "<f2").reshape(-1, 2 * DIMENSIONS).astype(np.float64)
 
 
 def ranges_for(docs: DataFrame, text: str = "text") -> int:
@@ -459,7 +477,7 @@ def word_table(docs: DataFrame, text: str = "text", ranges: int | None = None) -
 def word_vectors(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(name, vector)`` of every name of ``docs``; vectors are directions in whole numbers."""
 
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 names = _unpack_sorted(row["names"], row["n"]).view(np.int64)
@@ -467,11 +485,11 @@ def word_vectors(docs: DataFrame, text: str = "text") -> DataFrame:
                 vectors = pa.FixedSizeListArray.from_arrays(flat, DIMENSIONS).cast(pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(names), vectors], ["name", "vector"])
 
-    return word_table(docs, text).mapInArrow(opened, "name bigint, vector array<int>")
+    return word_table(docs, text).mapInArrow(listed, "name bigint, vector array<int>")
 
 
 def pooled(docs: DataFrame, text: str = "text", words: DataFrame | None = None, ranges: int | None = None) -> DataFrame:
-    """``(h1, h2, x, n)``: the pooled vector of every different text and its number of rows.
+    """``(h1, h2, x, n)``: the pooled vector of every different text (see ``opened``) and its number of rows.
 
     Word vectors come from ``docs`` themselves, or from ``words``, a ``word_table``
     with as many ``ranges``.
@@ -483,7 +501,7 @@ def pooled(docs: DataFrame, text: str = "text", words: DataFrame | None = None,
         sent.groupBy("part")
         .applyInArrow(_answered, _SENT_DDL)
         .groupBy("portion")
-        .applyInArrow(_pooled, "h1 bigint, h2 bigint, x array<float>")
+        .applyInArrow(_pooled, "h1 bigint, h2 bigint, x binary")
         .groupBy("h1", "h2")
         .agg(F.min("x").alias("x"), F.count("*").alias("n"))
     )
@@ -596,7 +614,7 @@ def fit(
         .collect()
     )
     known.sort(key=lambda r: r["doc_id"])
-    x = np.array([r["x"] for r in known], np.float64).reshape(-1, 2 * DIMENSIONS)
+    x = opened([r["x"] for r in known])
     network = fit_network(x, np.array([r["quality"] for r in known], np.float64))
     return Model(network, texts, docs.select(docs[text].alias("text")), ranges)
 
@@ -614,7 +632,7 @@ def scored(
 
     @F.arrow_udf("double")
     def score(x: pa.Array) -> pa.Array:
-        return pa.array(network.scores(x.flatten().to_numpy().reshape(len(x), -1).astype(np.float64)))
+        return pa.array(network.scores(opened(x.to_pylist())))
 
     return join_unique(
         packed_rows(docs, keep, **_hashes(_binary(docs[text]))),

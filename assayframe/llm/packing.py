@@ -49,6 +49,8 @@ ITERATIONS = 120
 STEP = 0.1
 NEAR_BEST = 0.85
 ROUNDS = 5
+# Least fills from which configurations are planted; above 1 none is.
+LEAST_FILLS = (0.0, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999, 1.0, 2.0)
 # Ids of short words are remembered, up to so many in a worker.
 REMEMBERED = 400_000
 TEXTS_AT_ONCE = 64
@@ -66,8 +68,8 @@ class WordCoder:
     Its pattern cuts a text into parts that are coded one by one, so a part's ids
     can be remembered. New parts go to the tokenizer many at once; a token that
     ends a part says so in its name. The letters and digits below are all there are
-    up to U+024F; texts with other characters, and special strings, go to the
-    tokenizer whole.
+    up to U+024F; texts with other characters, in capitals or in small letters, and
+    special strings go to the tokenizer whole.
     """
 
     LETTERS = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
@@ -107,7 +109,12 @@ class WordCoder:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        rows = [None if self.foreign(t) else self.parts_of(t.lower()) for t in texts]
+        # Some capitals up to U+024F have their small letter beyond it, and the other way round.
+        small = [t.lower() for t in texts]
+        rows = [
+            None if self.foreign(t) or self.foreign(low) else self.parts_of(low)
+            for t, low in zip(texts, small, strict=True)
+        ]
         new = set().union(*[r for r in rows if r]).difference(known)
         if new:
             self._learn(list(new))
@@ -316,13 +323,56 @@ class _Gaps:
         return [run for room in sorted(self.by_room) for run in self.by_room[room]]
 
 
+def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
+    """Best fit decreasing alone, as runs of (lengths, number of sequences)."""
+    return _filled([], {}, dict(histogram), capacity)
+
+
+def _filled(
+    chosen: list[tuple[tuple[int, ...], int]], exact: dict[int, list[tuple[int, int]]], rest: dict[int, int], capacity: int
+) -> list[Run]:
+    """Sequences of the chosen configurations with true lengths, and all else by best fit decreasing."""
+    gaps = _Gaps(capacity)
+    exact = {u: list(have) for u, have in exact.items()}
+    rest = dict(rest)
+
+    def draw(u: int, most: int) -> tuple[int, int]:
+        length, have = exact[u].pop()
+        if have > most:
+            exact[u].append((length, have - most))
+        return length, min(have, most)
+
+    for config, times in chosen:
+        open_runs: list[Run] = [((), times)]
+        for u in config:
+            filled: list[Run] = []
+            for lengths, count in open_runs:
+                while count:
+                    length, n = draw(u, count)
+                    filled.append(((*lengths, length), n))
+                    count -= n
+            open_runs = filled
+        for lengths, count in open_runs:
+            gaps.add(lengths, count)
+    for left in exact.values():
+        for length, count in left:
+            rest[length] = rest.get(length, 0) + count
+    for length in sorted(rest, reverse=True):
+        gaps.put(length, rest[length])
+    return gaps.runs()
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
-    """Sequences as runs of (lengths, number of sequences) for a histogram of piece lengths."""
+    """Sequences as runs of (lengths, number of sequences) for a histogram of piece lengths.
+
+    Rounding plants the program's configurations from a least fill on; of a few such
+    levels the one that needs the fewest sequences is taken. The highest plants none,
+    so a plan is never above best fit decreasing.
+    """
     unit = max(1, capacity // UNITS)
     units = capacity // unit
     exact: dict[int, list[tuple[int, int]]] = defaultdict(list)
     demand = np.zeros(units + 1, np.int64)
-    gaps = _Gaps(capacity)
     rest: dict[int, int] = {}
     for length, count in sorted(histogram.items()):
         u = -(-length // unit)
@@ -331,37 +381,18 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
             demand[u] += count
         else:
             rest[length] = count
-
-    def draw(u: int, most: int) -> tuple[int, int]:
-        length, have = exact[u].pop()
-        if have > most:
-            exact[u].append((length, have - most))
-        return length, min(have, most)
-
+    chosen: list[tuple[tuple[int, ...], int]] = []
     for _ in range(ROUNDS):
         if not demand.any():
             break
-        chosen = _rounded(_solve(demand.astype(float), units), demand)
-        if not chosen:
+        found = _rounded(_solve(demand.astype(float), units), demand)
+        if not found:
             break
-        for config, times in sorted(chosen.items(), key=lambda x: (-sum(x[0]), x[0])):
-            open_runs: list[Run] = [((), times)]
-            for u in config:
-                filled: list[Run] = []
-                for lengths, count in open_runs:
-                    while count:
-                        length, n = draw(u, count)
-                        filled.append(((*lengths, length), n))
-                        count -= n
-                open_runs = filled
-            for lengths, count in open_runs:
-                gaps.add(lengths, count)
-    for left in exact.values():
-        for length, count in left:
-            rest[length] = rest.get(length, 0) + count
-    for length in sorted(rest, reverse=True):
-        gaps.put(length, rest[length])
-    return gaps.runs()
+        chosen += sorted(found.items(), key=lambda x: (-sum(x[0]), x[0]))
+    plans = [
+        _filled([x for x in chosen if sum(x[0]) >= least * units], exact, rest, capacity) for least in LEAST_FILLS
+    ]
+    return min(plans, key=lambda runs: sum(n for _, n in runs))
 
 
 def places(runs: list[Run]) -> np.ndarray:
