@@ -3,13 +3,15 @@
 Every document gets a few integer measures. Each (language, source) group keeps a
 mergeable sketch of each measure: counts over log-linear buckets, so merging is
 adding, and the same rows give the same sketch in any order and after any lost
-task. Quartiles of the sketch give an upper fence per group; a group with too few
-rows uses the merged sketch of its language, and a small language the merged
-sketch of everything. Documents then join their group's fences.
+task. Sketches count the documents that pass the base rule. Two quantiles of a
+sketch give an upper fence: the high one plus a multiple of the range between them.
+What a group says is shrunk towards what its language says, and that towards
+everything, by numbers of rows. Documents then join their group's fences.
 
 Defined cases: a null text has no words and fails the base rule; a null language
 or source is a group of its own; repeated rows are measured and kept or dropped
-alike; an empty table gives an empty table; other columns pass through untouched.
+alike; a group whose rows all fail the base rule has no fences and keeps nothing; an
+empty table gives an empty table; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -28,26 +30,32 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class Fence:
-    """Upper fence of one measure: third quartile + reach * max(quartile range, least_range).
+    """Upper fence of one measure: high quantile + reach / 10 * range down to the low quantile.
 
-    ``least_range`` keeps a group whose documents all agree from calling the
-    smallest deviation an outlier.
+    Quantiles are in per cent. A range counts as ``LEAST_RANGE`` at least. For a ``tail``
+    a group's range of 0 says nothing, and its language's takes its place.
     """
 
     measure: str
-    least_range: int
-    reach: int = 3
+    low: int
+    high: int
+    reach: int
+    tail: bool = False
 
 
-# Measures are per thousand characters, words or lines.
+# Measures are per thousand characters, words or lines. Repeats are absent from most
+# documents, so their range is that of the upper tail.
 FENCES = (
-    Fence("symbol_rate", 12),
-    Fence("upper_rate", 40),
-    Fence("mark_rate", 40),
-    Fence("repeat_rate", 70),
-    Fence("dup_line_rate", 200),
+    Fence("symbol_rate", 25, 75, 60),
+    Fence("upper_rate", 25, 75, 250),
+    Fence("mark_rate", 25, 75, 120),
+    Fence("repeat_rate", 75, 99, 10, tail=True),
+    Fence("dup_line_rate", 75, 99, 15, tail=True),
 )
-MIN_ROWS = 200
+# Two buckets of a sketch.
+LEAST_RANGE = 2
+# A group with so many rows weighs as much as its parent.
+PRIOR_ROWS = 100
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 # Buckets hold a value's leading bits: exact below 64, within 1/32 above.
@@ -162,7 +170,11 @@ def sketches(measured: DataFrame) -> DataFrame:
     )
 
 
-def fences(sketch: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+def _per_measure(part: str) -> str:
+    return "CASE measure " + " ".join(f"WHEN '{f.measure}' THEN {getattr(f, part)}" for f in FENCES) + " END"
+
+
+def fences(sketch: DataFrame, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """One row per (lang_key, source_key) with a fence column per measure."""
     group = ["level", "lang_key", "source_key", "measure"]
     running = Window.partitionBy(*group).orderBy("bucket")
@@ -171,39 +183,43 @@ def fences(sketch: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
         "total", F.sum("n").over(whole)
     )
     limits = ranked.groupBy(*group).agg(
-        F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("bucket"))).alias("q25"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("bucket"))).alias("q75"),
+        F.min(F.expr(f"CASE WHEN 100 * upto >= ({_per_measure('low')}) * total THEN bucket END")).alias("low"),
+        F.min(F.expr(f"CASE WHEN 100 * upto >= ({_per_measure('high')}) * total THEN bucket END")).alias("high"),
         F.max("total").alias("rows"),
     )
-
-    def fence(f: Fence) -> Column:
-        spread = F.greatest(F.col("q75") - F.col("q25"), F.lit(f.least_range))
-        return F.max(F.when(F.col("measure") == f.measure, F.col("q75") + f.reach * spread))
-
     names = [f.measure for f in FENCES]
-    wide = limits.groupBy("level", "lang_key", "source_key").agg(
-        F.max("rows").alias("rows"), *[fence(f).alias(f.measure) for f in FENCES]
-    )
+    said = [
+        F.max(F.when(F.col("measure") == n, F.struct("high", (F.col("high") - F.col("low")).alias("range")))).alias(n)
+        for n in names
+    ]
+    wide = limits.groupBy("level", "lang_key", "source_key").agg(F.max("rows").alias("rows"), *said)
     own = wide.where("level = 0").select(
         "lang_key", "source_key", F.struct("rows", *names).alias("own"), (F.col("level") + 2).alias("top")
     )
-    lang = wide.where("level = 1").select(
-        "lang_key", F.struct("rows", *names).alias("by_lang")
-    )
-    everything = wide.where("level = 2").select(
-        F.col("level").alias("top"), F.struct("rows", *names).alias("over_all")
-    )
-    chosen = (
-        F.when(F.col("own.rows") >= min_rows, F.col("own"))
-        .when(F.col("by_lang.rows") >= min_rows, F.col("by_lang"))
-        .otherwise(F.col("over_all"))
-    )
+    lang = wide.where("level = 1").select("lang_key", F.struct("rows", *names).alias("by_lang"))
+    everything = wide.where("level = 2").select(F.col("level").alias("top"), F.struct("rows", *names).alias("over_all"))
+
+    def shrunk(f: Fence, part: str) -> str:
+        top = f"over_all.{f.measure}.{part}"
+        for at in ("by_lang", "own"):
+            own = f"{at}.{f.measure}.{part}"
+            mixed = f"(({at}.rows * {own} + {prior_rows} * {top}) div ({at}.rows + {prior_rows}))"
+            top = f"(CASE WHEN {own} = 0 THEN {top} ELSE {mixed} END)" if f.tail and part == "range" else mixed
+        return top
+
     return (
         own.join(lang, "lang_key")
         .join(everything, "top")
-        .withColumn("chosen", chosen)
-        .select("lang_key", "source_key", *[F.col(f"chosen.{n}").alias(f"max_{n}") for n in names])
-    )
+        .select(
+            "lang_key", "source_key",
+            *[
+                F.expr(
+                    f"{shrunk(f, 'high')} + {f.reach} * greatest({shrunk(f, 'range')}, {LEAST_RANGE}) div 10"
+                ).alias(f"max_{f.measure}")
+                for f in FENCES
+            ],
+        )
+    )
 
 
 def _key(c: Column) -> Column:
@@ -215,7 +231,7 @@ def judge(
     text: str = "text",
     lang: str = "lang",
     source: str = "source",
-    min_rows: int = MIN_ROWS,
+    prior_rows: int = PRIOR_ROWS,
     keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Every row as ``row`` (its columns ``keep``, all by default), its measures, its group's fences, ``base_failed`` and ``kept``."""
@@ -227,7 +243,7 @@ def judge(
             "body",
         ).drop("body")
     )
-    limits = fences(sketches(measured), min_rows)
+    limits = fences(sketches(measured.where("not base_failed")), prior_rows)
     fine = ~F.col("base_failed")
     for f in FENCES:
         fine = fine & (F.col(f.measure) <= F.col(f"max_{f.measure}"))
@@ -241,22 +257,30 @@ def keep_good(docs: DataFrame, **names: str) -> DataFrame:
     return judge(docs, **names).where("kept").select("row.*")
 
 
-def oracle(documents: str = "documents", min_rows: int = MIN_ROWS) -> str:
+def oracle(documents: str = "documents", prior_rows: int = PRIOR_ROWS) -> str:
     """The same verdicts in DuckDB SQL, as CTEs ending in ``judged``."""
     ws = r"[\x20\x09-\x0D]"
     names = [f.measure for f in FENCES]
     drop = "greatest(length(bin(v)) - %d, 0)" % SKETCH_BITS
     pairs = " UNION ALL ".join(
-        f"SELECT lk, sk, '{n}' AS measure, {n} AS v FROM measured" for n in names
+        f"SELECT lk, sk, '{n}' AS measure, {n} AS v FROM measured WHERE NOT base_failed" for n in names
     )
-    spread = "CASE measure " + " ".join(
-        f"WHEN '{f.measure}' THEN q75 + {f.reach} * greatest(q75 - q25, {f.least_range})" for f in FENCES
-    ) + " END"
-    wide = ", ".join(f"max(CASE WHEN measure = '{n}' THEN fence END) AS {n}" for n in names)
-    pick = ", ".join(
-        f"CASE WHEN o.rows >= {min_rows} THEN o.{n} WHEN l.rows >= {min_rows} THEN l.{n} ELSE a.{n} END AS max_{n}"
+    low, high = _per_measure("low"), _per_measure("high")
+    wide = ", ".join(
+        f"max(CASE WHEN measure = '{n}' THEN high END) AS h_{n}, max(CASE WHEN measure = '{n}' THEN high - low END) AS r_{n}"
         for n in names
     )
+
+    def said(f: Fence) -> str:
+        n = f.measure
+        high, spread = f"a.h_{n}", f"a.r_{n}"
+        for t in "lo":
+            high = f"((({t}.rows * {t}.h_{n}) + {prior_rows} * {high}) // ({t}.rows + {prior_rows}))"
+            mixed = f"((({t}.rows * {t}.r_{n}) + {prior_rows} * {spread}) // ({t}.rows + {prior_rows}))"
+            spread = f"(CASE WHEN {t}.r_{n} = 0 THEN {spread} ELSE {mixed} END)" if f.tail else mixed
+        return f"{high} + {f.reach} * greatest({spread}, {LEAST_RANGE}) // 10 AS max_{n}"
+
+    pick = ", ".join(map(said, FENCES))
     fine = " AND ".join(f"m.{n} <= f.max_{n}" for n in names)
     return rf"""
     WITH base AS (
@@ -295,11 +319,10 @@ def oracle(documents: str = "documents", min_rows: int = MIN_ROWS) -> str:
     ), sketch AS (SELECT level, lk, sk, measure, bucket, count(*) AS n FROM leveled GROUP BY ALL),
     upto AS (SELECT *, sum(n) OVER (PARTITION BY level, lk, sk, measure ORDER BY bucket) AS u,
         sum(n) OVER (PARTITION BY level, lk, sk, measure) AS total FROM sketch),
-    quart AS (SELECT level, lk, sk, measure, min(CASE WHEN 4 * u >= total THEN bucket END) AS q25,
-        min(CASE WHEN 4 * u >= 3 * total THEN bucket END) AS q75, max(total) AS rows FROM upto GROUP BY ALL),
-    fence AS (SELECT level, lk, sk, measure, rows, {spread} AS fence FROM quart),
-    wide AS (SELECT level, lk, sk, max(rows) AS rows, {wide} FROM fence GROUP BY ALL),
+    quant AS (SELECT level, lk, sk, measure, min(CASE WHEN 100 * u >= ({low}) * total THEN bucket END) AS low,
+        min(CASE WHEN 100 * u >= ({high}) * total THEN bucket END) AS high, max(total) AS rows FROM upto GROUP BY ALL),
+    wide AS (SELECT level, lk, sk, max(rows) AS rows, {wide} FROM quant GROUP BY ALL),
     limits AS (SELECT o.lk, o.sk, {pick} FROM wide o JOIN wide l ON l.level = 1 AND l.lk = o.lk
         JOIN wide a ON a.level = 2 WHERE o.level = 0),
-    judged AS (SELECT m.*, (NOT m.base_failed AND {fine}) AS kept FROM measured m JOIN limits f ON m.lk = f.lk AND m.sk = f.sk)
+    judged AS (SELECT m.*, coalesce(NOT m.base_failed AND {fine}, false) AS kept FROM measured m LEFT JOIN limits f ON m.lk = f.lk AND m.sk = f.sk)
     """

@@ -89,6 +89,36 @@ def test_quality_fences_follow_their_group(spark):
     assert set(range(0, 600, 2)) <= kept and 1 not in kept and set(range(3, 600, 2)) <= kept
 
 
+def test_each_fence_rejects_by_itself(spark):
+    """Per measure a document that passes the base rule and all other fences."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    line = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    rows = []
+    for i in range(500):
+        lines = [line(20) for _ in range(10)]
+        if i % 40 == 0:
+            lines[3] = lines[2][:-1].rsplit(" ", 12)[0] + "."
+        rows.append("\n".join(lines))
+    clean = "\n".join(line(20) for _ in range(10))
+    phrase = " ".join(word() for _ in range(19))
+    planted = {
+        "symbol_rate": clean.replace(" ", " # ", 20).replace("#", "|"),
+        "upper_rate": clean.title(),
+        "mark_rate": clean.replace(" ", "- "),
+        "repeat_rate": "\n".join([*[line(20) for _ in range(8)], f"{word()} {phrase}.", f"{word()} {phrase}."]),
+        "dup_line_rate": "\n".join(x for _ in range(20) for x in (line(12), "Menu here.")),
+    }
+    docs = [(i, t) for i, t in enumerate(rows)] + [(1000 + k, planted[f.measure]) for k, f in enumerate(quality_rules.FENCES)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    out = {r["row"]["doc_id"]: r for r in quality_rules.judge(df).collect()}
+    for k, f in enumerate(quality_rules.FENCES):
+        r = out[1000 + k]
+        over = {g.measure for g in quality_rules.FENCES if r[g.measure] > r[f"max_{g.measure}"]}
+        assert not r["base_failed"] and over == {f.measure} and not r["kept"], (f.measure, over, r)
+    assert sum(out[i]["kept"] for i in range(500)) >= 480
+
+
 def test_merkle_edges(edge, none):
     got = merkle.half_edited(edge)
     assert got.count() == len(edge_rows())
