@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from assayframe.llm import (
     bpe,
+    centroids,
     classifier,
+    filter_audit,
     kdshards,
+    langid,
     merkle,
     neardup,
     packing,
@@ -143,6 +146,25 @@ def op8_url_list_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(centroids.oracle())
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))[0]
+
+
+@query(filter_audit.oracle())
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs)
+    return langid.with_language(docs, model, keep=["doc_id"]).select(
+        "row.doc_id", langid.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
