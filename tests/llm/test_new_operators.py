@@ -159,7 +159,7 @@ def brute_grams(text):
     letters = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower())
     padded = f" {' '.join(letters.split())} "
     return {padded[k : k + n] for n in (1, 2, 3) for k in range(len(padded) - n + 1)} - {" "} - {
-        padded[k : k + 3] for k in range(len(padded)) if padded[k + 1 : k + 2] == " "
+        padded[k : k + 3] for k in range(len(padded) - 2) if padded[k + 1] == " "
     }
 
 
