@@ -13,7 +13,9 @@ from assayframe.catalog.registry import query, sql_seed
 from assayframe.functions.scoring import best_affinity
 from assayframe.functions.seeds import stable_seed
 from assayframe.operators import batchmap
+from assayframe.sources.journal_tail import tail_journal, tail_lines
 from assayframe.streaming import journal_stream as J
+from assayframe.streaming import online
 
 
 class PriceScorer:
@@ -188,3 +190,82 @@ def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of a stream, each once however often it was delivered."""
     rows = _event_stream(spark, sf_dir).select("run_id", "ligand_id", "timestamp")
     return J.drain_to_table(J.without_redelivery(rows), "append", "unique").drop("batch")
+
+
+TAIL_RECORDS = 10_000
+RUNS = 40
+
+
+def _event_journal(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The events in order as files of JSON lines, and a place for the reader's position."""
+    folder = J.scratch_folder(spark, "tail")
+    failed = F.col("event_type") == "error"
+    (
+        S.table(spark, sf_dir, "events")
+        .repartitionByRange(EVENT_FILES, "event_id")
+        .sortWithinPartitions("event_id")
+        .select(
+            F.to_json(
+                F.struct(
+                    (F.col("user_id") % RUNS).cast("string").alias("run_id"),
+                    F.col("event_id").cast("string").alias("ligand_id"),
+                    F.when(failed, "failed").when(F.col("event_type") == "view", "skipped").otherwise("ok").alias("status"),
+                    F.when(failed, "setup").alias("error_kind"),
+                    F.when(F.col("event_type") == "purchase", "finished").when(failed, "failed")
+                    .when(F.col("event_type") == "signup", "cancelled").otherwise("running").alias("state"),
+                )
+            ).alias("value")
+        )
+        .write.text(f"{folder}/journal")
+    )
+    return f"{folder}/journal", f"{folder}/position"
+
+
+# The batch of an event: the source gives so many records at a time, in order.
+_EVENT_BATCH = f"(row_number() OVER (ORDER BY event_id) - 1) // {TAIL_RECORDS}"
+
+
+@query(f"""
+WITH e AS (SELECT *, {_EVENT_BATCH} AS batch FROM events)
+SELECT batch, CAST(user_id % {RUNS} AS VARCHAR) AS run_id, count(*) FILTER (event_type NOT IN ('error', 'view')) AS completed,
+       count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'view') AS skipped
+FROM e GROUP BY ALL
+""")
+def journal_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A growing journal read by bytes, so many records a batch: what each batch brought per run."""
+    path, position = _event_journal(spark, sf_dir)
+    records = tail_journal(spark, path, position, TAIL_RECORDS).select("run_id", "status")
+    return online.drain_table(records, J.scratch_folder(spark, "tailed")).groupBy("batch", "run_id").agg(
+        F.count_if(F.col("status") == "ok").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"),
+        F.count_if(F.col("status") == "skipped").alias("skipped"),
+    )
+
+
+@query(f"""
+WITH e AS (SELECT user_id % {RUNS} AS run, event_id, event_type = 'error' AS hit, {_EVENT_BATCH} AS batch FROM events),
+marked AS (SELECT *, count(*) FILTER (NOT hit) OVER (PARTITION BY run ORDER BY event_id) AS island FROM e),
+streaks AS (SELECT *, row_number() OVER (PARTITION BY run, island ORDER BY event_id) AS streak FROM marked WHERE hit)
+SELECT CAST(run AS VARCHAR) AS run_id, event_id AS ordinal, 'stop' AS event, '5' AS detail, batch FROM streaks WHERE streak = 5
+""")
+def online_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The breaker's rows, each from the micro-batch in which five set-ups in a row had failed."""
+    path, position = _event_journal(spark, sf_dir)
+    records = tail_journal(spark, path, position, TAIL_RECORDS).withColumn("ordinal", F.col("ligand_id").cast("bigint"))
+    return online.drain_table(online.stops(records), J.scratch_folder(spark, "breaker"))
+
+
+@query(f"""
+WITH e AS (SELECT user_id % {RUNS} AS run, event_id, {_EVENT_BATCH} AS batch,
+  CASE event_type WHEN 'purchase' THEN 'finished' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'cancelled' ELSE 'running' END AS state FROM events),
+moved AS (SELECT *, lag(state) OVER (PARTITION BY run ORDER BY event_id) AS previous FROM e)
+SELECT CAST(run AS VARCHAR) AS run_id, event_id AS ordinal, 'entered' AS event, state AS detail, batch FROM moved
+WHERE state <> 'running' AND state IS DISTINCT FROM previous
+""")
+def online_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each entry into a terminal state, from the micro-batch in which it happened."""
+    path, position = _event_journal(spark, sf_dir)
+    record = F.from_json("line", "run_id string, ligand_id string, state string")
+    states = tail_lines(spark, path, position, TAIL_RECORDS).select(record.alias("r")).select(
+        "r.run_id", F.col("r.ligand_id").cast("bigint").alias("ordinal"), "r.state"
+    )
+    return online.drain_table(online.entries(states), J.scratch_folder(spark, "entries"))
