@@ -63,7 +63,7 @@ SLICE_CHARS = 1 << 20
 TOKENS_AT_ONCE = 1 << 18
 BYTES_AT_ONCE = 4 << 20
 # A portion of documents ends at so many bytes or rows; its row numbers are 16 bits.
-PORTION_BYTES = 24 << 20
+PORTION_BYTES = 12 << 20
 PORTION_ROWS = 1 << 16
 # The names of so much text go to one range.
 RANGE_BYTES = 16 << 20
@@ -290,6 +290,16 @@ def _contexts(which: np.ndarray, kind: np.ndarray, owner: np.ndarray, index: np.
     return total
 
 
+def _counted(names: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs of name and document, as one number each, and how often they occur."""
+    pair = names.astype(np.int64)
+    pair <<= 16
+    pair |= owner
+    pair.sort()
+    cuts = _runs(pair)
+    return pair[cuts], np.diff(np.append(cuts, len(pair)))
+
+
 def _by_size(size: np.ndarray) -> np.ndarray:
     """The turn of every name when those of most documents come first."""
     turn = np.empty(len(size), np.int64)
@@ -305,15 +315,19 @@ def _told(ranges: int, learn: bool) -> Callable[[Iterator[pa.RecordBatch]], Iter
         form, shape, owner = (np.concatenate(part) for part in zip(*tokens))
         tokens.clear()
         forms, which = np.unique(form, return_inverse=True)
+        which = which.astype(np.int32)
         used, kind = np.unique(shape, return_inverse=True)
+        del form, shape
         names = np.concatenate((forms, shape_names(used)))
         order = np.argsort(names, kind="stable")
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
         names, which, kind = names[order], rank[which], rank[len(forms) + kind]
         sums = _contexts(which, kind, owner, index_vectors(names)) if learn else None
-        pairs = [np.unique(x.astype(np.int64) << 16 | owner, return_counts=True) for x in (which, kind)]
-        pair, n = (np.concatenate(part) for part in zip(*pairs))
+        pair, n = _counted(which, owner)
+        del which
+        pair, n = (np.concatenate(part) for part in zip((pair, n), _counted(kind, owner)))
+        del kind, owner
         size = np.bincount(pair >> 16, minlength=len(names))
         # Names of alike numbers of documents stand together, which packs best.
         by = np.argsort(_by_size(size)[pair >> 16] << 16 | pair & 0xFFFF)
