@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.operators.ordering import SLICE_ROWS, with_key_rank
+from assayframe.operators.ordering import with_key_rank
 
 
 def with_unique_ids(
     records: DataFrame,
     compound: str = "compound_id",
     ordinal: str = "ordinal",
-    slice_rows: int = SLICE_ROWS,
+    partitions: int | None = None,
     on_collision: str = "keep",
 ) -> DataFrame:
     """Append ``ligand_id``: the nth occurrence (n > 1) of a compound gets ``_n``.
@@ -21,7 +21,7 @@ def with_unique_ids(
     leaves both as they are; ``extend`` renames the generated one to end in its
     own position in the library. :func:`id_collisions` reports what is left.
     """
-    ranked = with_key_rank(records, [compound], ordinal, "_n", slice_rows)
+    ranked = with_key_rank(records, [compound], ordinal, "_n", partitions)
     suffixed = F.concat(compound, F.lit("_"), F.col("_n").cast("string"))
     out = ranked.withColumn(
         "ligand_id", F.when(F.col("_n") > 1, suffixed).otherwise(F.col(compound))

@@ -2,8 +2,8 @@
 
 A plain ``row_number() over (order by ...)`` is one task, and a window
 partitioned by a key is one task per key, however large. The operators here cut
-the order into slices, count inside each slice, and carry the small per-slice
-totals forward.
+the order into range partitions, count inside each, and carry one small total per
+partition forward.
 """
 
 from __future__ import annotations
@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 
 from assayframe.session import materialize
 
-# Rows of one key handled by one task at most. Ordinals are unique, so a slice
-# of the ordinal range holds no more rows than its width.
-SLICE_ROWS = 1 << 20
-
 _POSITION_BITS = 33
 _POSITION_MASK = (1 << _POSITION_BITS) - 1
 
@@ -82,35 +78,67 @@ def with_running_total(
     )
 
 
+def _segments(df: DataFrame, keys: Sequence[str], ordinal: str, partitions: int | None) -> DataFrame:
+    """Rows cut into range partitions of (keys, ordinal), with ``_part`` and ``_at`` (their place).
+
+    The rows of a key in one partition are a segment. Only a key that fills whole
+    partitions has more than two, and a partition shares at most its first and its
+    last key with others. Materialized, since segments and carries must see one layout.
+    """
+    order = [*keys, ordinal]
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    return materialize(
+        ranged.sortWithinPartitions(*order)
+        .withColumn("_at", F.monotonically_increasing_id())
+        .withColumn("_part", F.shiftright("_at", _POSITION_BITS))
+    )
+
+
+def _in_segment(keys: Sequence[str]) -> Window:
+    return Window.partitionBy("_part", *keys).orderBy("_at")
+
+
+def _border_totals(placed: DataFrame, keys: Sequence[str], *totals: Column) -> DataFrame:
+    """Totals of the segments that may go on in another partition: at most two a partition."""
+    key = F.struct(*keys)
+    ends = placed.groupBy("_part").agg(
+        F.min_by(key, "_at").alias("_first"), F.max_by(key, "_at").alias("_last")
+    )
+    border = placed.join(F.broadcast(ends), "_part").where((key == F.col("_first")) | (key == F.col("_last")))
+    return border.groupBy("_part", *keys).agg(*totals)
+
+
+def _with_carried(placed: DataFrame, keys: Sequence[str], carried: DataFrame) -> DataFrame:
+    """Give every segment what the segments of its key before it left; one row per partition at most."""
+    return placed.join(F.broadcast(carried), ["_part", *keys], "left")
+
+
+def _earlier(keys: Sequence[str]) -> Window:
+    return Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def with_key_rank(
     df: DataFrame,
     keys: Sequence[str],
     ordinal: str,
     rank_col: str,
-    slice_rows: int = SLICE_ROWS,
+    partitions: int | None = None,
 ) -> DataFrame:
     """``row_number() over (partition by keys order by ordinal)``, safe for hot keys.
 
-    ``ordinal`` is a unique non-negative integer. Keys must not be null.
+    ``ordinal`` is a unique integer, dense or sparse. Keys must not be null.
+    ``partitions`` is the number of range partitions (Spark's own by default).
     """
-    sliced = df.withColumn("_slice", F.floor(F.col(ordinal) / slice_rows))
-    group = [*keys, "_slice"]
-    local = sliced.withColumn(
-        "_local", F.row_number().over(Window.partitionBy(*group).orderBy(ordinal))
-    )
-    totals = sliced.groupBy(*group).agg(F.count("*").alias("_n"))
-    earlier = (
-        Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = totals.select(*group, F.sum("_n").over(earlier).alias("_before")).where(
+    placed = _segments(df, keys, ordinal, partitions)
+    totals = _border_totals(placed, keys, F.count("*").alias("_n"))
+    carried = totals.select("_part", *keys, F.sum("_n").over(_earlier(keys)).alias("_before")).where(
         "_before is not null"
     )
+    local = placed.withColumn("_local", F.row_number().over(_in_segment(keys)))
     return (
-        local.join(carried, group, "left")
-        .withColumn(
-            rank_col, (F.coalesce("_before", F.lit(0)) + F.col("_local")).cast("bigint")
-        )
-        .drop("_slice", "_local", "_before")
+        _with_carried(local, keys, carried)
+        .withColumn(rank_col, (F.coalesce("_before", F.lit(0)) + F.col("_local")).cast("bigint"))
+        .select(*df.columns, rank_col)
     )
 
 
@@ -120,38 +148,35 @@ def with_streak(
     ordinal: str,
     hit: Column,
     streak_col: str = "streak",
-    slice_rows: int = SLICE_ROWS,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Length of the unbroken run of ``hit`` rows ending at each row, per key.
 
-    Zero on rows that break the run. Slices carry how many trailing hits the
-    slices before them ended with.
+    Zero on rows that break the run. A segment is given how many trailing hits the
+    segments of its key before it ended with.
     """
-    group = [*keys, "_slice"]
-    ordered = Window.partitionBy(*group).orderBy(ordinal)
-    local = (
-        df.withColumn("_hit", F.coalesce(hit, F.lit(False)))
-        .withColumn("_slice", F.floor(F.col(ordinal) / slice_rows))
-        .withColumn("_pos", F.row_number().over(ordered))
-        .withColumn("_reset", F.max(F.when(~F.col("_hit"), F.col("_pos"))).over(ordered))
-    )
-    totals = local.groupBy(*group).agg(
-        F.max("_pos").cast("bigint").alias("_n"), F.max("_reset").alias("_last")
-    )
-    per_key = Window.partitionBy(*keys).orderBy("_slice")
-    earlier = per_key.rowsBetween(Window.unboundedPreceding, -1)
-    placed = totals.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    last_reset = F.max(F.col("_start") + F.col("_last")).over(earlier)
-    carried = placed.select(
-        *group, (F.col("_start") - F.coalesce(last_reset, F.lit(0))).alias("_carry")
+    placed = _segments(df.withColumn("_hit", F.coalesce(hit, F.lit(False))), keys, ordinal, partitions)
+    # Places are dense inside a segment, so differences of places count rows.
+    totals = _border_totals(
+        placed, keys, F.count("*").alias("_n"), F.max("_at").alias("_end"), F.max(F.when(~F.col("_hit"), F.col("_at"))).alias("_miss")
+    )
+    earlier = _earlier(keys)
+    counted = totals.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    reset = F.max(F.col("_start") + F.col("_n") - (F.col("_end") - F.col("_miss"))).over(earlier)
+    carried = counted.select(
+        "_part", *keys, (F.col("_start") - F.coalesce(reset, F.lit(0))).alias("_carry")
     ).where("_carry > 0")
+    ordered = _in_segment(keys)
+    local = placed.withColumn("_pos", F.row_number().over(ordered)).withColumn(
+        "_reset", F.max(F.when(~F.col("_hit"), F.col("_pos"))).over(ordered)
+    )
     since = F.when(F.col("_reset").isNotNull(), F.col("_pos") - F.col("_reset")).otherwise(
         F.col("_pos") + F.coalesce("_carry", F.lit(0))
     )
     return (
-        local.join(carried, group, "left")
+        _with_carried(local, keys, carried)
         .withColumn(streak_col, F.when(F.col("_hit"), since).otherwise(F.lit(0)).cast("bigint"))
-        .drop("_hit", "_slice", "_pos", "_reset", "_carry")
+        .select(*df.columns, streak_col)
     )
 
 
@@ -161,26 +186,23 @@ def with_previous(
     ordinal: str,
     value: str,
     previous_col: str = "previous",
-    slice_rows: int = SLICE_ROWS,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Value of the row before each row, per key; null on a key's first row.
 
-    Values must not be null. The first row of a slice takes the last value of
-    the slice before it.
+    The first row of a segment takes the last value of the segment before it.
     """
-    group = [*keys, "_slice"]
-    sliced = df.withColumn("_slice", F.floor(F.col(ordinal) / slice_rows))
-    local = sliced.withColumn(
-        "_before", F.lag(value).over(Window.partitionBy(*group).orderBy(ordinal))
-    )
-    lasts = sliced.groupBy(*group).agg(F.max_by(value, ordinal).alias("_last"))
-    carried = lasts.select(
-        *group, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_carried")
+    placed = _segments(df, keys, ordinal, partitions)
+    totals = _border_totals(placed, keys, F.max_by(F.struct(value), "_at").alias("_end"))
+    carried = totals.select(
+        "_part", *keys, F.lag("_end").over(Window.partitionBy(*keys).orderBy("_part")).alias("_carried")
     ).where("_carried is not null")
+    ordered = _in_segment(keys)
+    local = placed.withColumn("_before", F.lag(value).over(ordered)).withColumn("_pos", F.row_number().over(ordered))
     return (
-        local.join(carried, group, "left")
-        .withColumn(previous_col, F.coalesce("_before", "_carried"))
-        .drop("_slice", "_before", "_carried")
+        _with_carried(local, keys, carried)
+        .withColumn(previous_col, F.when(F.col("_pos") == 1, F.col(f"_carried.{value}")).otherwise(F.col("_before")))
+        .select(*df.columns, previous_col)
     )
 
 

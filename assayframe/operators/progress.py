@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.functions import scoring
-from assayframe.operators.ordering import SLICE_ROWS, with_streak
+from assayframe.operators.ordering import with_streak
 
 SETUP_FAILURE_LIMIT = 5
 LEADING_SLICE = 500
@@ -90,12 +90,12 @@ def setup_streaks(
     journal: DataFrame,
     keys: Sequence[str],
     ordinal: str = "ordinal",
-    slice_rows: int = SLICE_ROWS,
+    partitions: int | None = None,
     failed: Column | None = None,
 ) -> DataFrame:
     """Length of the run of failed set-ups ending at each record."""
     hit = scoring.is_retryable(F.col("error_kind")) if failed is None else failed
-    return with_streak(journal, keys, ordinal, hit, "streak", slice_rows)
+    return with_streak(journal, keys, ordinal, hit, "streak", partitions)
 
 
 def stop_points(
@@ -103,10 +103,10 @@ def stop_points(
     keys: Sequence[str],
     ordinal: str = "ordinal",
     limit: int = SETUP_FAILURE_LIMIT,
-    slice_rows: int = SLICE_ROWS,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Records at which a run of failed set-ups reaches ``limit``."""
-    return setup_streaks(journal, keys, ordinal, slice_rows).where(F.col("streak") == limit)
+    return setup_streaks(journal, keys, ordinal, partitions).where(F.col("streak") == limit)
 
 
 def status_counts(journal: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:

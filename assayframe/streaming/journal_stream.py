@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from assayframe.functions import scoring
-from assayframe.operators.ordering import SLICE_ROWS, with_previous, with_streak
+from assayframe.operators.ordering import with_previous, with_streak
 from assayframe.operators.progress import SETUP_FAILURE_LIMIT, status_counts, with_progress
 from assayframe.session import ensure_checkpoint_dir
 from assayframe.sources.journal import parse_records
@@ -68,10 +68,10 @@ class _Watch:
 
     def __init__(
         self, spark: SparkSession, folder: str, key: str = "run_id", ordinal: str = "ordinal",
-        slice_rows: int = SLICE_ROWS,
+        partitions: int | None = None,
     ) -> None:
         self.spark, self.folder = spark, folder
-        self.key, self.ordinal, self.slice_rows = key, ordinal, slice_rows
+        self.key, self.ordinal, self.partitions = key, ordinal, partitions
 
     def narrow(self, batch: DataFrame) -> Column:
         """The one further column the operator needs."""
@@ -100,7 +100,7 @@ class _Watch:
 class StreakWatch(_Watch):
     """Online circuit breaker: records at which failed set-ups reach the limit.
 
-    Scored by the sliced batch operator, so a run holding most of the records
+    Scored by the segmented batch operator, so a run holding most of the records
     does not end up in one task.
     """
 
@@ -112,7 +112,7 @@ class StreakWatch(_Watch):
 
     def answer(self, log: DataFrame) -> DataFrame:
         streaks = with_streak(
-            log, [self.key], self.ordinal, F.col("hit"), "streak", self.slice_rows
+            log, [self.key], self.ordinal, F.col("hit"), "streak", self.partitions
         )
         return streaks.where(F.col("streak") == self.limit).select(self.key, self.ordinal, "streak")
 
@@ -130,7 +130,7 @@ class TransitionWatch(_Watch):
 
     def answer(self, log: DataFrame) -> DataFrame:
         moved = with_previous(
-            log, [self.key], self.ordinal, "state", "_previous", self.slice_rows
+            log, [self.key], self.ordinal, "state", "_previous", self.partitions
         )
         entered = F.col("state").isin(*TERMINAL_STATES) & ~F.col("state").eqNullSafe(
             F.col("_previous")

@@ -24,31 +24,31 @@ def rows(spark, n=3000, seed=1, partitions=4):
     return spark.createDataFrame(data, schema).repartition(partitions)
 
 
-@pytest.mark.parametrize("width", [7, 100, 1 << 20])
-def test_key_rank_equals_a_plain_window(spark, width):
+@pytest.mark.parametrize("parts", [1, 9, 60])
+def test_key_rank_equals_a_plain_window(spark, parts):
     df = rows(spark)
     plain = F.row_number().over(Window.partitionBy("key").orderBy("ordinal"))
-    got = O.with_key_rank(df, ["key"], "ordinal", "n", width).withColumn("w", plain)
+    got = O.with_key_rank(df, ["key"], "ordinal", "n", parts).withColumn("w", plain)
     assert got.count() == 3000
     assert got.where("n <> w or n is null").count() == 0
 
 
-@pytest.mark.parametrize("width", [3, 50, 1 << 20])
-def test_streaks_equal_a_loop(spark, width):
+@pytest.mark.parametrize("parts", [1, 9, 60])
+def test_streaks_equal_a_loop(spark, parts):
     df = rows(spark)
     want, run = {}, {}
     for r in sorted(df.collect(), key=lambda r: r["ordinal"]):
         run[r["key"]] = run.get(r["key"], 0) + 1 if r["hit"] else 0
         want[r["ordinal"]] = run[r["key"]]
-    got = O.with_streak(df, ["key"], "ordinal", F.col("hit"), slice_rows=width)
+    got = O.with_streak(df, ["key"], "ordinal", F.col("hit"), partitions=parts)
     assert {r["ordinal"]: r["streak"] for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("width", [3, 50, 1 << 20])
-def test_previous_equals_lag(spark, width):
+@pytest.mark.parametrize("parts", [1, 9, 60])
+def test_previous_equals_lag(spark, parts):
     df = rows(spark)
     lag = F.lag("state").over(Window.partitionBy("key").orderBy("ordinal"))
-    got = O.with_previous(df, ["key"], "ordinal", "state", slice_rows=width).withColumn("w", lag)
+    got = O.with_previous(df, ["key"], "ordinal", "state", partitions=parts).withColumn("w", lag)
     assert got.where("not (previous <=> w)").count() == 0
     assert got.count() == 3000
 
@@ -105,3 +105,30 @@ def test_number_text(spark):
     df = spark.createDataFrame([(c,) for c in cases], "t string")
     got = {r[0]: (r[1], r[2]) for r in df.select("t", parse_int(F.col("t")), parse_float(F.col("t"))).collect()}
     assert got == cases
+
+
+def test_sparse_ordinals_of_a_hot_key_are_spread(spark):
+    # Every row of the hot key is 2^33 from the next; nine tenths of all rows are its own.
+    df = spark.range(20000).select(
+        F.when(F.col("id") % 10 > 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 70)).alias("key"),
+        (F.col("id") * (1 << 33)).alias("ordinal"),
+        (F.col("id") % 6007 > 0).alias("hit"),
+        F.when(F.col("id") % 5 > 0, F.col("id").cast("string")).alias("state"),
+    )
+    parts = 16
+    placed = O._segments(df, ["key"], "ordinal", parts)
+    totals = O._border_totals(placed, ["key"], F.count("*").alias("n"))
+    assert totals.count() <= 2 * parts
+    segments = placed.groupBy("_part", "key").count()
+    assert segments.agg(F.max("count")).first()[0] < 3 * 20000 / parts
+    assert segments.where("key = 'hot'").count() > parts / 2
+
+    per_key = Window.partitionBy("key").orderBy("ordinal")
+    rank = O.with_key_rank(df, ["key"], "ordinal", "n", parts)
+    assert rank.withColumn("w", F.row_number().over(per_key)).where("n <> w").isEmpty()
+    before = O.with_previous(df, ["key"], "ordinal", "state", partitions=parts)
+    assert before.withColumn("w", F.lag("state").over(per_key)).where("not (previous <=> w)").isEmpty()
+    streak = O.with_streak(df, ["key"], "ordinal", F.col("hit"), partitions=parts)
+    missed = F.coalesce(F.max(F.when(~F.col("hit"), F.col("_r"))).over(per_key), F.lit(0))
+    want = streak.withColumn("_r", F.row_number().over(per_key)).withColumn("w", F.col("_r") - missed)
+    assert want.where("streak <> w").isEmpty() and want.count() == 20000

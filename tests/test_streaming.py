@@ -55,7 +55,7 @@ def test_streaks_carry_over_micro_batches(spark, tmp_path):
     stream = S.stream_journal(spark, str(folder), max_files=1).withColumn(
         "ordinal", F.col("timestamp").cast("bigint")
     )
-    watch = S.StreakWatch(spark, str(tmp_path / "watch"), slice_rows=16)
+    watch = S.StreakWatch(spark, str(tmp_path / "watch"), partitions=16)
     watch.limit = 3
     S.catch_up(stream, watch, str(tmp_path / "ckpt"))
     want, run = set(), {}
@@ -95,7 +95,7 @@ def test_watches_do_not_depend_on_order(spark, tmp_path, seed):
         spark.readStream.schema("run_id string, ordinal bigint, error_kind string, state string")
         .option("maxFilesPerTrigger", 1 + seed % 2).json(str(tmp_path / "in"))
     )
-    stops, moves = S.StreakWatch(spark, str(tmp_path / "a"), slice_rows=8), S.TransitionWatch(spark, str(tmp_path / "b"), slice_rows=8)
+    stops, moves = S.StreakWatch(spark, str(tmp_path / "a"), partitions=8), S.TransitionWatch(spark, str(tmp_path / "b"), partitions=8)
     stops.limit = 2
     S.catch_up(stream, stops, str(tmp_path / "ca"))
     S.catch_up(stream, moves, str(tmp_path / "cb"))
