@@ -8,11 +8,17 @@ in hexadecimal; the root tells whether two texts are equal.
 
 A fingerprint is the root, then the codes (leading digits) of sections,
 paragraphs and leaves: enough to say how alike two texts are without the texts.
-Where they differ (``changes``) is found by going down from differing roots: sections
-that both have are paired, then paragraphs of the others, one to one.
+Where two texts differ is found by going down from differing roots. ``with_edit`` needs
+only the fingerprints: it passes equal sections at both ends, then equal paragraphs of the
+first and the last section that differ, and names the paragraphs between. ``changes`` needs
+the texts and tells every paragraph's fate: sections that both have are paired, then
+paragraphs of the others, one to one.
 
-Trees and fingerprints are built from column functions; the pairing is a Python function.
-A text is one row and never leaves it.
+Trees, fingerprints and ``with_edit`` are column functions; the pairing of ``changes`` is a
+Python function. A text is one row and never leaves it.
+
+Codes have 32 bits. Likeness compares sets of leaf codes: repeats count once, and of n
+leaves that differ some n / 2^32 meet an equal code.
 
 Defined cases: a null text is the empty text, which has one empty paragraph and no
 leaf; two texts without leaves are alike (1), one without is unlike (0); repeated
@@ -35,7 +41,7 @@ from assayframe.operators.ordering import with_global_rank
 LEAF = r"[^.!?]{0,120}[.!?]+|[^.!?]{1,120}"
 ROOT_DIGITS = 32
 NODE_DIGITS = 8
-LEAF_DIGITS = 6
+LEAF_DIGITS = 8
 
 
 def _sha(c: Column) -> Column:
@@ -107,6 +113,54 @@ def likeness(a: Column, b: Column) -> Column:
     )
 
 
+def _leading(a: Column, b: Column) -> Column:
+    """How many members two arrays have in common from the start."""
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+    at = F.array_position(same, False)
+    return F.when(at == 0, F.size(same)).otherwise(at - 1).cast("int")
+
+
+def _rest(nodes: Column, start: Column) -> Column:
+    return F.slice(nodes, start + 1, F.greatest(F.size(nodes) - start, F.lit(0)))
+
+
+def _head(nodes: Column, n: Column) -> Column:
+    return F.slice(nodes, F.lit(1), F.greatest(n, F.lit(0)))
+
+
+def with_edit(df: DataFrame, old: str, new: str) -> DataFrame:
+    """Append ``edited_from`` and ``edited_to``: the paragraphs of ``new`` (from 0, end excluded) that differ.
+
+    ``old`` and ``new`` name fingerprints. Paragraphs before and after that stretch are
+    those of ``old``, by their codes; an empty stretch is a place where ``old`` had more.
+    Both are null where the roots are equal.
+    """
+    parts = {"_os": (old, 1), "_ns": (new, 1), "_op": (old, 2), "_np": (new, 2)}
+    nodes = df.withColumns({name: F.split(F.split(fp, r"\|")[at], ",") for name, (fp, at) in parts.items()})
+    # Where each section that a paragraph closes ends.
+    ends = F.filter(F.transform("_op", lambda h, i: F.when(F.substring(h, 1, 1) < "4", i + 1)), lambda e: e.isNotNull())
+    alike = nodes.withColumns(
+        {"_ends": ends, "_ahead": _leading(F.col("_os"), F.col("_ns")), "_behind": _leading(F.reverse("_os"), F.reverse("_ns"))}
+    )
+
+    def end_of(sections: Column) -> Column:
+        inside = F.coalesce(F.get("_ends", sections - 1), F.size("_op"))
+        return F.when(sections <= 0, F.lit(0)).otherwise(inside)
+
+    down = alike.withColumns(
+        {"_skip": end_of(F.col("_ahead")), "_tail": F.size("_op") - end_of(F.size("_os") - F.col("_behind"))}
+    )
+    n_old, n_new, skip, tail = F.size("_op"), F.size("_np"), F.col("_skip"), F.col("_tail")
+    leading = skip + _leading(_rest(F.col("_op"), skip), _rest(F.col("_np"), skip))
+    trailing = tail + _leading(F.reverse(_head(F.col("_op"), n_old - tail)), F.reverse(_head(F.col("_np"), n_new - tail)))
+    differ = F.substring(old, 1, ROOT_DIGITS) != F.substring(new, 1, ROOT_DIGITS)
+    found = down.withColumns({"_lead": leading, "_trail": trailing})
+    kept = F.least(F.col("_trail"), F.least(n_old, n_new) - F.col("_lead"))
+    return found.withColumns(
+        {"edited_from": F.when(differ, F.col("_lead")), "edited_to": F.when(differ, n_new - kept)}
+    ).drop(*parts, "_ends", "_ahead", "_behind", "_skip", "_tail", "_lead", "_trail")
+
+
 def _ranges(paragraphs: list[str]) -> list[tuple[int, int]]:
     """First and end of every section."""
     ends = [i + 1 for i, h in enumerate(paragraphs) if h < "4"]
@@ -239,7 +293,8 @@ def half_edited(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """Fingerprint every document and its edited text: its last half replaced by the next one's start.
 
     Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next``, one row per row. Texts are shuffled once, to meet
+    near_edited, near_next, edited_from, edited_to``, one row per row; the last two are
+    the paragraphs of the edited text that differ (``with_edit``). Texts are shuffled once, to meet
     their place in the order; from there only the characters that the document
     before needs move on.
     """
@@ -272,7 +327,8 @@ def half_edited(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     ).withColumn(
         "edited", F.expr("concat(substring(body, 1, cast(n_chars - n_chars div 2 as int)), start)")
     )
-    return with_fingerprint(both, F.col("edited"), "edited_fingerprint").select(
+    printed = with_fingerprint(both, F.col("edited"), "edited_fingerprint")
+    return with_edit(printed, "fingerprint", "edited_fingerprint").select(
         "doc_id",
         "n_chars",
         _sha(F.col("edited")).alias("edited_sha256"),
@@ -280,6 +336,8 @@ def half_edited(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         "edited_fingerprint",
         likeness(F.col("fingerprint_leaves"), F.col("edited_fingerprint_leaves")).alias("near_edited"),
         likeness(F.col("fingerprint_leaves"), F.col("next_fp_leaves")).alias("near_next"),
+        "edited_from",
+        "edited_to",
     )
 
 
@@ -306,13 +364,25 @@ def oracle(documents: str = "documents") -> str:
             f" / {whole} END"
         )
 
+    def leading(a: str, b: str) -> str:
+        same = f"list_transform(list_zip({a}, {b}), lambda x: x[1] IS NOT DISTINCT FROM x[2])"
+        return f"(coalesce(nullif(list_position({same}, false), 0), len({same}) + 1) - 1)"
+
+    def codes(p: str) -> str:
+        return f"list_transform({p}, lambda x: x[1:{NODE_DIGITS}])"
+
     return f"""
     WITH base AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM {documents}),
     o_in AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nt FROM base),
     {tree('t', 'o')},
     e_in AS (SELECT *, coalesce(lead(oc) OVER (ORDER BY doc_id), first_value(oc) OVER (ORDER BY doc_id)) AS nc,
         left(t, n - n // 2) || left(nt, n // 2) AS edited FROM o_f),
-    {tree('edited', 'e')}
+    {tree('edited', 'e')},
+    d AS (SELECT *, {leading(codes('op'), codes('ep'))} AS ahead,
+        {leading(f"list_reverse({codes('op')})", f"list_reverse({codes('ep')})")} AS behind FROM e_f)
     SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, ofp AS fingerprint, efp AS edited_fingerprint,
-      CAST({near('oc', 'ec')} AS DOUBLE) AS near_edited, CAST({near('oc', 'nc')} AS DOUBLE) AS near_next FROM e_f
+      CAST({near('oc', 'ec')} AS DOUBLE) AS near_edited, CAST({near('oc', 'nc')} AS DOUBLE) AS near_next,
+      CASE WHEN left(ofp, {ROOT_DIGITS}) <> left(efp, {ROOT_DIGITS}) THEN CAST(ahead AS INTEGER) END AS edited_from,
+      CASE WHEN left(ofp, {ROOT_DIGITS}) <> left(efp, {ROOT_DIGITS})
+        THEN CAST(len(ep) - least(behind, least(len(op), len(ep)) - ahead) AS INTEGER) END AS edited_to FROM d
     """

@@ -138,6 +138,25 @@ def test_merkle_edits_are_found(spark):
     assert fp[0]["fp"] == fp[1]["fp"] != fp[2]["fp"]
 
 
+def test_merkle_edit_is_found_from_fingerprints(spark):
+    rng = random.Random(8)
+    rows = [("A\nB\nC", "A\nB\nC"), ("", "x"), ("A\nA", "A\nA\nA"), ("A\nB\nC", "A\nC"), ("A", "A\nB"), ("A\nB\nA\nB", "A\nB")]
+    for _ in range(300):
+        old = [rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(rng.randint(1, 40))]
+        new, i = list(old), rng.randrange(len(old))
+        new[i : i + rng.randint(0, 4)] = [rng.choice("abcxyz") for _ in range(rng.randint(0, 4))]
+        rows.append(("\n".join(old), "\n".join(new)))
+    df = spark.createDataFrame(rows, "old string, new string")
+    printed = merkle.with_fingerprint(merkle.with_fingerprint(df, F.col("old"), "a"), F.col("new"), "b")
+    for r in merkle.with_edit(printed, "a", "b").collect():
+        old, new = r["old"].split("\n"), r["new"].split("\n")
+        short = min(len(old), len(new))
+        ahead = next((i for i in range(short) if old[i] != new[i]), short)
+        behind = next((i for i in range(short - ahead) if old[-1 - i] != new[-1 - i]), short - ahead)
+        want = (None, None) if old == new else (ahead, len(new) - behind)
+        assert (r["edited_from"], r["edited_to"]) == want, (old, new)
+
+
 def test_merkle_changes_cover_both_sides(spark):
     pairs = [("A\nB\nC", "A\nC"), ("A\nB\nC", "C\nA\nB"), ("A\nB", "A\nB\nB"), ("A\nB\nA", "B\nA"), ("A", "A"), (None, "x")]
     df = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, old string, new string")
