@@ -16,6 +16,7 @@ from assayframe.schemas import (
     MANIFEST_SCHEMA,
     RESULT_COLUMNS,
 )
+from assayframe.sources.quoted_csv import read_quoted_csv
 
 _LISTS = {"pdbqt": ";", "warnings": "; "}
 
@@ -38,13 +39,10 @@ def read_manifest(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
     Columns go by the header's names: their order is free, further ones are
     ignored, missing ones are null. Quoted cells may hold commas, doubled quotes
-    and line ends; a backslash is a plain character. Files count in path order.
+    and line ends; a backslash is a plain character. Files count in path order and are
+    read in splits (:mod:`assayframe.sources.quoted_csv`).
     """
-    rows = spark.read.csv(
-        path if isinstance(path, str) else list(path),
-        header=True, multiLine=True, quote='"', escape='"', inferSchema=False, enforceSchema=False,
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    )
+    rows = read_quoted_csv(spark, path)
     typed = []
     for field in MANIFEST_SCHEMA.fields:
         known = field.name in rows.columns
@@ -54,11 +52,7 @@ def read_manifest(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
         elif not isinstance(field.dataType, T.StringType):
             cell = cell.try_cast(field.dataType)
         typed.append(cell.alias(field.name))
-    # A file with quoted line ends is read by one task, so its rows are numbered in order.
-    place = F.struct(
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")
-    )
-    return last_wins(rows.select(*typed, place.alias("ordinal")), "ligand_id", "ordinal").drop("ordinal")
+    return last_wins(rows.select(*typed, "place"), "ligand_id", "place").drop("place")
 
 
 def manifest_text(manifest: DataFrame) -> DataFrame:
