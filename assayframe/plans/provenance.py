@@ -1,9 +1,15 @@
-"""What produced a run: digests of its inputs and its settings."""
+"""What produced a run: digests of its inputs, its settings and the software."""
 
 from __future__ import annotations
 
 import json
+import platform
+import shutil
+import subprocess
+import sys
 import time
+from collections.abc import Sequence
+from importlib import metadata
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +24,51 @@ REPRODUCIBILITY_NOTE = (
     "seeds derive from the run seed and the ligand id; rows are scored one per task thread"
 )
 
+# Python packages whose version can change a result.
+PACKAGES = ("pyspark", "pyarrow", "pandas", "numpy")
+
+
+def environment(spark: SparkSession) -> dict[str, str]:
+    """The driver's machine and interpreter, Spark and its virtual machine."""
+    return {
+        "python": platform.python_version(),
+        "executable": sys.executable,
+        "platform": platform.platform(),
+        "machine": platform.machine(),
+        "hostname": platform.node(),
+        "spark": spark.version,
+        "java": spark.sparkContext._jvm.java.lang.System.getProperty("java.version"),
+    }
+
+
+def package_versions(names: Sequence[str] = PACKAGES) -> dict[str, str]:
+    """Installed version by package; ``not installed`` where there is none."""
+    installed = {name: list(metadata.distributions(name=name)) for name in names}
+    return {name: found[0].version if found else "not installed" for name, found in installed.items()}
+
+
+def engine_versions(programs: Sequence[str], wait_s: float = 10) -> dict[str, str]:
+    """First line that each program prints for ``--version``, cut to 80 characters.
+
+    ``unknown`` for one that prints nothing, ``not available`` for one that is missing,
+    cannot be run or does not answer in time.
+    """
+    told = {}
+    for program in programs:
+        told[program] = "not available"
+        found = shutil.which(program)
+        if not found:
+            continue
+        try:
+            answer = subprocess.run(
+                [found, "--version"], stdin=subprocess.DEVNULL, stdout=subprocess.PIPE, stderr=subprocess.STDOUT,
+                timeout=wait_s, text=True, errors="replace",
+            )
+        except (OSError, subprocess.TimeoutExpired):
+            continue
+        told[program] = (answer.stdout.strip().partition("\n")[0] or "unknown")[:80]
+    return told
+
 
 def provenance(
     spark: SparkSession,
@@ -26,8 +77,13 @@ def provenance(
     ligand_dir: str,
     config: dict[str, Any],
     manifest: str | None = None,
+    engines: Sequence[str] = (),
+    packages: Sequence[str] = PACKAGES,
 ) -> DataFrame:
-    """One row per run: input digests, configuration, reproducibility."""
+    """One row per run: input digests, configuration, software versions, reproducibility.
+
+    ``engines`` are programs asked for their version on the driver.
+    """
     asked = spark.range(1).select(F.lit(ligand_dir).alias("dir"))
     if path_exists(spark, ligand_dir):
         listing = read_listing(spark, ligand_dir, "*.pdbqt").withColumn("dir", F.lit(ligand_dir))
@@ -53,4 +109,10 @@ def provenance(
         "global_seed": config.get("seed"),
         "note": REPRODUCIBILITY_NOTE,
     }
-    return row.select("*", *[F.lit(v).alias(k) for k, v in facts.items()])
+    software = {
+        "environment": environment(spark),
+        "packages": package_versions(packages),
+        "engines": engine_versions(engines),
+    }
+    maps = [F.from_json(F.lit(json.dumps(v)), "map<string, string>").alias(k) for k, v in software.items()]
+    return row.select("*", *[F.lit(v).alias(k) for k, v in facts.items()], *maps)

@@ -20,6 +20,13 @@ def measured_values(journal: DataFrame) -> DataFrame:
     return scored.groupBy("ligand_id").agg(F.max_by("affinity", "ordinal").alias("affinity"))
 
 
+def affinity_listing(journal: DataFrame) -> DataFrame:
+    """Scored ligands, best first: ``ligand_id``, ``affinity`` and the ``line`` to show."""
+    values = measured_values(journal)
+    line = F.format_string("%-28s %+.2f kcal/mol", "ligand_id", "affinity")
+    return values.select("ligand_id", "affinity", line.alias("line")).orderBy("affinity", "ligand_id")
+
+
 def regression_check(
     journal: DataFrame, ranked: DataFrame, reference: DataFrame, n_expected: int
 ) -> DataFrame:

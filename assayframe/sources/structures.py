@@ -84,7 +84,7 @@ def scored_modes(pose_text: Column, tag: str = "VINA RESULT") -> Column:
 
 
 def read_prepared(spark: SparkSession, path: str, with_text: bool = True) -> DataFrame:
-    """Prepared ligands: file stem, path, size and (if wanted) text."""
+    """Prepared ligands by file name: file stem, path, size and (if wanted) text."""
     if with_text:
         files = spark.read.text(path, wholetext=True, pathGlobFilter="*.pdbqt").select(
             F.col("_metadata.file_name").alias("file_name"),
@@ -95,7 +95,7 @@ def read_prepared(spark: SparkSession, path: str, with_text: bool = True) -> Dat
     else:
         files = read_listing(spark, path, "*.pdbqt").select("file_name", "path", "bytes")
     stem = F.regexp_replace("file_name", r"\.pdbqt\z", "")
-    return files.withColumn("ligand_id", stem)
+    return files.withColumn("ligand_id", stem).orderBy("file_name", "path")
 
 
 def read_listing(spark: SparkSession, path: str | Sequence[str], pattern: str = "*") -> DataFrame:

@@ -178,6 +178,32 @@ def test_digests(spark, tmp_path):
     assert json.loads(row["config"])["seed"] == 42 and row["global_seed"] == 42
     gone = provenance.provenance(spark, "r", str(tmp_path / "d/b.pdbqt"), str(tmp_path / "gone"), CONFIG.to_dict()).first()
     assert gone["ligands"]["exists"] is False and row["ligands"]["exists"] is True
+    assert row["environment"]["spark"] == spark.version and row["environment"]["java"]
+    assert row["packages"]["pyspark"] == spark.version and row["engines"] == {}
+    assert [r["file_name"] for r in structures.read_prepared(spark, str(tmp_path / "d")).collect()] == ["a.pdbqt", "b.pdbqt"]
+
+
+def test_versions_of_packages_and_programs(tmp_path, monkeypatch):
+    for name, body in (("tells", "echo 'tells 1.2'; echo more"), ("errs", "echo 'errs 3' >&2; exit 1"), ("quiet", "true"), ("slow", "exec sleep 9")):
+        (tmp_path / name).write_text(f"#!/bin/sh\n{body}\n")
+        (tmp_path / name).chmod(0o755)
+    monkeypatch.setenv("PATH", str(tmp_path), prepend=":")
+    told = provenance.engine_versions(["tells", "errs", "quiet", "slow", "no-such-program"], wait_s=1)
+    missing = "not available"
+    assert told == {"tells": "tells 1.2", "errs": "errs 3", "quiet": "unknown", "slow": missing, "no-such-program": missing}
+    assert provenance.package_versions(["no-such-package"]) == {"no-such-package": "not installed"}
+
+
+def test_affinity_listing(spark):
+    modes = "array(named_struct('mode', 1, 'affinity', cast({} as double)))"
+    rows = [("B", 1, "-7.126"), ("A", 2, "-7.13"), ("C", 3, "0.5"), ("C", 4, "-1"), ("D", 5, "null")]
+    journal = spark.sql(" union all ".join(
+        f"select '{k}' as ligand_id, {n} as ordinal, {modes.format(a)} as modes" for k, n, a in rows
+    ))
+    got = [(r["ligand_id"], r["affinity"]) for r in regression.affinity_listing(journal).collect()]
+    assert got == [("A", -7.13), ("B", -7.13), ("C", -1.0)]
+    line = regression.affinity_listing(journal).collect()[2]["line"]
+    assert line == "C".ljust(28) + " -1.00 kcal/mol"
 
 
 def test_digest_depends_on_the_listing_alone(spark):
