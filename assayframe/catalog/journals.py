@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assayframe.catalog import standins as S
 from assayframe.catalog.registry import query
 from assayframe.operators import batchmap, digests, drift, progress
+from assayframe.plans import regression
 from assayframe.sources.journal import parse_records
 from assayframe.sources.manifest import last_wins
 
@@ -400,3 +401,14 @@ SELECT count(*) AS n_reference, count(*) FILTER (verdict = 'missing') AS n_missi
 def drift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The comparison in one row."""
     return drift.drift_summary(_drift(spark, sf_dir))
+
+
+@query("""
+WITH best AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS ligand_id, arg_max(CAST(-o_totalprice AS DOUBLE), o_orderkey) AS affinity
+  FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey)
+SELECT ligand_id, affinity, format('{:<28} {:+.2f} kcal/mol', ligand_id, affinity) AS line FROM best
+""")
+def affinity_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scored ligand's value as a run's check lists it, best first."""
+    return regression.affinity_listing(S.order_journal(spark, sf_dir))
