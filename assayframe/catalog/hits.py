@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayframe.catalog import standins as S
-from assayframe.catalog.registry import query, sql_round
+from assayframe.catalog.registry import ORACLES, query, sql_round
 from assayframe.functions import scoring
 from assayframe.functions.numeric import parse_int
 from assayframe.operators import hits
 from assayframe.operators.ordering import with_global_rank
+from assayframe.streaming import journal_stream as J
+from assayframe.streaming.report import ReportFold
 
 _COLLATED = """
 journal AS (
@@ -61,6 +63,21 @@ def hit_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.ranked_hits(S.order_journal(spark, sf_dir), S.customer_manifest(spark, sf_dir))
 
 
+FOLLOWED_FILES = 7
+
+
+@query(ORACLES["hit_list"])
+def hit_list_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same hit list from a journal that arrives shuffled, folded in file by file."""
+    folder = J.scratch_folder(spark, "followed")
+    journal = S.order_journal(spark, sf_dir)
+    journal.repartition(FOLLOWED_FILES, F.xxhash64("ordinal")).write.parquet(f"{folder}/journal")
+    stream = spark.readStream.schema(journal.schema).option("maxFilesPerTrigger", 1)
+    fold = ReportFold(spark, folder)
+    J.catch_up(stream.parquet(f"{folder}/journal"), fold, f"{folder}/checkpoint")
+    return fold.results(S.customer_manifest(spark, sf_dir))
+
+
 @query(f"""
 WITH {_COLLATED}
 SELECT row_number() OVER (ORDER BY best_affinity ASC NULLS LAST, ordinal) AS rank,

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayframe.catalog import standins as S
-from assayframe.catalog.registry import query, sql_seed
+from assayframe.catalog.registry import ORACLES, query, sql_seed
 from assayframe.functions.scoring import best_affinity
 from assayframe.functions.seeds import stable_seed
 from assayframe.operators import batchmap
 from assayframe.sources.journal_tail import tail_journal, tail_lines
 from assayframe.streaming import journal_stream as J
 from assayframe.streaming import online
+from assayframe.streaming.redelivery import RedeliveryGuard
 
 
 class PriceScorer:
@@ -192,6 +193,16 @@ def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.drain_to_table(J.without_redelivery(rows), "append", "unique").drop("batch")
 
 
+@query(ORACLES["stream_deduplicated"])
+def stream_first_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records, told apart by keys on disk and membership filters instead of state."""
+    folder = J.scratch_folder(spark, "first")
+    guard = RedeliveryGuard(spark, folder, recent=2)
+    rows = _event_stream(spark, sf_dir).select("run_id", "ligand_id", "timestamp")
+    J.catch_up(rows, guard, f"{folder}/checkpoint")
+    return guard.results()
+
+
 TAIL_RECORDS = 10_000
 RUNS = 40
 
