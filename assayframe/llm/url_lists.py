@@ -7,8 +7,10 @@ path segments. A capture looks up its host's suffixes and its path's prefixes; t
 most specific key in force decides.
 
 Intervals are cut at borders of fixed time buckets, so the join is an equality on
-(key, bucket) with one comparison left. A key with a long history, or a host with
-a third of all captures, spreads over its buckets; no task sorts a whole key.
+(key, bucket) with one comparison left. A key with a long history spreads over its
+buckets; no task sorts a whole key. Suffixes such as ``com`` are looked up by much of
+the corpus: look-ups are counted first, hot ones that the list lacks go no further,
+and the others are dealt over slices beside copies of their intervals.
 
 Defined cases: null and empty URLs and null times match nothing and get the
 verdict ``none``; entries with null key, time or action are ignored; entries of
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayframe.llm.common import materialize, packed_rows
+from assayframe.llm.common import HOT_SHARE, join_unique, materialize, packed_rows
 
 BUCKET_SECONDS = 30 * 86_400
 STRENGTH = {"remove": 0, "allow": 1, "block": 2}
@@ -80,6 +82,39 @@ def validity(entries: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFr
     )
 
 
+def hot_cells(looked: DataFrame, cells: DataFrame, share: int = HOT_SHARE) -> DataFrame:
+    """``key, bucket, slices`` of look-ups with more than one in ``share`` of all; 0 slices: not in the list.
+
+    There are fewer than ``share`` such rows, a bound that does not grow with the data.
+    """
+    counts = looked.groupBy("key", "bucket").agg(F.count("*").alias("n"))
+    whole = F.lit(looked.count())
+    hot = materialize(counts.where(F.col("n") * share > whole).coalesce(1))
+    listed = cells.join(F.broadcast(hot.select("key", "bucket")), ["key", "bucket"], "left_semi")
+    listed = listed.select("key", "bucket", F.lit(True).alias("listed")).distinct()
+    slices = F.ceil(F.col("n") * share / whole).cast("int")
+    return hot.join(listed, ["key", "bucket"], "left").select(
+        "key", "bucket", F.when(F.col("listed"), slices).otherwise(0).alias("slices")
+    )
+
+
+def active_entries(looked: DataFrame, cells: DataFrame, share: int = HOT_SHARE) -> DataFrame:
+    """Look-ups (``bare, at, key, bucket``) beside the intervals of their key in force then."""
+    hot = F.broadcast(materialize(hot_cells(looked, cells, share)))
+    dealt = (
+        looked.join(hot, ["key", "bucket"], "left")
+        .where("slices is null or slices > 0")
+        .withColumn("slice", F.pmod(F.xxhash64("bare", "at"), F.coalesce("slices", F.lit(1))).cast("int"))
+        .drop("slices")
+    )
+    copied = (
+        cells.join(hot, ["key", "bucket"], "left")
+        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)))
+        .drop("slices")
+    )
+    return dealt.join(copied, ["key", "bucket", "slice"]).where("since <= at and (until is null or at < until)")
+
+
 def filter_captures(
     captures: DataFrame,
     entries: DataFrame,
@@ -92,13 +127,10 @@ def filter_captures(
     ``entries`` has ``key`` (a bare URL), ``listed_at`` (seconds) and ``action``.
     """
     packed = packed_rows(
-        captures, _url=captures[url], _at=captures[fetched_at].cast("bigint")
-    )
-    asked = materialize(
-        packed.where("_url is not null and _at is not null")
-        .select(bare_url(F.col("_url")).alias("bare"), F.col("_at").alias("at"))
-        .distinct()
+        captures, bare=bare_url(captures[url]), at=captures[fetched_at].cast("bigint")
     )
+    known = F.col("bare").isNotNull() & F.col("at").isNotNull()
+    asked = materialize(packed.where(known).groupBy("bare", "at").agg(F.count("*").alias("n")))
     span = asked.agg(F.min("at").alias("low"), F.max("at").alias("high")).first()
     low, high = span["low"] or 0, span["high"] or 0
     held = materialize(validity(entries, bucket_seconds))
@@ -120,16 +152,15 @@ def filter_captures(
         "bare", "at", bucket(F.col("at")).alias("bucket"),
         F.explode(url_keys(F.col("bare"), depths)).alias("key"),
     )
-    active = looked.join(cells, ["key", "bucket"]).where(
-        "since <= at and (until is null or at < until)"
-    )
-    best = active.groupBy("bare", "at").agg(
+    best = active_entries(looked, cells).groupBy("bare", "at").agg(
         F.max(
             F.struct(_depth(F.col("key")).alias("depth"), F.length("key").alias("size"), "key", "strength", "since")
         ).alias("best")
     )
-    answered = packed.withColumn("_bare", bare_url(F.col("_url"))).join(
-        best, (F.col("_bare") == F.col("bare")) & (F.col("_at") == F.col("at")), "left"
+    # One row per different capture, so that a capture repeated by a third of all rows is no hot join key.
+    decided = materialize(asked.join(best, ["bare", "at"], "left"))
+    answered = join_unique(packed.where(known), decided, ["bare", "at"], "n").unionByName(
+        packed.where(~known).withColumn("best", F.lit(None).cast(decided.schema["best"].dataType))
     )
     return answered.select(
         "row",
