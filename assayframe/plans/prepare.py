@@ -6,12 +6,12 @@ import time
 from collections.abc import Callable, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from assayframe.operators import batchmap, digests, progress
 from assayframe.schemas import DESCRIPTOR_SCHEMA, MANIFEST_COLUMNS, PrepConfig
-from assayframe.session import path_exists
+from assayframe.session import materialize, path_exists
 from assayframe.sources import runs
 from assayframe.sources.manifest import last_wins
 from assayframe.streaming.journal_stream import scratch_folder
@@ -27,7 +27,7 @@ def prepared_table(spark: SparkSession, out_dir: str, name: str) -> DataFrame |
     path = f"{out_dir}/{name}"
     if not path_exists(spark, path):
         return None
-    rows = spark.read.parquet(path)
+    rows = spark.read.option("mergeSchema", "true").parquet(path)
     if name == "manifest" and "committed_at" in rows.columns:
         return last_wins(rows, "ligand_id", "committed_at").drop("committed_at")
     return rows
@@ -42,6 +42,18 @@ def done_ids(spark: SparkSession, out_dir: str) -> DataFrame | None:
     return digests.fully_present(manifest, ligands)
 
 
+def given_up_ids(spark: SparkSession, out_dir: str, retry: str) -> DataFrame | None:
+    """Ids whose earlier failure stands under a retry policy, as ``progress.finished_ids`` has it."""
+    if retry not in progress.RETRY_POLICIES:
+        raise ValueError(f"unknown retry policy {retry!r}; expected one of {progress.RETRY_POLICIES}")
+    failures = prepared_table(spark, out_dir, "failures")
+    if failures is None or retry == "all":
+        return None
+    if "error_kind" not in failures.columns:
+        failures = failures.withColumn("error_kind", F.lit(None).cast("string"))
+    return progress.finished_ids(failures.withColumn("status", F.lit("failed")), retry)
+
+
 def prepare(
     spark: SparkSession,
     library: DataFrame,
@@ -52,6 +64,7 @@ def prepare(
     fallbacks: dict[str, Callable[..., Any]] | None = None,
     limit: int | None = None,
     resume: bool = True,
+    retry: str = "all",
 ) -> DataFrame:
     """Prepare a library and return the summary row.
 
@@ -60,13 +73,24 @@ def prepare(
     one yields ``texts``, ``torsions`` and ``prepared_charge``. Each phase is
     written once and read back, so no user function runs twice. Outcomes are
     appended to ``manifest``, ``failures`` and ``ligands`` below ``out_dir``.
+
+    A resumed run tries failures again by ``retry``: ``all`` of them, ``setup_only``
+    those that blamed the run, or ``never``. Failures left alone count as skipped.
+    Rows prepared and failed are counted by the tasks that write them, not again.
     """
     config = config or PrepConfig()
     settings = config.to_dict()
     started = time.time()
     work_dir = scratch_folder(spark, "prepare")
     considered = progress.scan_limited(library, limit, "ordinal")
-    finished = done_ids(spark, out_dir) if resume else None
+    finished = None
+    if resume:
+        for ids in (done_ids(spark, out_dir), given_up_ids(spark, out_dir, retry)):
+            if ids is not None:
+                finished = ids if finished is None else finished.union(ids).distinct()
+        if finished is not None:
+            # What this run appends must not change what it skipped.
+            finished = materialize(finished)
     work = considered if finished is None else progress.todo(considered, finished)
 
     described_path = f"{work_dir}/described"
@@ -78,7 +102,7 @@ def prepare(
     )
     built_path = f"{work_dir}/built"
     batchmap.run_stages(
-        usable.drop("outcome", "stage", "error", "texts"), build, settings, fallbacks
+        usable.drop("outcome", "stage", "error", "error_kind", "texts"), build, settings, fallbacks
     ).write.parquet(built_path)
     built = spark.read.parquet(built_path)
 
@@ -95,29 +119,40 @@ def prepare(
         F.col("_f.pdbqt").alias("file_name"), F.col("_f.texts").alias("text"),
     )
     manifest = good.withColumn("n_conformers", F.size("texts")).select(*MANIFEST_COLUMNS)
-    failure_columns = ("ligand_id", "compound_id", "stage", "error")
+    failure_columns = ("ligand_id", "compound_id", "stage", "error", "error_kind")
     failures = (
         described.where("outcome = 'failed'").select(*failure_columns)
-        .unionByName(rejected.select(*failure_columns))
+        .unionByName(rejected.withColumn("error_kind", F.lit("ligand")).select(*failure_columns))
         .unionByName(built.where("outcome = 'failed'").select(*failure_columns))
     )
     # Files before the manifest: a row counts as done only if its files exist.
     ligands.write.mode("append").parquet(f"{out_dir}/ligands")
-    manifest.withColumn("committed_at", F.lit(time.time_ns())).write.mode("append").parquet(
-        f"{out_dir}/manifest"
+    n_prepared = _append_counted(
+        manifest.withColumn("committed_at", F.lit(time.time_ns())), f"{out_dir}/manifest"
     )
-    failures.write.mode("append").parquet(f"{out_dir}/failures")
+    n_failed = _append_counted(failures, f"{out_dir}/failures")
 
-    summary = prep_summary(library, finished, good, failures, limit, time.time() - started)
+    summary = prep_summary(library, finished, n_prepared, n_failed, limit, time.time() - started)
     runs.write_metadata(spark, f"{out_dir}/prep", {"config": settings, "limit": limit})
     return summary
 
 
+def _append_counted(rows: DataFrame, path: str) -> int:
+    """Append rows and say how many there were.
+
+    ``rows`` must come from a scan without a shuffle: only the tasks that write are
+    counted once each whatever is lost and repeated.
+    """
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
+
+
 def prep_summary(
     library: DataFrame,
     finished: DataFrame | None,
-    prepared: DataFrame,
-    failures: DataFrame,
+    prepared: int,
+    failed: int,
     limit: int | None,
     elapsed_s: float,
 ) -> DataFrame:
@@ -132,8 +167,8 @@ def prep_summary(
     bound = records if limit is None else F.least(F.lit(limit) + F.col("skipped"), records)
     row = count(library, "records").select(
         "records",
-        prepared.agg(F.count("*")).scalar().alias("prepared"),
-        failures.agg(F.count("*")).scalar().alias("failed"),
+        F.lit(prepared).cast("bigint").alias("prepared"),
+        F.lit(failed).cast("bigint").alias("failed"),
         skipped.scalar().alias("skipped"),
     )
     done = F.col("prepared") + F.col("failed")

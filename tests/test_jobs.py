@@ -102,6 +102,33 @@ def test_prepare_then_screen_then_report(spark, tmp_path):
     assert len(poses) == 3 and all(p["poses"].startswith("POSE ") for p in poses)
 
 
+@pytest.mark.parametrize(
+    ("retry", "tried"), [("never", set()), ("setup_only", {"lost"}), ("all", {"bad", "floppy", "lost"})]
+)
+def test_resumed_preparation_tries_failures_by_policy(spark, tmp_path, retry, tried):
+    (tmp_path / "lib.smi").write_text(SMILES)
+    library = read_library(spark, str(tmp_path / "lib.smi"))
+    out = str(tmp_path / "prep")
+
+    def place(record, config):
+        if record["block"].startswith("N1"):
+            raise batchmap.ScoringError("no force field", setup=True)
+        return {"geometry": record["smiles"]}
+
+    build = [("embed", place), ("pdbqt", write_text)]
+    config = PrepConfig(max_torsions=8)
+    first = prepare.prepare(spark, library, out, DESCRIBE, build, config).first()
+    assert (first["prepared"], first["failed"], first["skipped"]) == (3, 3, 0)
+    kinds = {r["ligand_id"]: r["error_kind"] for r in spark.read.parquet(f"{out}/failures").collect()}
+    assert kinds == {"bad": "ligand", "floppy": "ligand", "lost": "setup"}
+    again = prepare.prepare(spark, library, out, DESCRIBE, BUILD, config, retry=retry).first()
+    assert (again["total"], again["prepared"], again["failed"]) == (6, 0, len(tried))
+    assert again["skipped"] == 6 - len(tried)
+    assert spark.read.parquet(f"{out}/failures").count() == 3 + len(tried)
+    with pytest.raises(ValueError, match="unknown retry policy"):
+        prepare.prepare(spark, library, out, DESCRIBE, BUILD, config, retry="sometimes")
+
+
 def test_torsion_limit_rejects_before_building(spark, tmp_path):
     (tmp_path / "lib.smi").write_text(SMILES)
     library = read_library(spark, str(tmp_path / "lib.smi"))
