@@ -204,6 +204,9 @@ def stream_first_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TAIL_RECORDS = 10_000
+# A reader far behind takes so many times that in one micro-batch.
+PORTIONS = 100
+TAIL_BYTES = 8 << 20
 RUNS = 40
 
 
@@ -232,7 +235,7 @@ def _event_journal(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     return f"{folder}/journal", f"{folder}/position"
 
 
-# The batch of an event: the source gives so many records at a time, in order.
+# The batch of an event: the source numbers portions of so many records, in order.
 _EVENT_BATCH = f"(row_number() OVER (ORDER BY event_id) - 1) // {TAIL_RECORDS}"
 
 
@@ -276,7 +279,7 @@ def online_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each entry into a terminal state, from the micro-batch in which it happened."""
     path, position = _event_journal(spark, sf_dir)
     record = F.from_json("line", "run_id string, ligand_id string, state string")
-    states = tail_lines(spark, path, position, TAIL_RECORDS).select(record.alias("r")).select(
-        "r.run_id", F.col("r.ligand_id").cast("bigint").alias("ordinal"), "r.state"
+    states = tail_lines(spark, path, position, TAIL_RECORDS, TAIL_BYTES, PORTIONS).select(record.alias("r"), "portion").select(
+        "r.run_id", F.col("r.ligand_id").cast("bigint").alias("ordinal"), "r.state", "portion"
     )
     return online.drain_table(online.entries(states), J.scratch_folder(spark, "entries"))

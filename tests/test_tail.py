@@ -186,3 +186,49 @@ def test_status_of_a_tailed_journal(spark, tmp_path):
     counts = progress.status_counts(T.tail_journal(spark, str(tmp_path / "j.jsonl"), str(tmp_path / "pos"), max_records=25), ["run_id"])
     O.drain(counts, keep, str(tmp_path / "c"), "update")
     assert latest == {k: (sum(r["run_id"] == k and not r["error_kind"] for r in rows), sum(r["run_id"] == k and bool(r["error_kind"]) for r in rows)) for k in {r["run_id"] for r in rows}}
+
+
+def test_portions_are_the_same_however_many_a_batch_takes(spark, tmp_path):
+    folder, rng = tmp_path / "journal", random.Random(11)
+    folder.mkdir()
+    for name in "abcde":
+        text = "".join(rng.choice(["", " \t\n", "\n\n"]) + "x" * rng.randint(1, 40) + "\n" for _ in range(rng.choice([0, 3, 40, 57])))
+        (folder / name).write_text(text + rng.choice(["", "\n \n", "half"]))
+    got = {}
+    for portions in (1, 3, 1000):
+        seen, at = [], tmp_path / f"at{portions}"
+        stream = T.tail_lines(spark, str(folder), str(at), max_records=7, range_bytes=100, portions=portions)
+        O.drain(stream, collector(seen), str(tmp_path / f"c{portions}"))
+        got[portions] = [(r["ordinal"], r["line"], r["portion"]) for b in seen for r in b]
+        assert max(map(len, seen)) <= 7 * portions
+        if portions == 1000:
+            assert len(seen) == 1
+    assert got[1] == got[3] == got[1000]
+    assert [p for _, _, p in got[1]] == [i // 7 for i in range(len(got[1]))]
+
+
+def test_portions_go_on_after_an_answer_without_a_batch(tmp_path):
+    file = tmp_path / "x"
+    file.write_text("".join(f"{i}\n" for i in range(40)))
+    options = {"path": str(file), "position": str(tmp_path / "pos"), "max_records": "3", "portions": "4"}
+    first = T.TailReader(options)
+    start = first.initialOffset()
+    lost = first.latestOffset()
+    end = T.TailReader(options).latestOffset()
+    assert T.TailReader(options).latestOffset()["portion"] == 12
+    for since, to, rows in ((start, lost, range(12)), (start, end, range(24)), (lost, end, range(12, 24))):
+        reader = T.TailReader(options)
+        out = [b for p in reader.partitions(since, to) for b in reader.read(p)]
+        lines = [int(x) for b in out for x in b["line"].to_pylist()]
+        assert lines == list(rows)
+        assert [x for b in out for x in b["portion"].to_pylist()] == [i // 3 for i in rows]
+
+
+def test_a_tail_at_its_end_answers_the_same_again(tmp_path):
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "a").write_text("1\n2\n3\n")
+    options = {"path": str(tmp_path / "j"), "position": str(tmp_path / "pos"), "max_records": "3", "portions": "4"}
+    reader = T.TailReader(options)
+    end = reader.latestOffset()
+    (tmp_path / "j" / "a").open("a").write("half")
+    assert json.dumps(reader.latestOffset()) == json.dumps(end) == json.dumps(T.TailReader(options).latestOffset())
