@@ -264,7 +264,7 @@ SELECT CAST(run AS VARCHAR) AS run_id, event_id AS ordinal, 'stop' AS event, '5'
 def online_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The breaker's rows, each from the micro-batch in which five set-ups in a row had failed."""
     path, position = _event_journal(spark, sf_dir)
-    records = tail_journal(spark, path, position, TAIL_RECORDS).withColumn("ordinal", F.col("ligand_id").cast("bigint"))
+    records = tail_journal(spark, path, position, TAIL_RECORDS, TAIL_BYTES, PORTIONS).withColumn("ordinal", F.col("ligand_id").cast("bigint"))
     return online.drain_table(online.stops(records), J.scratch_folder(spark, "breaker"))
 
 

@@ -232,3 +232,15 @@ def test_a_tail_at_its_end_answers_the_same_again(tmp_path):
     end = reader.latestOffset()
     (tmp_path / "j" / "a").open("a").write("half")
     assert json.dumps(reader.latestOffset()) == json.dumps(end) == json.dumps(T.TailReader(options).latestOffset())
+
+
+def test_watches_tell_the_portion_when_far_behind(spark, tmp_path):
+    file, rows = tmp_path / "journal.jsonl", kinds(90, 5)
+    file.write_text(lines(rows))
+    told = []
+    for portions in (1, 4, 50):
+        stream = O.stops(T.tail_journal(spark, str(file), str(tmp_path / f"p{portions}"), max_records=10, portions=portions), limit=3)
+        told.append(sorted(tuple(r) for r in O.drain_table(stream, str(tmp_path / f"w{portions}")).collect()))
+        batches = [f for f in os.listdir(tmp_path / f"w{portions}" / "checkpoint" / "commits") if f.isdigit()]
+        assert len(batches) <= -(-9 // portions) + 1
+    assert told[0] == told[1] == told[2] and len(told[0]) > 3
