@@ -248,7 +248,7 @@ FROM e GROUP BY ALL
 def journal_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A growing journal read by bytes, so many records a batch: what each batch brought per run."""
     path, position = _event_journal(spark, sf_dir)
-    records = tail_journal(spark, path, position, TAIL_RECORDS).select("run_id", "status")
+    records = tail_journal(spark, path, position, TAIL_RECORDS, TAIL_BYTES, PORTIONS).select("run_id", "status", "portion")
     return online.drain_table(records, J.scratch_folder(spark, "tailed")).groupBy("batch", "run_id").agg(
         F.count_if(F.col("status") == "ok").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"),
         F.count_if(F.col("status") == "skipped").alias("skipped"),
