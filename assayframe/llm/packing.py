@@ -37,6 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
+from tokenizers.pre_tokenizers import Sequence as Sequenced
 
 from assayframe.llm.common import clean_text, materialize, once_per_worker, packed_rows, rank_in_groups
 
@@ -54,6 +56,7 @@ LEAST_FILLS = (0.0, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999, 1.0, 2.0)
 # Ids of short words are remembered, up to so many in a worker.
 REMEMBERED = 400_000
 TEXTS_AT_ONCE = 64
+PARTS_AT_ONCE = 256
 LONGEST_REMEMBERED = 48
 
 Run = tuple[tuple[int, ...], int]
@@ -67,7 +70,8 @@ class WordCoder:
 
     Its pattern cuts a text into parts that are coded one by one, so a part's ids
     can be remembered. New parts go to the tokenizer many at once; a token that
-    ends a part says so in its name. The letters and digits below are all there are
+    ends a part says so in its name. They are in small letters, composed and cut
+    already, so there the tokenizer only maps bytes and merges. The letters and digits below are all there are
     up to U+024F; texts with other characters, in capitals or in small letters, and
     special strings go to the tokenizer whole.
     """
@@ -82,18 +86,32 @@ class WordCoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.of_parts = Tokenizer.from_file(path)
+        self.of_parts.normalizer = None
+        self.of_parts.pre_tokenizer = Sequenced([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(self.END)]] = True
         self.parts_of = re.compile(self.SPLIT).findall
-        self.foreign = re.compile(self.FOREIGN).search
+        self.foreign_in = re.compile(self.FOREIGN).search
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    def _ids(self, text: str, tokenizer: Tokenizer | None = None) -> np.ndarray:
+        # The fast call leaves out where tokens lie in the text.
+        (coded,) = (tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)
+        return np.array(coded.ids, np.uint32)
+
+    def foreign(self, text: str) -> bool:
+        """Whether the tokenizer must see the whole text."""
+        try:
+            # Most texts are of characters up to U+00FF, whose small letters are too.
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return bool(self.foreign_in(text) or self.foreign_in(text.lower()))
+        return "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f")
 
     def _learn(self, parts: list[str]) -> None:
-        ids = self._ids(" ".join(parts))
+        ids = self._ids(" ".join(parts), self.of_parts)
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(parts):
             data = ids.tobytes()
@@ -112,14 +130,14 @@ class WordCoder:
         # Some capitals up to U+024F have their small letter beyond it, and the other way round.
         small = [t.lower() for t in texts]
         rows = [
-            None if self.foreign(t) or self.foreign(low) else self.parts_of(low)
-            for t, low in zip(texts, small, strict=True)
+            None if self.foreign(t) else self.parts_of(low) for t, low in zip(texts, small, strict=True)
         ]
         new = set().union(*[r for r in rows if r]).difference(known)
-        if new:
-            self._learn(list(new))
+        learned = list(new)
+        for first in range(0, len(learned), PARTS_AT_ONCE):
+            self._learn(learned[first : first + PARTS_AT_ONCE])
         out = [
-            self._ids(t).tobytes() if parts is None else b"".join([known[p] for p in parts])
+            self._ids(t).tobytes() if parts is None else b"".join(map(known.__getitem__, parts))
             for t, parts in zip(texts, rows, strict=True)
         ]
         for long in [p for p in new if len(p) > LONGEST_REMEMBERED]:
