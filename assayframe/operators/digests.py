@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Hexadecimal digits of a name's hash that tell leaves apart.
 LEAF_DIGITS = 4
+# Rows of a table that one task of a join sorts.
+ROWS_PER_TASK = 500_000
 
 # File names of a grid-map set.
 FIELD_FILE = "receptor.maps.fld"
@@ -57,14 +59,23 @@ def fully_present(
     manifest: DataFrame, listing: DataFrame, key: str = "ligand_id", parts: str = "pdbqt",
     name: str = "file_name",
 ) -> DataFrame:
-    """Ids whose every listed file exists; a row that lists none is complete."""
-    exploded = manifest.where(F.col(key).isNotNull()).select(
-        key, F.explode_outer(F.filter(parts, lambda p: p != "")).alias(name)
-    )
-    known = listing.select(name).distinct().withColumn("_found", F.lit(True))
-    checked = exploded.join(known, name, "left")
-    present = F.col(name).isNull() | F.coalesce("_found", F.lit(False))
-    return checked.groupBy(key).agg(F.bool_and(present).alias("_all")).where("_all").select(key)
+    """Ids whose every listed file exists; a row that lists none is complete.
+
+    Only listed names are looked up, so ids that list none never meet in one task.
+    Tables too large for the session's shuffle partitions are dealt over more of them,
+    which bounds what one task sorts.
+    """
+    ids = manifest.where(F.col(key).isNotNull())
+    named = ids.select(key, F.explode(F.filter(parts, lambda p: p != "")).alias(name))
+    there = listing.select(name)
+    tasks = -(-max(manifest.count(), listing.count()) // ROWS_PER_TASK)
+    wide = tasks > int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(rows: DataFrame, by: str) -> DataFrame:
+        return rows.repartition(tasks, by) if wide else rows
+
+    lacking = dealt(named, name).join(dealt(there, name), name, "left_anti").select(key)
+    return dealt(ids.select(key), key).join(dealt(lacking, key), key, "left_anti").distinct()
 
 
 def map_set_status(
