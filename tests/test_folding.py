@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayframe.operators import hits
+from assayframe.streaming import redelivery
+from assayframe.streaming.journal_stream import catch_up
 from assayframe.streaming.redelivery import RedeliveryGuard
 from assayframe.streaming.report import ReportFold
 from assayframe.streaming.runs import Runs, covering
@@ -116,6 +118,53 @@ def test_filter_lets_most_new_keys_pass_without_reading_old_ones(spark, tmp_path
     assert guard._suspected(old, (0, 1)).join(old, "id", "left_semi").count() == 10
 
 
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_old_keys_are_compared_only_where_their_hash_is_suspected(spark, tmp_path, monkeypatch, few):
+    """One late key of a run does not bring the rest of its part into the comparison."""
+    monkeypatch.setattr(redelivery, "BROADCAST_HASHES", few, raising=False)
+    guard = RedeliveryGuard(spark, str(tmp_path), key=["id"], recent=1)
+    size, compared = 5_000, []
+    whole = guard._seen
+
+    def seen(rows, runs):
+        tables = whole(rows, runs)
+        compared.append(sum(t.count() for t in tables))
+        return tables
+
+    guard._seen = seen
+    for b in range(4):
+        # The last 50 keys of the batch before come again.
+        guard(spark.range(b * size - 50 if b else 0, (b + 1) * size), b)
+        assert spark.read.parquet(guard._out(b)).count() == size
+    assert compared[0] == 0 and all(50 <= n < 250 for n in compared[1:])
+    assert guard.results().distinct().count() == 4 * size
+
+
+def test_a_batch_lies_in_few_tasks_whatever_the_shuffle_partitions(spark, tmp_path):
+    spark.range(200).repartition(2, "id").write.parquet(str(tmp_path / "stream"))
+    stream = spark.readStream.schema("id bigint").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "stream"))
+    guard = RedeliveryGuard(spark, str(tmp_path / "guard"), key=["id"], recent=1)
+    whole, tasks = guard._seen, []
+    guard._seen = lambda rows, runs: tasks.append(rows.rdd.getNumPartitions()) or whole(rows, runs)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        catch_up(stream, guard, str(tmp_path / "checkpoint"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(tasks) == 2 and max(tasks) <= 16
+    assert guard.results().count() == 200
+
+
+def test_a_filter_of_another_layout_is_not_asked(spark, tmp_path):
+    guard = RedeliveryGuard(spark, str(tmp_path), key=["id"], recent=1)
+    guard(spark.range(100), 0)
+    old = spark.createDataFrame([(0, bytearray(4096), 1)], "piece bigint, bits binary, pieces int")
+    old.write.mode("overwrite").parquet(guard.runs.beside((0, 1)))
+    guard(spark.range(90, 110), 1)
+    assert guard.results().count() == 110
+
+
 def test_an_empty_batch_is_a_batch(spark, tmp_path):
     guard = RedeliveryGuard(spark, str(tmp_path), recent=1)
     empty = spark.createDataFrame([], DELIVERY)
